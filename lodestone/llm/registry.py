@@ -1,6 +1,7 @@
 """The queries of this package, one opN_<name> an operator, and the SQL twins of those that SQL can express."""
 
 from lodestone.llm.near_dedup import op1_simhash_near_dedup
+from lodestone.llm.substring_dedup import OP7_SQL, op7_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup,)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op7_substring_dedup)}
+ORACLES: dict[str, str] = {"op7_substring_dedup": OP7_SQL}
