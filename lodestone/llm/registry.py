@@ -1,7 +1,9 @@
 """The queries of this package, one opN_<name> an operator, and the SQL twins of those that SQL can express."""
 
+from lodestone.llm.mixing import op9_mixing_targets
 from lodestone.llm.near_dedup import op1_simhash_near_dedup
+from lodestone.llm.quality_rules import OP5_SQL, op5_quality_rules
 from lodestone.llm.substring_dedup import OP7_SQL, op7_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op7_substring_dedup)}
-ORACLES: dict[str, str] = {"op7_substring_dedup": OP7_SQL}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op5_quality_rules, op7_substring_dedup, op9_mixing_targets)}
+ORACLES: dict[str, str] = {"op5_quality_rules": OP5_SQL, "op7_substring_dedup": OP7_SQL}

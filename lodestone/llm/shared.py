@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 #: Words are what stands between these six ASCII characters (the same ones bytes.split() knows).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -113,8 +113,7 @@ def ranked(df: DataFrame, order: list[Column], name: str, weight: str | None = N
     for r in sorted(sums, key=lambda r: r["__part"]):
         base[r["__part"]] = at
         at += r["s"] or 0
-    bases = F.create_map(*[F.lit(x) for kv in base.items() for x in kv]) if base else F.create_map(F.lit(0), F.lit(0))
-    from pyspark.sql import Window
+    bases = F.create_map(*[F.lit(x) for kv in (base or {0: 0}).items() for x in kv])
 
     run = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return held.withColumn(name, (F.coalesce(F.sum(w).over(run), F.lit(0)) + F.coalesce(bases[F.col("__part")], F.lit(0))).cast("long")).drop("__part")
