@@ -22,12 +22,13 @@ MIN_WORDS = 50
 MAX_REPEAT = 50  # hundredths of words in recurring 3-word windows
 MAX_LOSS = 50  # hundredths of word characters that removed lines may hold
 MAX_SYMBOLS = 4  # hundredths of a line's word characters that may be symbols
+SHORT_LINE = 40  # words up to which a line with a boilerplate phrase is boilerplate
 LONG_LINE = 15  # words from which a line must have sentence punctuation
 
 # fixed values: characters that the base rule counts as symbols
-SYMBOLS = "[#*$%&|<>]"
+SYMBOLS = "#*$%&|<>"
 # fixed values: separators of navigation lines
-BARS = r"[|»›→•·]"
+BARS = "|»›→•·"
 # fixed values: phrases of boilerplate lines, in lower case
 BOILERPLATE = (
     "all rights reserved",
@@ -51,6 +52,21 @@ BOILERPLATE = (
 _PLACE = (1 << 30) - 1
 
 
+def _without(text: Column, chars: str) -> Column:
+    """Text less some characters: a byte search each, far cheaper here than a pattern."""
+    for c in chars:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
+
+
+def _dense(text: Column) -> Column:
+    return _without(text, " \n\t\r\x0b\x0c")
+
+
+def _removed(text: Column, chars: str) -> Column:
+    return F.length(text) - F.length(_without(text, chars))
+
+
 def _recurring(coded: Column) -> Column:
     """Of ascending (hash << 30 | place) integers, those whose hash a neighbour has."""
     same = lambda x, y: F.shiftright(x, 30) == F.shiftright(y, 30)
@@ -87,26 +103,33 @@ def measured(docs: DataFrame) -> DataFrame:
     covered = F.aggregate(F.transform("__places", lambda x, i: F.least(F.lit(3), F.coalesce(F.get("__places", i + 1) - x, F.lit(3)))), F.lit(0).cast("long"), lambda s, x: s + x)
     base = F.struct(
         F.size("__words").cast("long").alias("n_words"),
-        F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
-        F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+        F.length(_dense(text)).cast("long").alias("word_chars"),
+        _removed(text, SYMBOLS).cast("long").alias("n_symbols"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
         covered.alias("n_repeat_words"),
     )
     return step.withColumn("__base", base).drop("__words", "__coded", "__places", "__again", "__lines")
 
 
-def line_fails(line: Column) -> Column:
-    """Navigation, boilerplate and punctuation rules on one line; a line without a word never fails."""
-    n = F.regexp_count(line, F.lit(WORD))
-    chars = F.length(F.regexp_replace(line, r"[\x20\x09-\x0D]+", ""))
-    navigation = F.regexp_count(line, F.lit(BARS)) * 4 >= n
-    low = F.lower(line)
-    boilerplate = F.lit(False)
-    for phrase in BOILERPLATE:
-        boilerplate = boilerplate | low.contains(phrase)
-    noise = F.regexp_count(line, F.lit(SYMBOLS)) * 100 > chars * MAX_SYMBOLS
-    endless = (n >= LONG_LINE) & ~line.rlike(r"[.!?,;:…。！？]")
-    return (n > 0) & (navigation | (boilerplate & (n <= 40)) | noise | endless)
+def clean_lines(lines: Column) -> Column:
+    """Those of an array of lines that pass the navigation, boilerplate and punctuation rules.
+
+    A line without a word never fails. What several rules look at is worked out once a line."""
+    facts = F.transform(
+        lines,
+        lambda x: F.struct(x.alias("line"), F.regexp_count(x, F.lit(WORD)).alias("n"), _removed(x, BARS).alias("bars"), _removed(x, SYMBOLS).alias("symbols"), F.length(_dense(x)).alias("chars"), F.lower(x).alias("low"))
+    )
+
+    def fails(f: Column) -> Column:
+        boilerplate = F.lit(False)
+        for phrase in BOILERPLATE:
+            boilerplate = boilerplate | f["low"].contains(phrase)
+        navigation = f["bars"] * 4 >= f["n"]
+        noise = f["symbols"] * 100 > f["chars"] * MAX_SYMBOLS
+        endless = (f["n"] >= LONG_LINE) & ~f["low"].rlike(r"[.!?,;:…。！？]")
+        return (f["n"] > 0) & (navigation | noise | endless | ((f["n"] <= SHORT_LINE) & boilerplate))
+
+    return F.transform(F.filter(facts, lambda f: ~fails(f)), lambda f: f["line"])
 
 
 def judged(docs: DataFrame) -> DataFrame:
@@ -116,13 +139,12 @@ def judged(docs: DataFrame) -> DataFrame:
     lines. Lines that repeat an earlier line count as lost only if a navigation, boilerplate or
     punctuation rule fails them; repetition has its own base rule."""
     step = measured(docs).withColumn("__parts", F.split(F.coalesce("text", F.lit("")), "\n"))
-    step = step.withColumn("__good", F.filter("__parts", lambda x: ~line_fails(x)))
-    step = step.withColumn("__clean", F.array_join("__good", "\n"))
+    step = step.withColumn("__clean", F.array_join(clean_lines(F.col("__parts")), "\n"))
     base = F.col("__base")
     failed = (base["n_words"] < MIN_WORDS) | (base["n_repeat_words"] * 100 > base["n_words"] * MAX_REPEAT)
-    lost = base["word_chars"] - F.length(F.regexp_replace("__clean", r"[\x20\x09-\x0D]+", ""))
+    lost = base["word_chars"] - F.length(_dense(F.col("__clean")))
     step = step.withColumn("__base_failed", failed).withColumn("__lost", lost.cast("long"))
-    return step.withColumn("__kept", ~F.col("__base_failed") & (F.col("__lost") * 100 <= base["word_chars"] * MAX_LOSS)).drop("__parts", "__good")
+    return step.withColumn("__kept", ~F.col("__base_failed") & (F.col("__lost") * 100 <= base["word_chars"] * MAX_LOSS)).drop("__parts")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,8 +162,8 @@ def _sql_line_fails(line: str) -> str:
     words, chars = f"len(regexp_extract_all({line}, '[^\\x20\\x09-\\x0D]+'))", f"length(regexp_replace({line}, '[\\x20\\x09-\\x0D]+', '', 'g'))"
     phrases = " OR ".join(f"contains(lower({line}), '{p}')" for p in BOILERPLATE)
     return (
-        f"({words} > 0 AND (len(regexp_extract_all({line}, '{BARS}')) * 4 >= {words} OR (({phrases}) AND {words} <= 40)"
-        f" OR len(regexp_extract_all({line}, '{SYMBOLS}')) * 100 > {chars} * {MAX_SYMBOLS}"
+        f"({words} > 0 AND (len(regexp_extract_all({line}, '[{BARS}]')) * 4 >= {words} OR (({phrases}) AND {words} <= {SHORT_LINE})"
+        f" OR len(regexp_extract_all({line}, '[{SYMBOLS}]')) * 100 > {chars} * {MAX_SYMBOLS}"
         f" OR ({words} >= {LONG_LINE} AND NOT regexp_matches({line}, '[.!?,;:…。！？]'))))"
     )
 
@@ -153,7 +175,7 @@ win AS (SELECT doc_id, i, words[i] || ' ' || words[i+1] || ' ' || words[i+2] AS
 rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, seq) AS n FROM win) WHERE n > 1),
 cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, range(0, 3) o(k) GROUP BY doc_id),
 f AS (SELECT w.doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
-        len(regexp_extract_all(t, '{SYMBOLS}'))::BIGINT AS n_symbols,
+        len(regexp_extract_all(t, '[{SYMBOLS}]'))::BIGINT AS n_symbols,
         (len(list_filter(parts, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(parts, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
         coalesce(cov.n, 0)::BIGINT AS n_repeat_words,
         length(regexp_replace(array_to_string(list_filter(parts, lambda x: {_sql_line_fails('x')}), ''), '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS lost_chars
