@@ -2,8 +2,23 @@
 
 from lodestone.llm.mixing import op9_mixing_targets
 from lodestone.llm.near_dedup import op1_simhash_near_dedup
+from lodestone.llm.packing import op8_best_fit_packing
 from lodestone.llm.quality_rules import OP5_SQL, op5_quality_rules
 from lodestone.llm.substring_dedup import OP7_SQL, op7_substring_dedup
+from lodestone.llm.token_files import op10_token_files
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op5_quality_rules, op7_substring_dedup, op9_mixing_targets)}
-ORACLES: dict[str, str] = {"op5_quality_rules": OP5_SQL, "op7_substring_dedup": OP7_SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_simhash_near_dedup,
+        op5_quality_rules,
+        op7_substring_dedup,
+        op8_best_fit_packing,
+        op9_mixing_targets,
+        op10_token_files,
+    )
+}
+ORACLES: dict[str, str] = {
+    "op5_quality_rules": OP5_SQL,
+    "op7_substring_dedup": OP7_SQL,
+}
