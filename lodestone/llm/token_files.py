@@ -1,139 +1,115 @@
 """Token ids as flat unsigned integer files with 64-bit document offsets.
 
-Files. tokens/part-*: the ids of documents in ascending doc_id order, little-endian, nothing between or before them.
-offsets/part-*: for each document in that order, the ids before it, as little-endian unsigned 64-bit
-integers. Both can be memory-mapped. documents/: the doc_id of each place, in Parquet.
-
-Spark's own text writer makes the flat files, so they commit as any table does and may lie in any store
-that Spark writes to: a row is a document's bytes but the last, and the line separator is that last
-byte, a zero (the high byte of the end id, and of any offset).
-
-Bases. A file's first position is the prefix sum of the sizes of the files before it; a document's is
-the prefix sum of token counts over range partitions and then within its own.
+Documents are range-partitioned and sorted by doc_id; each partition writes, in one pass, a token file (the
+ids of its documents, little-endian, nothing between or before them), an offset file (for each document
+the ids before it in the partition, as unsigned 64-bit integers) and a file of doc_ids. All three can be
+memory-mapped. Partition bases, the ids before a partition's first, come from prefix sums over the
+partitions' token counts.
+
+A task names its files by a fresh id and returns one manifest row, so files of lost or repeated attempts
+are never read: the manifest, a Parquet table written by Spark, is what commits them. Files go to any
+store that Arrow's file systems open; mounted ones are mapped, others read whole by partition.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import _to_arrow, fan_out, local_path, ranked, scratch, utf8
+from lodestone.llm.shared import _to_arrow, fan_out, local_path, scratch, utf8
 from lodestone.llm.tokens import encoder, public_path
 
 END = 2
+MANIFEST = "part int, name string, n_docs long, n_tokens long"
+_ORDER = np.dtype([("null", "?"), ("doc_id", "<i8")])
 
 
-def _listed(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
-    """(path, bytes) of a folder's part files, in order."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = [(s.getPath().toString(), s.getLen()) for s in fs.listStatus(path)]
-    return sorted((p, n) for p, n in found if p.rpartition("/")[2].startswith("part-") and n)
-
-
-@dataclass
-class Mapped:
-    """A folder's flat files as one array: memory-mapped where mounted, else read by range."""
-
-    files: list[tuple[str, int]]
-    dtype: str
-
-    def __post_init__(self):
-        self.width = np.dtype(self.dtype).itemsize
-        self.bases = np.array([0, *accumulate(n // self.width for _, n in self.files)], np.int64)
-        self.open: dict = {}
-
-    def _slice(self, k: int, start: int, stop: int) -> np.ndarray:
-        path, _ = self.files[k]
-        if (mounted := local_path(path)) is not None:
-            if k not in self.open:
-                self.open = {k: np.memmap(mounted, self.dtype, "r")}
-            return self.open[k][start:stop]
-        from pyarrow import fs
-
-        if k not in self.open:
-            store, name = fs.FileSystem.from_uri(path)
-            self.open = {k: store.open_input_file(name)}
-        return np.frombuffer(self.open[k].read_at((stop - start) * self.width, start * self.width), self.dtype)
-
-    def read(self, start: int, stop: int) -> np.ndarray:
-        k = int(np.searchsorted(self.bases, start, "right")) - 1
-        parts = []
-        while start < stop:
-            end = min(stop, int(self.bases[k + 1]))
-            parts.append(self._slice(k, start - int(self.bases[k]), end - int(self.bases[k])))
-            start, k = end, k + 1
-        return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, self.dtype)
-
-
-def write_flat(rows: DataFrame, column: str, path: str) -> None:
-    """A binary column, each value without its last byte, which must be zero, as flat files."""
-    rows.select(F.col(column).cast("string").alias("value")).write.option("lineSep", "\0").text(path)
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END, drops_space: bool = False, dtype: str = "<u2") -> str:
-    """Write docs (doc_id, text) under path and return path.
+    """Write docs (doc_id, text) under path, a URI, and return it.
 
     A null text is a document of the end id alone. Null doc_ids come first; rows that repeat a doc_id
-    follow each other in the order of a hash of their text. An empty table makes folders without part
-    files. The end id's high byte must be zero. Other columns of docs are not read."""
-    if end_id >> (8 * np.dtype(dtype).itemsize - 8):
-        raise ValueError("the end id needs a zero high byte; use a wider dtype")
+    follow each other in the order of a hash of their text. An empty table makes an empty manifest.
+    Other columns of docs are not read."""
     spark, end = docs.sparkSession, np.array([end_id], dtype).tobytes()
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
+    if end_id > np.iinfo(dtype).max:
+        raise ValueError(f"end id {end_id} does not fit {dtype}")
     width = np.dtype(dtype).itemsize
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
+    rows = rows.repartitionByRange(fan_out(spark), *order).sortWithinPartitions(*order)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, own = _to_arrow("doc_id long, tie long, n_tokens long"), encoder(tokenizer, drops_space, dtype)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tie"), pa.array([len(x) // width + 1 for x in own.encode(utf8(b))], pa.int64())], schema=out)
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, own = _to_arrow("ids binary"), encoder(tokenizer, drops_space, dtype)
+        own, name, at, n = encoder(tokenizer, drops_space, dtype), uuid.uuid4().hex, 0, 0
+        files: list = []
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([x + end[:-1] for x in own.encode(utf8(b))], pa.binary())], schema=out)
-
-    order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
-    placed = ranked(docs.mapInArrow(count, "doc_id long, tie long, n_tokens long"), order, "start", "n_tokens")
-    by_start = ranked(placed.select("doc_id", "start"), [F.col("start")], "place")
-    by_start.select("doc_id", "place").write.parquet(f"{path}/documents")
-    write_flat(by_start.repartitionByRange(fan_out(spark), "place").sortWithinPartitions("place").withColumn("bytes", _little_endian()), "bytes", f"{path}/offsets")
-    sorted_docs = docs.repartitionByRange(fan_out(spark), *order).sortWithinPartitions(*order).select("text")
-    write_flat(sorted_docs.mapInArrow(emit, "ids binary"), "ids", f"{path}/tokens")
+            if b.num_rows and not files:
+                store, base = _store(path)
+                store.create_dir(base)
+                files = [store.open_output_stream(f"{base}/{name}.{kind}") for kind in ("tokens", "offsets", "ids")]
+            starts = []
+            for ids in own.encode(utf8(b)):
+                files[0].write(ids + end)
+                starts.append(at)
+                at += len(ids) // width + 1
+            if starts:
+                files[1].write(np.array(starts, "<u8").tobytes())
+                ids = np.zeros(b.num_rows, _ORDER)
+                ids["null"] = b.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+                ids["doc_id"] = b.column("doc_id").fill_null(0).to_numpy()
+                files[2].write(ids.tobytes())
+                n += len(starts)
+        for f in files:
+            f.close()
+        if files:
+            row = (TaskContext.get().partitionId(), name, n, at)
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _to_arrow(MANIFEST), strict=True)], schema=_to_arrow(MANIFEST))
+
+    rows.select("doc_id", "text").mapInArrow(write, MANIFEST).write.parquet(f"{path}/manifest")
     return path
 
 
-def _little_endian():
-    """`start` as its seven low bytes, little-endian: hex digits turned round by pairs."""
-    digits = F.lpad(F.hex("start"), 14, "0")
-    return F.unhex(F.concat(*[F.substring(digits, 13 - 2 * i, 2) for i in range(7)]))
+def _map(path: str, dtype) -> np.ndarray:
+    if (mounted := local_path(path)) is not None:
+        return np.memmap(mounted, dtype, "r")
+    store, name = _store(path)
+    with store.open_input_stream(name) as f:
+        return np.frombuffer(f.read(), dtype)
 
 
 def read_tokens(spark: SparkSession, path: str, dtype: str = "<u2") -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files alone."""
-    tokens, offsets = _listed(spark, f"{path}/tokens"), _listed(spark, f"{path}/offsets")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").orderBy("part").collect()  # a row a partition
+    based, base = [], 0
+    for p in parts:
+        based.append((p["name"], p["n_tokens"], base))
+        base += p["n_tokens"]
+    todo = spark.createDataFrame(based, "name string, n_tokens long, base long").repartition(max(1, len(based)))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _to_arrow("doc_id long, start long, n_tokens long, ids_crc32 long")
-        ids, starts = Mapped(tokens, dtype), Mapped(offsets, "<u8")
-        total, n_docs = int(ids.bases[-1]), int(starts.bases[-1])
         for b in batches:
-            rows = []
-            for doc, place in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                at = starts.read(place, min(place + 2, n_docs))
-                start, stop = int(at[0]), int(at[1]) if len(at) > 1 else total
-                rows.append((doc, start, stop - start, zlib.crc32(ids.read(start, stop).astype("<u4").tobytes())))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
-
-    return spark.read.schema("doc_id long, place long").parquet(f"{path}/documents").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+            for r in b.to_pylist():
+                tokens, offsets, ids = (_map(f"{path}/{r['name']}.{kind}", t) for kind, t in (("tokens", dtype), ("offsets", "<u8"), ("ids", _ORDER)))
+                for i in range(0, len(offsets), 10_000):
+                    edge = np.append(offsets[i : i + 10_001], np.uint64(r["n_tokens"])).astype(np.int64)[: min(10_000, len(offsets) - i) + 1]
+                    own = ids[i : i + 10_000]
+                    crc = [zlib.crc32(tokens[s:e].astype("<u4").tobytes()) for s, e in zip(edge[:-1], edge[1:], strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(own["doc_id"], pa.int64(), mask=own["null"]), pa.array(edge[:-1] + r["base"]), pa.array(np.diff(edge)), pa.array(crc, pa.int64())], schema=out)
+
+    return todo.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

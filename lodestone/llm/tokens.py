@@ -17,6 +17,7 @@ _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 GROUP_BYTES = 1 << 19  # text whose unknown chunks are encoded together
 KNOWN = 600_000  # chunks kept
+MARK = b"\x01"
 
 
 class Encoder:
@@ -32,6 +33,8 @@ class Encoder:
         if self.tokenizer.get_vocab_size() - 1 > np.iinfo(self.dtype).max:
             raise ValueError(f"{dtype} is too narrow for {path}")
         self.known: dict = {}
+        if drops_space:
+            (self.mark,) = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
 
     def chunks(self, text: bytes) -> list:
         if self.drops_space:
@@ -44,9 +47,25 @@ class Encoder:
         return [first, *(" " + x for x in rest)] if first or rest else []
 
     def _learn(self, new: list) -> None:
-        texts = [c.decode("utf-8", "replace") for c in new] if self.drops_space else new
-        for chunk, e in zip(new, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        """Encode chunks and keep their ids. Where white space is dropped, many chunks share a call, a mark
+        of one id between them, which halves the time; chunks that hold the mark go alone."""
+        if not self.drops_space:
+            for chunk, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+                self.known[chunk] = np.array(e.ids, self.dtype).tobytes()
+            return
+        alone = [c for c in new if MARK in c]
+        for chunk, e in zip(alone, self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in alone], add_special_tokens=False), strict=True):
             self.known[chunk] = np.array(e.ids, self.dtype).tobytes()
+        joint = [c for c in new if MARK not in c] if alone else new
+        runs = [joint[i : i + 64] for i in range(0, len(joint), 64)]
+        between = b" " + MARK + b" "
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast([between.join(r).decode("utf-8", "replace") for r in runs], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, self.dtype)
+            cuts = np.flatnonzero(ids == self.mark).tolist()
+            data, w, start = ids.tobytes(), self.dtype.itemsize, 0
+            for chunk, stop in zip(run, [*cuts, len(ids)], strict=True):
+                self.known[chunk] = data[w * start : w * stop]
+                start = stop + 1
 
     def encode(self, texts: list[bytes | None]) -> Iterator[bytes]:
         """The ids of each text, one after the other in little-endian bytes; a null text has none."""
