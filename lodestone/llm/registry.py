@@ -1,6 +1,8 @@
 """The queries of this package, one opN_<name> an operator, and the SQL twins of those that SQL can express."""
 
 from lodestone.llm.exact_topk import OP4_SQL, op4_exact_topk
+from lodestone.llm.html_extract import op6_html_extraction
+from lodestone.llm.language_id import op2_language_id
 from lodestone.llm.mixing import op9_mixing_targets
 from lodestone.llm.near_dedup import op1_simhash_near_dedup
 from lodestone.llm.packing import op8_best_fit_packing
@@ -13,9 +15,11 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup,
+        op2_language_id,
         op3_warc_segments,
         op4_exact_topk,
         op5_quality_rules,
+        op6_html_extraction,
         op7_substring_dedup,
         op8_best_fit_packing,
         op9_mixing_targets,
