@@ -133,29 +133,35 @@ def clean_lines(lines: Column) -> Column:
 
 
 def judged(docs: DataFrame) -> DataFrame:
-    """docs with `__base`, `__base_failed`, `__lost` (word characters in removed lines), `__kept` and `__clean`.
+    """docs with a struct `__found`: base, base_failed, lost_chars (word characters in removed lines), kept, clean.
 
-    A null or empty text has no words and fails the base rule. `__clean` is the text without failed
+    A null or empty text has no words and fails the base rule. `clean` is the text without failed
     lines. Lines that repeat an earlier line count as lost only if a navigation, boilerplate or
     punctuation rule fails them; repetition has its own base rule."""
     step = measured(docs).withColumn("__parts", F.split(F.coalesce("text", F.lit("")), "\n"))
     step = step.withColumn("__clean", F.array_join(clean_lines(F.col("__parts")), "\n"))
+    step = step.withColumn("__lost", (F.col("__base")["word_chars"] - F.length(_dense(F.col("__clean")))).cast("long"))
     base = F.col("__base")
     failed = (base["n_words"] < MIN_WORDS) | (base["n_repeat_words"] * 100 > base["n_words"] * MAX_REPEAT)
-    lost = base["word_chars"] - F.length(_dense(F.col("__clean")))
-    step = step.withColumn("__base_failed", failed).withColumn("__lost", lost.cast("long"))
-    return step.withColumn("__kept", ~F.col("__base_failed") & (F.col("__lost") * 100 <= base["word_chars"] * MAX_LOSS)).drop("__parts")
+    kept = ~failed & (F.col("__lost") * 100 <= base["word_chars"] * MAX_LOSS)
+    found = F.struct(base.alias("base"), failed.alias("base_failed"), F.col("__lost").alias("lost_chars"), kept.alias("kept"), F.col("__clean").alias("clean"))
+    # through a generator, because a filter on a result would otherwise be pushed below the projections, which
+    # puts whole expressions into lambdas and works them out again for every word
+    return step.select(*[F.col(c) for c in docs.columns], F.explode_outer(F.array(found)).alias("__found"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the base figures, base_failed, lost_chars and kept, for every document."""
     docs = judged(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return docs.select("doc_id", "__base.*", F.col("__base_failed").alias("base_failed"), F.col("__lost").alias("lost_chars"), F.col("__kept").alias("kept"))
+    return docs.select("doc_id", "__found.base.*", "__found.base_failed", "__found.lost_chars", "__found.kept")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The kept documents without their failed lines: text is the clean text, n_chars its length."""
-    return judged(docs).where("__kept").withColumn("text", F.col("__clean")).withColumn("n_chars", F.length("__clean").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else F.length("__clean")).select(*docs.columns)
+    clean = judged(docs).where("__found.kept").withColumn("text", F.col("__found.clean"))
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return clean.select(*[F.col(c) for c in docs.columns])
 
 
 def _sql_line_fails(line: str) -> str:

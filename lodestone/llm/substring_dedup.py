@@ -134,12 +134,12 @@ class Seeds:
         out, unpack = _to_arrow(schema), zstandard.ZstdDecompressor()
         for batch in batches:
             rows = []
-            for doc, packed, found in zip(batch.column("doc_id").to_pylist(), batch.column("packed").to_pylist(), batch.column("found").to_pylist(), strict=True):
+            for doc, key, packed, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "packed", "found")), strict=True):
                 text = None if packed is None else unpack.decompress(packed)
                 words = (text or b"").split()
                 gone = self.covered(len(words), found) if found and len(words) >= self.window else np.zeros(len(words), bool)
                 kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                row = [doc, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()]
+                row = [doc, key, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()]
                 rows.append([*row, cut_out(text, gone) if gone.any() else text] if kept_text else row)
             if rows:
                 cols = [pa.array(c, pa.binary()).cast(pa.string()) if f.name == "kept" else pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)]
@@ -162,13 +162,13 @@ def cut_out(text: bytes, gone: np.ndarray) -> bytes:
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts squeezed one by one: they cross two shuffles."""
-    out, squeeze = _to_arrow("doc_id long, packed binary"), zstandard.ZstdCompressor(level=1)
+    out, squeeze = _to_arrow("doc_id long, key long, packed binary"), zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([None if t is None else squeeze.compress(t) for t in utf8(batch)], pa.binary())], schema=out)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array([None if t is None else squeeze.compress(t) for t in utf8(batch)], pa.binary())], schema=out)
 
 
 def strip_repeats(docs: DataFrame, kept_text: bool = False, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256[, kept]), one row a row of docs.
+    """(doc_id, key, n_words, n_removed, kept_sha256[, kept]), one row a row of docs; key is xxhash64(doc_id, text).
 
     A word goes if a window of `window` words that covers it also starts in a document with a smaller
     doc_id. Null and empty texts have no words and lose none (a null text's `kept` is null); texts
@@ -176,7 +176,7 @@ def strip_repeats(docs: DataFrame, kept_text: bool = False, window: int = WINDOW
     keeps all. Of rows that repeat a doc_id none is smaller; each loses what smaller documents have. An empty table gives no rows. Other
     columns of docs are not read."""
     at = Seeds(window, gram)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key"), "text")
     every, every_path = cut_to(docs.mapInArrow(at.seed, "anchor long, around long, doc_id long, pos int"), "anchors")
     shared = every.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
     seen = cut(every.join(shared, "anchor"), "shared")
@@ -186,7 +186,7 @@ def strip_repeats(docs: DataFrame, kept_text: bool = False, window: int = WINDOW
     classes = cut(seen.groupBy("anchor", "around").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.max("doc_id").alias("last")), "classes")
     several = classes.groupBy("anchor").agg(F.min("first.doc_id").alias("lo"), F.max("first.doc_id").alias("hi")).where("lo < hi").select("anchor")
     seeds = classes.join(several, "anchor").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("first.pos").alias("pos"), "anchor", "around")).alias("found"))
-    packed = docs.mapInArrow(_pack, "doc_id long, packed binary")
+    packed = docs.mapInArrow(_pack, "doc_id long, key long, packed binary")
     windows = cut(packed.where("packed IS NOT NULL").join(seeds.hint("shuffle_hash"), "doc_id").mapInArrow(at.extend, "anchor long, around long, doc_id long, back int, window long"), "windows")
     older = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
     masks = windows.join(older, ["anchor", "window"]).where("doc_id > lo").groupBy("anchor", "around").agg(F.bit_or(F.expr("shiftleft(1L, back)")).alias("mask"))
@@ -194,12 +194,22 @@ def strip_repeats(docs: DataFrame, kept_text: bool = False, window: int = WINDOW
     rule = classes.join(masks, ["anchor", "around"], "left").select("anchor", "around", F.col("first.doc_id").alias("first"), "mask", "last").where("mask IS NOT NULL OR first < last")
     hits = seen.join(rule, ["anchor", "around"]).select("doc_id", "pos", F.when(F.col("doc_id") > F.col("first"), F.lit((1 << (at.reach + 1)) - 1)).otherwise(F.col("mask")).alias("mask")).where("mask IS NOT NULL")
     found = hits.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "mask")).alias("found"))
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * kept_text
+    schema = "doc_id long, key long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * kept_text
     return packed.join(found.hint("shuffle_hash"), "doc_id", "left").mapInArrow(lambda b: at.strip(b, schema, kept_text), schema)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return strip_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return strip_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("key")
+
+
+def cut_repeats(docs: DataFrame) -> DataFrame:
+    """docs with repeated passages cut out of text (and n_chars set anew); documents that lose every word go."""
+    kept = strip_repeats(docs, kept_text=True).where("n_removed = 0 OR n_removed < n_words").select(F.col("key").alias("__key"), F.col("kept").alias("__kept")).dropDuplicates(["__key"])
+    out = docs.withColumn("__own", F.xxhash64(F.col("doc_id").cast("long"), "text")).drop("text").join(kept, F.col("__own") == F.col("__key"))
+    made = out.withColumn("text", F.col("__kept"))
+    if "n_chars" in docs.columns:
+        made = made.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return made.select(*[F.col(c) for c in docs.columns])
 
 
 #: The contract word for word, for DuckDB: every window of 50 words, and the smallest document it starts in.
