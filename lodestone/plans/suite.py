@@ -2,7 +2,13 @@
 
 import importlib
 
-MODULES: tuple[str, ...] = ()
+MODULES = (
+    "lodestone.operators.text_queries",
+    "lodestone.operators.metrics_queries",
+    "lodestone.operators.retrieval_queries",
+    "lodestone.operators.selection_queries",
+    "lodestone.streaming.usage",
+)
 
 
 def load() -> None:
