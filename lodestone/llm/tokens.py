@@ -1,14 +1,18 @@
 """Encoding whole texts with a tokenizer file, chunk by chunk.
 
 A text is cut where no token can cross: at ASCII white space if the tokenizer drops white space, else
-before a lone space between two non-space characters. A chunk's ids do not depend on its neighbours, and
-chunks recur, so most are looked up. Chunks not yet known are encoded in one call a group of texts.
+before a lone space or line end between two non-space characters. A chunk's ids do not depend on its
+neighbours, and chunks recur, so most are looked up. A chunk not yet known that ends in a letter and one
+mark is its word and the mark, so a word is encoded once for all marks after it. The rest are encoded in one
+call a group of texts.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +22,7 @@ _OTHER_SPACE = re.compile(r"[^\S \n]")
 GROUP_BYTES = 1 << 19  # text whose unknown chunks are encoded together
 KNOWN = 600_000  # chunks kept
 MARK = b"\x01"
+FIRST = "\x00"
 
 
 class Encoder:
@@ -33,33 +38,71 @@ class Encoder:
         if self.tokenizer.get_vocab_size() - 1 > np.iinfo(self.dtype).max:
             raise ValueError(f"{dtype} is too narrow for {path}")
         self.known: dict = {}
+        self.code = {2: "H", 4: "I"}[self.dtype.itemsize]
+        if sys.byteorder != "little":
+            raise RuntimeError("ids are written in this machine's byte order, which must be little-endian")
         if drops_space:
             (self.mark,) = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
 
     def chunks(self, text: bytes) -> list:
+        """The keys of a text's chunks. Where white space counts, a key stands for itself with a space before
+        it, one that starts with a line end for itself, and one that starts with FIRST for what follows."""
         if self.drops_space:
             return text.split()
         s = text.decode("utf-8", "replace")
-        if "  " in s or " \n" in s or "\n " in s or s[:1] == " " or s[-1:] == " " or _OTHER_SPACE.search(s):
-            first, *rest = _LONE_SPACE.split(s)
+        if not s:
+            return []
+        if FIRST in s:
+            return [FIRST + s]
+        if "  " in s or " \n" in s or "\n " in s or "\n\n" in s or s[0] in " \n" or s[-1] in " \n" or _OTHER_SPACE.search(s):
+            keys = _LONE_SPACE.split(s)
         else:
-            first, *rest = s.split(" ")
-        return [first, *(" " + x for x in rest)] if first or rest else []
+            keys = s.replace("\n", " \n").split(" ")
+        keys[0] = FIRST + keys[0]
+        return keys
 
-    def _learn(self, new: list) -> None:
-        """Encode chunks and keep their ids. Where white space is dropped, many chunks share a call, a mark
-        of one id between them, which halves the time; chunks that hold the mark go alone."""
+    def _split(self, key) -> tuple | None:
+        """Two keys whose ids make up this key's, if tokens surely part there."""
+        if self.drops_space:
+            return (key[:-1], key[-1:]) if key[-1] in b".,;:!?" and key[-2:-1].isalpha() else None
+        if key[0] == "\n" and len(key) > 1:
+            return FIRST + "\n", FIRST + key[1:]
+        if len(key) > 2 and key[-1] in ".,;:!?" and key[-2].isalpha():
+            return key[:-1], FIRST + key[-1]
+        return None
+
+    def _learn(self, unknown: list) -> None:
+        """Add keys to those known: the ones that split from their parts, the others encoded."""
+        joined, todo, new = [], list(unknown), set()
+        while todo:
+            key = todo.pop()
+            if key in self.known or key in new:
+                continue
+            if (parts := self._split(key)) is None:
+                new.add(key)
+            else:
+                joined.append((key, *parts))
+                todo += parts
+        self._encode_new(list(new))
+        for key, one, other in sorted(joined, key=lambda j: (len(j[0]), j[0][:1] == "\n")):  # parts come first
+            self.known[key] = self.known[one] + self.known[other]
+
+    def _encode_new(self, new: list) -> None:
+        """Where white space is dropped, many chunks share a call, a mark of one id between them, which
+        halves the time; chunks that hold the mark go alone."""
+        encode = lambda texts: self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         if not self.drops_space:
-            for chunk, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.known[chunk] = np.array(e.ids, self.dtype).tobytes()
+            texts = [k[1:] if k[0] == FIRST else k if k[0] == "\n" else " " + k for k in new]
+            for key, e in zip(new, encode(texts), strict=True):
+                self.known[key] = array(self.code, e.ids).tobytes()
             return
         alone = [c for c in new if MARK in c]
-        for chunk, e in zip(alone, self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in alone], add_special_tokens=False), strict=True):
-            self.known[chunk] = np.array(e.ids, self.dtype).tobytes()
+        for chunk, e in zip(alone, encode([c.decode("utf-8", "replace") for c in alone]), strict=True):
+            self.known[chunk] = array(self.code, e.ids).tobytes()
         joint = [c for c in new if MARK not in c] if alone else new
         runs = [joint[i : i + 64] for i in range(0, len(joint), 64)]
         between = b" " + MARK + b" "
-        for run, e in zip(runs, self.tokenizer.encode_batch_fast([between.join(r).decode("utf-8", "replace") for r in runs], add_special_tokens=False), strict=True):
+        for run, e in zip(runs, encode([between.join(r).decode("utf-8", "replace") for r in runs]), strict=True):
             ids = np.array(e.ids, self.dtype)
             cuts = np.flatnonzero(ids == self.mark).tolist()
             data, w, start = ids.tobytes(), self.dtype.itemsize, 0
@@ -76,13 +119,10 @@ class Encoder:
                 text = texts[at] or b""
                 group.append(self.chunks(text))
                 size, at = size + len(text), at + 1
-            unknown = set()
-            for chunks in group:
-                unknown.update(chunks)
-            if len(self.known) + len(unknown) > KNOWN:
+            if len(self.known) + sum(map(len, group)) > KNOWN:
                 self.known.clear()
-            unknown = [c for c in unknown if c not in self.known]
-            if unknown:
+            known = self.known
+            if unknown := [c for chunks in group for c in chunks if c not in known]:
                 self._learn(unknown)
             for chunks in group:
                 yield b"".join(map(self.known.__getitem__, chunks))

@@ -352,7 +352,7 @@ def test_token_files(spark, docs):
     assert token_files.read_tokens(spark, token_files.write_tokens(docs.limit(0), scratch(spark, "t"), tokens.public_path("byte_bpe_50k.json"))).count() == 0
 
 
-@given(st.lists(st.text(alphabet=st.sampled_from("ab .,'s\n\t 　é1$\x01\x1c"), max_size=40), max_size=5))
+@given(st.lists(st.text(alphabet=st.sampled_from("ab .,'s\n\t 　é1$\x00\x01\x1c;"), max_size=40), max_size=5))
 @settings(max_examples=150, deadline=None)
 def test_chunks_encode_as_whole_texts(texts):
     for name, drops in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
