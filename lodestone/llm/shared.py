@@ -60,9 +60,6 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return cut_to(df, name)[0]
 
 
-    return to_arrow_schema(T._parse_datatype_string(schema)) if False else _to_arrow(schema)
-
-
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
 
 
