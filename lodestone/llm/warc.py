@@ -138,7 +138,7 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST, segment: int
                 made = list(records(r["page_id"], r["url"], r["payload"], r["refers"], r["revisit"], f"{task}/{count}", segment))
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], schema=out)
 
-    ready.mapInArrow(write, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", 20_000).text(path)
+    ready.mapInArrow(write, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", 5_000).text(path)
     return path
 
 
