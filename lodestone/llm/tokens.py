@@ -3,8 +3,8 @@
 A text is cut where no token can cross: at ASCII white space if the tokenizer drops white space, else
 before a lone space or line end between two non-space characters. A chunk's ids do not depend on its
 neighbours, and chunks recur, so most are looked up. A chunk not yet known that ends in a letter and one
-mark is its word and the mark, so a word is encoded once for all marks after it. The rest are encoded in one
-call a group of texts.
+mark is its word and the mark, so a word is encoded once for all marks after it. The rest are encoded many
+to a call.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ GROUP_BYTES = 1 << 19  # text whose unknown chunks are encoded together
 KNOWN = 600_000  # chunks kept
 MARK = b"\x01"
 FIRST = "\x00"
+RUN = 256  # chunks encoded in one call
 
 
 class Encoder:
@@ -43,6 +44,11 @@ class Encoder:
             raise RuntimeError("ids are written in this machine's byte order, which must be little-endian")
         if drops_space:
             (self.mark,) = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
+        else:
+            (self.line,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+            (space,) = self.tokenizer.encode(" ", add_special_tokens=False).ids
+            space = self.tokenizer.id_to_token(space)
+            self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith(space) for i in range(self.tokenizer.get_vocab_size())])
 
     def chunks(self, text: bytes) -> list:
         """The keys of a text's chunks. Where white space counts, a key stands for itself with a space before
@@ -88,27 +94,56 @@ class Encoder:
             self.known[key] = self.known[one] + self.known[other]
 
     def _encode_new(self, new: list) -> None:
-        """Where white space is dropped, many chunks share a call, a mark of one id between them, which
-        halves the time; chunks that hold the mark go alone."""
-        encode = lambda texts: self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        if not self.drops_space:
-            texts = [k[1:] if k[0] == FIRST else k if k[0] == "\n" else " " + k for k in new]
-            for key, e in zip(new, encode(texts), strict=True):
-                self.known[key] = array(self.code, e.ids).tobytes()
+        """Many chunks share a call, and their ids are parted again: at a mark of one id where white space is
+        dropped; else at the space that starts a chunk, or at a line end put between chunks that have none.
+        Chunks that hold what parts them go alone."""
+        if self.drops_space:
+            alone = [c for c in new if MARK in c]
+            self._encode_alone(alone, [c.decode("utf-8", "replace") for c in alone])
+            joint = [c for c in new if MARK not in c] if alone else new
+            between = b" " + MARK + b" "
+            runs = [joint[i : i + RUN] for i in range(0, len(joint), RUN)]
+            for run, e in zip(runs, self._ids([between.join(r).decode("utf-8", "replace") for r in runs]), strict=True):
+                ids = np.array(e.ids, self.dtype)
+                cuts = np.flatnonzero(ids == self.mark)
+                self._keep(run, ids, np.r_[0, cuts + 1], np.r_[cuts, len(ids)])
             return
-        alone = [c for c in new if MARK in c]
-        for chunk, e in zip(alone, encode([c.decode("utf-8", "replace") for c in alone]), strict=True):
-            self.known[chunk] = array(self.code, e.ids).tobytes()
-        joint = [c for c in new if MARK not in c] if alone else new
-        runs = [joint[i : i + 64] for i in range(0, len(joint), 64)]
-        between = b" " + MARK + b" "
-        for run, e in zip(runs, encode([between.join(r).decode("utf-8", "replace") for r in runs]), strict=True):
+        spaced = [k for k in new if k[0] != FIRST and k[0] != "\n"]
+        bare = [k for k in new if k[0] == FIRST]
+        ended = [k for k in new if k[0] == "\n"]
+        self._encode_alone(ended, ended)
+        runs = [spaced[i : i + RUN] for i in range(0, len(spaced), RUN)]
+        texts = [" " + " ".join(r) for r in runs]
+        for run, text, e in zip(runs, texts, self._ids(texts), strict=True):
+            ids = np.array(e.ids, self.dtype)
+            cuts = np.flatnonzero(self.spaced[ids])
+            if len(cuts) == len(run) and not _OTHER_SPACE.search(text) and "\n" not in text and "  " not in text:
+                self._keep(run, ids, cuts, np.r_[cuts[1:], len(ids)])
+            else:
+                self._encode_alone(run, [" " + k for k in run])
+        odd = [k for k in bare if len(k) < 2 or " " in k or "\n" in k or _OTHER_SPACE.search(k)]
+        self._encode_alone(odd, [k[1:] for k in odd])
+        joint = sorted(set(bare).difference(odd)) if odd else bare
+        runs = [joint[i : i + RUN] for i in range(0, len(joint), RUN)]
+        for run, e in zip(runs, self._ids(["\n".join([k[1:] for k in r]) for r in runs]), strict=True):
             ids = np.array(e.ids, self.dtype)
-            cuts = np.flatnonzero(ids == self.mark).tolist()
-            data, w, start = ids.tobytes(), self.dtype.itemsize, 0
-            for chunk, stop in zip(run, [*cuts, len(ids)], strict=True):
-                self.known[chunk] = data[w * start : w * stop]
-                start = stop + 1
+            cuts = np.flatnonzero(ids == self.line)
+            if len(cuts) + 1 == len(run):
+                self._keep(run, ids, np.r_[0, cuts + 1], np.r_[cuts, len(ids)])
+            else:
+                self._encode_alone(run, [k[1:] for k in run])
+
+    def _ids(self, texts: list[str]) -> list:
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+
+    def _encode_alone(self, keys: list, texts: list[str]) -> None:
+        for key, e in zip(keys, self._ids(texts), strict=True):
+            self.known[key] = array(self.code, e.ids).tobytes()
+
+    def _keep(self, keys: list, ids: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> None:
+        data, w = ids.tobytes(), self.dtype.itemsize
+        for key, start, stop in zip(keys, (w * starts).tolist(), (w * stops).tolist(), strict=True):
+            self.known[key] = data[start:stop]
 
     def encode(self, texts: list[bytes | None]) -> Iterator[bytes]:
         """The ids of each text, one after the other in little-endian bytes; a null text has none."""
