@@ -23,6 +23,7 @@ GROUP_BYTES = 1 << 19  # text whose unknown chunks are encoded together
 KNOWN = 600_000  # chunks kept
 MARK = b"\x01"
 FIRST = "\x00"
+ENDS = frozenset([*".,;:!?", *(bytes([b]) for b in b".,;:!?")])
 RUN = 256  # chunks encoded in one call
 
 
@@ -77,21 +78,22 @@ class Encoder:
             return key[:-1], FIRST + key[-1]
         return None
 
-    def _learn(self, unknown: list) -> None:
+    def _learn(self, unknown: set) -> None:
         """Add keys to those known: the ones that split from their parts, the others encoded."""
-        joined, todo, new = [], list(unknown), set()
+        known, joined, new, todo = self.known, [], set(), unknown
         while todo:
-            key = todo.pop()
-            if key in self.known or key in new:
-                continue
-            if (parts := self._split(key)) is None:
+            parts = []
+            for key in todo:
+                if key[-1:] in ENDS or key[:1] == "\n":
+                    if (both := self._split(key)) is not None:
+                        joined.append((key, *both))
+                        parts += both
+                        continue
                 new.add(key)
-            else:
-                joined.append((key, *parts))
-                todo += parts
+            todo = set(parts).difference(known, new)
         self._encode_new(list(new))
-        for key, one, other in sorted(joined, key=lambda j: (len(j[0]), j[0][:1] == "\n")):  # parts come first
-            self.known[key] = self.known[one] + self.known[other]
+        for key, one, other in reversed(joined):  # parts were found after what they make up
+            known[key] = known[one] + known[other]
 
     def _encode_new(self, new: list) -> None:
         """Many chunks share a call, and their ids are parted again: at a mark of one id where white space is
@@ -157,7 +159,7 @@ class Encoder:
             if len(self.known) + sum(map(len, group)) > KNOWN:
                 self.known.clear()
             known = self.known
-            if unknown := [c for chunks in group for c in chunks if c not in known]:
+            if unknown := set().union(*group).difference(known):
                 self._learn(unknown)
             for chunks in group:
                 yield b"".join(map(self.known.__getitem__, chunks))
