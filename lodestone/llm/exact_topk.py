@@ -77,23 +77,26 @@ class Lists:
         used = np.flatnonzero(query)
         if not len(used):  # every score is zero: the smallest ids win
             return sorted(best + [(0, int(i)) for i in np.sort(self.ids[self.ids != own])[:k]])[:k]
-        lists = np.where(query[used] > 0, self.order[::-1, used], self.order[:, used])
-        weights, seen, at = query[used], np.zeros(n, bool), 0
-        while at < n:
-            rows = np.unique(lists[at : at + STEP])
-            new = rows[~seen[rows]]
-            seen[new] = True
-            at = min(n, at + STEP)
+        falling, weights, seen, at = query[used] > 0, query[used], np.zeros(n, bool), 0
+        while at < n and not seen.all():
+            stop = min(n, at + STEP)
+            walked = np.where(falling, self.order[::-1][at:stop, used], self.order[at:stop, used])
+            hit = np.zeros(n, bool)
+            hit[walked] = True
+            new = np.flatnonzero(hit & ~seen)
+            seen |= hit
+            at = stop
+            new = new[self.ids[new] != own]
             if len(new):
                 score = self.data[new] @ query
-                if len(best) >= k:
-                    keep = score >= -best[-1][0]
+                least = -best[-1][0] if len(best) >= k else np.partition(score, -k)[-k] if len(new) > k else None
+                if least is not None:
+                    keep = score >= least
                     new, score = new[keep], score[keep]
-                best = sorted(best + [(-int(s), int(i)) for s, i in zip(score, self.ids[new], strict=True) if i != own])[:k]
-            if at < n:
-                bound = int((self.data[lists[at - 1], used] * weights).sum())
-                if len(best) >= k and bound < -best[-1][0]:  # a tie could still bring a smaller id
-                    break
+                best = sorted(best + list(zip((-score).tolist(), self.ids[new].tolist(), strict=True)))[:k]
+            bound = int((self.data[walked[-1], used] * weights).sum())
+            if len(best) >= k and bound < -best[-1][0]:  # a tie could still bring a smaller id
+                break
         return best
 
 
