@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 from lodestone.functions import text as X
 from lodestone.plans.catalog import query
 from lodestone.plans.tables import table
+from lodestone.sources.courses import latex_text
 
 # SQL forms of the expressions in functions.text
 WS = r"trim(regexp_replace(coalesce({0}, ''), '\s+', ' ', 'g'))"
@@ -151,6 +152,16 @@ def _latex(spark, d):
     return table(spark, d, "documents").select("doc_id", X.normalize_ws(t).alias("plain"))
 
 
+# a comment ends where Python's splitlines ends a line
+COMMENT = r"(?<!\\)%[^\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]*"
+
+
+@query("latex_plain")
+def _latex_plain(spark, d):
+    """Whole texts without LaTeX; SQL has no loop to a fixpoint, so a brute-force test stands for a twin."""
+    return table(spark, d, "documents").select("doc_id", latex_text(F.regexp_replace("text", COMMENT, "")).alias("plain"))
+
+
 @query("unit_counter", "SELECT conv_id, turn, role, count(*) OVER (PARTITION BY conv_id, role ORDER BY turn ROWS UNBOUNDED PRECEDING) AS n FROM conversations")
 def _unit_counter(spark, d):
     w = Window.partitionBy("conv_id", "role").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)

@@ -2,6 +2,7 @@
 
 import math
 import os
+import re
 
 import duckdb
 import pytest
@@ -75,3 +76,23 @@ def test_entry_names():
     import __spark_entry__ as e
 
     assert "mine_top_k" in e.queries() and set(e.oracle_sql()) <= set(e.queries())
+
+
+def naive_latex(text):
+    t = "\n".join(re.sub(r"(?<!\\)%.*$", "", line) for line in (text or "").splitlines())
+    t = re.sub(r"\\(?:label|ref|cite|citep|citet|footnote)\{[^}]*\}", " ", t)
+    while m := re.search(r"\\(textbf|textit|emph|underline|texttt|textrm)\{([^}]*)\}", t):
+        t = t[: m.start()] + m[2] + t[m.end() :]
+    t = re.sub(r"\\[a-zA-Z]+\*?(?:\[[^\]]*\])?", " ", t)
+    return " ".join(t.translate(str.maketrans("{}$", "   ")).split())
+
+
+def test_latex_plain_reads_whole_texts(spark, tmp_path):
+    far = "Plain words before any markup, more than sixty characters of them in all. "
+    texts = [far + r"\textbf{bold \emph{deep \textit{deeper} x} end} \cite{k} \footnote{gone} tail $y$", far + "kept 5\\% here % gone \\textbf{too}\nnext \\ref{a} line % gone\r\nlast", far + r"\section*[short]{Title} \underline{u}\texttt{t}\textrm{r} \label{l}\citep{p}\citet{q} {z}", far * 400 + r"\emph{last}", "", None, "% all"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["plain"] for r in catalog.QUERIES["latex_plain"](spark, str(tmp_path)).collect()}
+    assert got == {i: naive_latex(t) for i, t in enumerate(texts)}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    got = {r["doc_id"]: r["plain"] for r in catalog.QUERIES["latex_plain"](spark, SF).collect()}
+    assert got == {r["doc_id"]: naive_latex(r["text"]) for r in docs}
