@@ -32,6 +32,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 HIDDEN = frozenset("script style noscript template svg math iframe object embed canvas audio video map head title textarea select option optgroup button input datalist meter progress dialog".split())
+# fixed values: start tags that may stand in a head; any other ends it
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 # fixed values: start tags that end an open paragraph, and the open elements that others of a kind end
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -67,7 +69,16 @@ def parse(source: str) -> Node:
     stack: list[tuple[str, Node]] = [("html", root)]  # open elements, inline ones with the block they are in
     at, links = 0, 0
 
+    def leave_head() -> None:
+        nonlocal links
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k][0] == "head":
+                links -= sum(t == "a" for t, _ in stack[k:])
+                del stack[k:]
+
     def text(raw: str) -> None:
+        if stack[-1][0] == "head" and raw.strip(" \t\n\r\f"):
+            leave_head()
         if raw and not (here := stack[-1][1]).hidden:
             made = entities.unescape(raw) if "&" in raw else raw
             here.pieces.append(made)
@@ -94,6 +105,11 @@ def parse(source: str) -> Node:
                 if tag in INLINE and stack[k][0] in SCOPE:
                     break
             continue
+        if stack[-1][0] == "head":
+            if tag not in IN_HEAD:
+                leave_head()
+        elif tag == "body" and not any(t == "template" for t, _ in stack):
+            leave_head()
         if tag in ENDS_P or tag in ENDS:
             inner, stop = ({"p"}, SCOPE) if tag in ENDS_P else ENDS[tag]
             for k in range(len(stack) - 1, 0, -1):

@@ -186,6 +186,22 @@ def test_html():
     assert text[1:3] == ["", ""]
 
 
+MAIN = "The first long paragraph, with some words in it, ends here, and it goes on for a while."
+
+
+@pytest.mark.parametrize("start", ["<body>", "", "<noscript><a href=/x>no scripts<body>"])
+def test_html_head_left_open(start):
+    """A page may leave out </head>, and <body> with it."""
+    page = f"<!DOCTYPE html><html><head><title>T</title><meta charset=utf-8>\n<style>p{{}}</style>{start}<article><h1>A head</h1><p>{MAIN}<p>{MAIN}</article></html>"
+    assert html_extract.extract([page], html_extract.trained()) == [f"A head\n{MAIN}\n{MAIN}"]
+
+
+def test_html_head_ends_at_text():
+    root = html_extract.parse("<head><title>T</title> \n<script>x</script>Words <b>here</b></head><p>More")
+    nodes, _, _ = html_extract.features(root)
+    assert html_extract.blocks(nodes, np.ones(len(nodes), bool)) == ["Words here", "More"]
+
+
 def test_html_generated_pages():
     """Pages of the generator that the model has not seen."""
     model, rng, scores = html_extract.trained(), random.Random(77), []
