@@ -47,7 +47,10 @@ KINDS = {t: k for k, group in enumerate(("article main", "nav menu", "header", "
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"(?:class|id|role|itemprop|aria-label|data-role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-_HIDE = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_PAIR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_MAY_HIDE = re.compile("hidden|style", re.I)
+_CLIPS = re.compile(r"\b(?:overflow(?:-[xy])?|backface)-hidden\b", re.I)  # class names that hide no text
+_NOTE = re.compile(r"/\*.*?\*/", re.S)
 _TOKEN = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -63,6 +66,22 @@ class Node:
         self.top = -1
 
 
+def hides(attrs: str) -> bool:
+    """Whether an element is not shown by its own attributes: hidden, aria-hidden=true, or a style that says so.
+
+    Classes say nothing here; they are tokens for the trees."""
+    if not _MAY_HIDE.search(attrs):
+        return False
+    said: dict[str, str] = {}
+    for name, *values in _PAIR.findall(attrs):
+        said.setdefault(name.lower(), entities.unescape("".join(values)).strip().lower())
+    style = {}
+    for declared in _NOTE.sub("", said.get("style", "")).split(";"):
+        name, _, value = declared.partition(":")
+        style[name.strip()] = value.replace("!important", "").strip()
+    return "hidden" in said or said.get("aria-hidden") == "true" or style.get("display") == "none" or style.get("visibility") == "hidden"
+
+
 def parse(source: str) -> Node:
     """The tree of block elements; damaged markup never fails, tags that close nothing are skipped."""
     root = Node("html", None)
@@ -132,7 +151,7 @@ def parse(source: str) -> Node:
             continue
         if tag in ("html", "body") and any(t == tag for t, _ in stack[1:]):
             continue
-        node = Node(tag, here, m[3], here.hidden or tag in HIDDEN or bool(m[3] and _HIDE.search(m[3])))
+        node = Node(tag, here, m[3], here.hidden or tag in HIDDEN or bool(m[3]) and hides(m[3]))
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
             at = end.end() if end else len(source)
@@ -167,7 +186,7 @@ def features(root: Node) -> tuple[list[Node], np.ndarray, list[int]]:
             own[i] = (len(t), words, node.links, node.tags, t.count(".") + t.count(",") + t.count("!") + t.count("?"), node.tag == "p", node.tag == "li", 1, words > 20)
         else:
             own[i, 3], own[i, 6] = node.tags, node.tag == "li"
-        tokens = [w.lower() for a in _ATTR.findall(node.attrs) for w in _TOKEN.findall(a)] if node.attrs else ()
+        tokens = [w.lower() for a in _ATTR.findall(node.attrs) for w in _TOKEN.findall(_CLIPS.sub("", a))] if node.attrs else ()
         p = parents[i]
         x[i, 0] = KINDS.get(node.tag, 0)
         x[i, 1] = sum(w in FOR for w in tokens)

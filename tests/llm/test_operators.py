@@ -202,6 +202,18 @@ def test_html_head_ends_at_text():
     assert html_extract.blocks(nodes, np.ones(len(nodes), bool)) == ["Words here", "More"]
 
 
+@pytest.mark.parametrize("attrs", ['style="overflow:hidden"', 'class="overflow-hidden"', 'aria-hidden="false"', 'title="the hidden cost"', "data-hidden=1", "title='display:none'", "style='display:none;display:block'"])
+def test_html_shown_whatever_speaks_of_hidden(attrs):
+    page = f"<html><head><title>T</title></head><body><article {attrs}><h1>A head</h1><p>{MAIN}<p>{MAIN}</article></body></html>"
+    assert html_extract.extract([page], html_extract.trained()) == [f"A head\n{MAIN}\n{MAIN}"]
+
+
+@pytest.mark.parametrize("attrs", ["hidden", 'class="x"hidden=""', "HIDDEN=until-found", "aria-hidden=true", "style='color:red; DISPLAY : none !important'", 'style="visibility:hidden"'])
+def test_html_hidden(attrs):
+    page = f"<html><head><title>T</title></head><body><article><h1>A head</h1><p>{MAIN}<p {attrs}>{MAIN}</article></body></html>"
+    assert html_extract.extract([page], html_extract.trained()) == [f"A head\n{MAIN}"]
+
+
 def test_html_generated_pages():
     """Pages of the generator that the model has not seen."""
     model, rng, scores = html_extract.trained(), random.Random(77), []
