@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.jaccard_dedup import SIMILAR, WIDTH, similar_groups
 from lodestone.llm.shared import _to_arrow, arrow_map, components, cut, fan_out, utf8
 
 BUDGETS = (0, 1, 2, 3)  # floor(l * 3 / 4) differing bits for chains of 1..4 segments
@@ -166,9 +167,12 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """docs without all but one document of each near-duplicate group: the one with the smallest doc_id.
 
+    Near-duplicates are documents whose sets of `width`-word shingles have a Jaccard similarity of `similar` (a
+    fraction) at least, or a chain of such; op1's fingerprints have no part in it.
+
     Rows that repeat the kept doc_id all stay; rows with a null doc_id stay."""
-    groups = near_groups(docs).select(F.col("doc_id").alias("__doc"), "component_id").where("component_id < __doc").select("__doc").distinct()
+    groups = similar_groups(docs, width, similar).select(F.col("doc_id").alias("__doc"), "component_id").where("component_id < __doc").select("__doc").distinct()
     return docs.join(groups, docs.doc_id == groups["__doc"], "left_anti")

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestone.llm import exact_topk, html_extract, language_id, mixing, near_dedup, packing, quality_rules, substring_dedup, token_files, tokens, warc
+from lodestone.llm import exact_topk, html_extract, jaccard_dedup, language_id, mixing, near_dedup, packing, quality_rules, substring_dedup, token_files, tokens, warc
 from lodestone.llm.shared import components, scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, fp int, size string, found int, words string, copy double"
@@ -80,6 +80,51 @@ def test_chain_finds_every_pair_within_three_bits(a, flips):
     assert found == near
 
 
+def five_words(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_near_copies_by_jaccard(spark):
+    """Copies with edited words on both sides of 0.8, far beyond three bits of a fingerprint, and a chain of them."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = []
+    for _ in range(12):
+        base = [word() for _ in range(rng.choice([30, 120, 400]))]
+        texts.append(base)
+        for _ in range(5):
+            w = list(rng.choice(texts[-3:]))
+            for k in rng.sample(range(len(w)), max(1, int(len(w) * rng.choice([0.005, 0.015, 0.02, 0.03, 0.04])))):
+                w[k] = word()
+            texts.append(w)
+    data = [(i, " ".join(w)) for i, w in enumerate(texts)] + [(100, ""), (101, None), (102, "a b"), (103, "A  b"), (104, "a c"), (0, "other words under a used id"), (105, "Other words under a used id"), (None, " ".join(texts[1]))]
+    sets, group = [five_words(t) for _, t in data], list(range(len(data)))
+    alike = lambda a, b: a == b or 5 * len(a & b) >= 4 * len(a | b) > 0
+    between = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if alike(a, b)]
+    assert sum(len(sets[i] & sets[j]) < 0.9 * len(sets[i] | sets[j]) for i, j in between) > 10
+    for _ in data:
+        for i, j in between:
+            group[i] = group[j] = min(group[i], group[j])
+    least = {g: min(d for h, (d, _) in zip(group, data, strict=True) if h == g and d is not None) for g in group}
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = rows_of(jaccard_dedup.similar_groups(df), "doc_id", "component_id")
+    key = lambda r: (-1 if r[0] is None else r[0], r[1])
+    assert sorted(got, key=key) == sorted(((d, least[g]) for g, (d, _) in zip(group, data, strict=True)), key=key)
+    gone = {d for (d, _), g in zip(data, group, strict=True) if d is not None and least[g] < d}
+    assert sorted(rows_of(near_dedup.keep_one(df.where("doc_id IS NOT NULL")), "doc_id")) == sorted((d,) for d, _ in data if d is not None and d not in gone)
+
+
+def test_similar_links_across_cells(spark):
+    """A crowd of near copies, dealt into many cells, stays one component; a text apart stays out."""
+    base = list(range(1, 201))
+    sets = [sorted([*base[:i], *base[i + 5 :], 1000 + i]) for i in range(60)] + [list(range(150, 350))]
+    rows = [(7, i, len(s), np.array(s, np.uint64).tobytes()) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "root long, node long, n long, found binary")
+    got = components(jaccard_dedup.similar_links(df, cell=900)).collect()
+    assert sorted((r["node"], r["root"]) for r in got) == [(i, 0) for i in range(1, 60)]
+
+
 def test_class_links_across_cells(spark):
     """A crowd of fingerprints around one, dealt into cells of four, stays one component."""
     rng = random.Random(1)
