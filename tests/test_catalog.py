@@ -96,3 +96,11 @@ def test_latex_plain_reads_whole_texts(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     got = {r["doc_id"]: r["plain"] for r in catalog.QUERIES["latex_plain"](spark, SF).collect()}
     assert got == {r["doc_id"]: naive_latex(r["text"]) for r in docs}
+
+
+def test_answers_are_whole_texts(spark, tmp_path):
+    turns = [(1, 0, "user", "The answer is one."), (1, 1, "user", "The answer is two."), (1, 2, "user", "The answer is one.")]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = catalog.QUERIES["paraphrase_consistency"](spark, str(tmp_path)).first()
+    assert (got["n"], got["same"]) == (2, 1)
+    assert catalog.QUERIES["answer_entropy"](spark, str(tmp_path)).where("entropy > 0").count() == 1
