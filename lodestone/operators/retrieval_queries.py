@@ -136,13 +136,19 @@ UNION ALL SELECT 'mrr@10', round(avg(CASE WHEN f <= 10 THEN 1 / f::DOUBLE ELSE 0
 
 
 def verbatim(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(qid, doc_id) of documents that hold an item word for word: joined on the item's second to fourth words."""
+    """(qid, doc_id) of documents that hold an item word for word.
+
+    Items of five words or more are joined on their second to fourth words, which are whole words of any such document.
+    Shorter ones have no such key: each is looked for in every document."""
     parts = F.split("text", r"\s+")
     split = docs.select("doc_id", parts.alias("w"))  # a column of its own, so that no lambda splits again
     grams = split.select("doc_id", F.explode(F.array_distinct(F.transform("w", lambda w, i: F.xxhash64(w, F.get("w", i + 1), F.get("w", i + 2))))).alias("g"))
-    keyed = items.select("qid", F.col("text").alias("item"), F.xxhash64(F.get(parts, F.lit(1)), F.get(parts, F.lit(2)), F.get(parts, F.lit(3))).alias("g"))
+    few = F.size(parts) < 5
+    keyed = items.where(~few).select("qid", F.col("text").alias("item"), F.xxhash64(F.get(parts, F.lit(1)), F.get(parts, F.lit(2)), F.get(parts, F.lit(3))).alias("g"))
     found = grams.select("doc_id", "g").join(keyed, "g").select("qid", "item", "doc_id").distinct()
-    return found.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "item")).select("qid", "doc_id")
+    long = found.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "item")).select("qid", "doc_id")
+    short = items.where(few).select("qid", F.col("text").alias("item"))
+    return long.union(docs.select("doc_id", "text").join(short, F.contains("text", "item")).select("qid", "doc_id"))
 
 
 @query("bm25_metrics", "WITH " + BM25.format(k=20) + ", run AS (SELECT * FROM bm), qrels AS (SELECT item_id AS qid, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))," + METRICS)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 from lodestone.operators.metrics_queries import p_index
-from lodestone.operators.retrieval_queries import metrics
+from lodestone.operators.retrieval_queries import metrics, verbatim
 from lodestone.operators.selection_queries import greedy
 from lodestone.plans import catalog, suite
 
@@ -104,3 +104,10 @@ def test_answers_are_whole_texts(spark, tmp_path):
     got = catalog.QUERIES["paraphrase_consistency"](spark, str(tmp_path)).first()
     assert (got["n"], got["same"]) == (2, 1)
     assert catalog.QUERIES["answer_entropy"](spark, str(tmp_path)).where("entropy > 0").count() == 1
+
+
+def test_verbatim_finds_short_items(spark):
+    docs = [(1, "foo bar baz qux. More words follow here"), (2, "xfoo barred"), (3, "one two three four five six"), (4, None)]
+    items = [(1, "foo bar baz qux"), (2, "foo bar"), (3, "qux"), (4, "two three four five si"), (5, " two three four "), (6, "nothing here"), (7, "three  four"), (8, None)]
+    got = verbatim(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "qid long, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted((q, d) for q, i in items for d, t in docs if i is not None and t is not None and i in t)
