@@ -8,7 +8,7 @@ partitions' token counts.
 
 A task names its files by a fresh id and returns one manifest row, so files of lost or repeated attempts
 are never read: the manifest, a Parquet table written by Spark, is what commits them. Files go to any
-store that Arrow's file systems open; mounted ones are mapped, others read whole by partition.
+store that Arrow's file systems open; mounted ones are mapped, of others a block of documents is read at a time.
 """
 
 from __future__ import annotations
@@ -31,16 +31,27 @@ MANIFEST = "part int, name string, n_docs long, n_tokens long"
 _ORDER = np.dtype([("null", "?"), ("doc_id", "<i8")])
 
 
+# fixed values: schemes that Spark and Arrow name differently
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+BLOCK = 10_000  # documents read at a time
+
+
+def arrow_uri(path: str) -> str:
+    """A path as Arrow's file systems name it (file, hdfs, s3, gs, abfss); others fail there with Arrow's own error."""
+    scheme, colon, rest = path.partition("://")
+    return f"{SCHEMES.get(scheme, scheme)}://{rest}" if colon else path
+
+
 def _store(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
+    return fs.FileSystem.from_uri(arrow_uri(path)) if ":" in path else (fs.LocalFileSystem(), path)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END, drops_space: bool = False, dtype: str = "<u2") -> str:
     """Write docs (doc_id, text) under path, a URI, and return it.
 
-    A null text is a document of the end id alone. Null doc_ids come first; rows that repeat a doc_id
-    follow each other in the order of a hash of their text. An empty table makes an empty manifest.
-    Other columns of docs are not read."""
+    A null or empty text is a document of the end id alone; a text of any length is one document. Null doc_ids
+    come first; rows that repeat a doc_id follow each other in the order of a hash of their text. An empty
+    table makes an empty manifest. Other columns of docs, whatever their names, are not read."""
     spark, end = docs.sparkSession, np.array([end_id], dtype).tobytes()
     if end_id > np.iinfo(dtype).max:
         raise ValueError(f"end id {end_id} does not fit {dtype}")
@@ -81,12 +92,21 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END,
     return path
 
 
-def _map(path: str, dtype) -> np.ndarray:
-    if (mounted := local_path(path)) is not None:
-        return np.memmap(mounted, dtype, "r")
-    store, name = _store(path)
-    with store.open_input_stream(name) as f:
-        return np.frombuffer(f.read(), dtype)
+class Flat:
+    """A file of equal items: mapped where it is mounted, else read by ranges."""
+
+    def __init__(self, path: str, dtype):
+        self.dtype, mounted = np.dtype(dtype), local_path(path)
+        self.mapped = None if mounted is None else np.memmap(mounted, self.dtype, "r")
+        if mounted is None:
+            store, name = _store(path)
+            self.file = store.open_input_file(name)
+
+    def items(self, start: int, stop: int) -> np.ndarray:
+        if self.mapped is not None:
+            return self.mapped[start:stop]
+        size = self.dtype.itemsize
+        return np.frombuffer(self.file.read_at(size * (stop - start), size * start), self.dtype)
 
 
 def read_tokens(spark: SparkSession, path: str, dtype: str = "<u2") -> DataFrame:
@@ -94,19 +114,21 @@ def read_tokens(spark: SparkSession, path: str, dtype: str = "<u2") -> DataFrame
     parts = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").orderBy("part").collect()  # a row a partition
     based, base = [], 0
     for p in parts:
-        based.append((p["name"], p["n_tokens"], base))
+        based.append((p["name"], p["n_docs"], p["n_tokens"], base))
         base += p["n_tokens"]
-    todo = spark.createDataFrame(based, "name string, n_tokens long, base long").repartition(max(1, len(based)))
+    todo = spark.createDataFrame(based, "name string, n_docs long, n_tokens long, base long").repartition(max(1, len(based)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _to_arrow("doc_id long, start long, n_tokens long, ids_crc32 long")
         for b in batches:
             for r in b.to_pylist():
-                tokens, offsets, ids = (_map(f"{path}/{r['name']}.{kind}", t) for kind, t in (("tokens", dtype), ("offsets", "<u8"), ("ids", _ORDER)))
-                for i in range(0, len(offsets), 10_000):
-                    edge = np.append(offsets[i : i + 10_001], np.uint64(r["n_tokens"])).astype(np.int64)[: min(10_000, len(offsets) - i) + 1]
-                    own = ids[i : i + 10_000]
-                    crc = [zlib.crc32(tokens[s:e].astype("<u4").tobytes()) for s, e in zip(edge[:-1], edge[1:], strict=True)]
+                tokens, offsets, ids = (Flat(f"{path}/{r['name']}.{kind}", t) for kind, t in (("tokens", dtype), ("offsets", "<u8"), ("ids", _ORDER)))
+                for i in range(0, r["n_docs"], BLOCK):
+                    stop = min(r["n_docs"], i + BLOCK)
+                    edge = offsets.items(i, min(r["n_docs"], stop + 1)).astype(np.int64)
+                    edge = edge if stop < r["n_docs"] else np.append(edge, r["n_tokens"])
+                    own, data = ids.items(i, stop), tokens.items(edge[0], edge[-1])
+                    crc = [zlib.crc32(data[s:e].astype("<u4").tobytes()) for s, e in zip(edge[:-1] - edge[0], edge[1:] - edge[0], strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array(own["doc_id"], pa.int64(), mask=own["null"]), pa.array(edge[:-1] + r["base"]), pa.array(np.diff(edge)), pa.array(crc, pa.int64())], schema=out)
 
     return todo.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -326,11 +327,20 @@ def test_substring_random(spark):
     assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == naive_strip(data)
 
 
-def test_packing(spark, docs):
-    got = packing.packed(docs).collect()
+@lru_cache
+def plain_tokenizer(name):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokens.public_path("word_bpe_49k.json"))
+    return Tokenizer.from_file(tokens.public_path(name))
+
+
+SPECIAL = [(500, "<|endoftext|>"), (501, "a b <|endoftext|> c"), (502, "<|startoftext|>Words<|endoftext|>\n<|ENDOFTEXT|>")]
+
+
+def test_packing(spark, docs):
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame(SPECIAL, "doc_id long, text string"))
+    got = packing.packed(docs).collect()
+    t = plain_tokenizer("word_bpe_49k.json")
     want = []
     for d, text in rows_of(docs, "doc_id", "text"):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 1]
@@ -409,10 +419,9 @@ def test_fill_is_exact_where_a_subset_sum_is(counts, share):
 
 
 def test_token_files(spark, docs):
-    from tokenizers import Tokenizer
-
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame(SPECIAL, "doc_id long, text string"))
     got = token_files.read_tokens(spark, token_files.write_tokens(docs, scratch(spark, "t"), tokens.public_path("byte_bpe_50k.json"))).collect()
-    t = Tokenizer.from_file(tokens.public_path("byte_bpe_50k.json"))
+    t = plain_tokenizer("byte_bpe_50k.json")
     want, ids = [], {}
     for d, text in rows_of(docs, "doc_id", "text"):
         ids.setdefault(-1 if d is None else d, []).append([*t.encode(text or "", add_special_tokens=False).ids, 2])
@@ -425,10 +434,68 @@ def test_token_files(spark, docs):
     assert token_files.read_tokens(spark, token_files.write_tokens(docs.limit(0), scratch(spark, "t"), tokens.public_path("byte_bpe_50k.json"))).count() == 0
 
 
-@given(st.lists(st.text(alphabet=st.sampled_from("ab .,'s\n\t 　é1$\x00\x01\x1c;"), max_size=40), max_size=5))
-@settings(max_examples=150, deadline=None)
-def test_chunks_encode_as_whole_texts(texts):
-    for name, drops in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
-        own = tokens.encoder(tokens.public_path(name), drops, "<u4")
-        for text, ids in zip(texts, own.encode([t.encode() for t in texts]), strict=True):
-            assert np.frombuffer(ids, "<u4").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+PIECES = ["a", "b", "Wort", "École", "naïve", "ŉ", "İx", "ʼn", "e\u0301", " ", "  ", ".", ",", "'s", "\n", "\n\n", "\t", "\u3000", "\xa0", "\u2028", "é", "É.", "1", "$", "\x00", "\x01", "\x1c", ";", "<", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "“q”.", "…", "Σας", "日本。"]
+
+
+@pytest.mark.parametrize(("name", "drops"), [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+@given(st.lists(st.lists(st.sampled_from(PIECES), max_size=14).map("".join), max_size=5))
+@settings(max_examples=200, deadline=None)
+def test_chunks_encode_as_whole_texts(name, drops, texts):
+    """Against the library's own call on the whole text, added strings included, wherever they stand."""
+    own, plain = tokens.encoder(tokens.public_path(name), drops, "<u4"), plain_tokenizer(name)
+    assert own.quick is not None
+    texts = [*texts, "<|endoftext|>", "<|endoftext|>x", "x <|endoftext|>", "a<|startoftext|><|endoftext|> b.\nC"]
+    for text, ids in zip(texts, own.encode([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize(("name", "drops"), [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_encoder_on_documents(spark, name, drops, monkeypatch):
+    """Real texts, with so few chunks kept that generations change all the time."""
+    monkeypatch.setattr(tokens, "KNOWN", 500)
+    monkeypatch.setattr(tokens, "GROUP_BYTES", 5000)
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    own, plain = tokens.Encoder(tokens.public_path(name), drops, "<u4"), plain_tokenizer(name)
+    for text, ids in zip(texts, own.encode([None if t is None else t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text or "", add_special_tokens=False).ids
+
+
+def test_token_files_by_ranges(spark, docs, monkeypatch):
+    """A store that cannot be mapped is read by ranges, a few documents at a time."""
+    path = token_files.write_tokens(docs, scratch(spark, "t"), tokens.public_path("byte_bpe_50k.json"))
+    want = sorted(map(tuple, token_files.read_tokens(spark, path).collect()), key=str)
+    monkeypatch.setattr(token_files, "BLOCK", 2)
+    monkeypatch.setattr(token_files, "local_path", lambda p: None)
+    part = spark.read.parquet(f"{path}/manifest").first()
+    flat = token_files.Flat(f"{path}/{part['name']}.tokens", "<u2")
+    assert flat.mapped is None and len(flat.items(0, part["n_tokens"])) == part["n_tokens"]
+    assert sorted(map(tuple, token_files.read_tokens(spark, path).collect()), key=str) == want
+    assert token_files.arrow_uri("s3a://b/k") == "s3://b/k" and token_files.arrow_uri("/x") == "/x"
+
+
+def test_genetic_search_beats_best_fit():
+    """Items in threes that fill a bin exactly: best fit by falling length wastes bins, crossover wins some back."""
+    rng, lengths = random.Random(1), []
+    for _ in range(40):
+        a = rng.randint(380, 490)
+        b = rng.randint(250, 750 - a)
+        lengths += [a, b, 1000 - a - b]
+    plain = packing.best_fit(sorted(range(120), key=lambda i: -lengths[i]), lengths, 1000, [])
+    before: list = []
+    for epoch in range(4):
+        after = packing.evolve(lengths, 1000, before, [], epoch, generations=100)
+        assert not before or len(after[0]) <= len(before[0])
+        before = after
+    best = before[0]
+    assert sorted(i for b in best for i in b) == list(range(120)) and all(sum(lengths[i] for i in b) <= 1000 for b in best)
+    assert len(plain) >= 47 and len(best) <= len(plain) - 3
+    assert packing.from_bytes(packing.to_bytes(best, 120)) == best
+
+
+def test_crossover_keeps_injected_bins_whole():
+    lengths = [5, 5, 4, 4, 3, 3, 2, 2, 1, 1]
+    one, other = [(0, 2, 8), (1, 3, 9), (4, 5, 6), (7,)], [(0, 1), (2, 4, 5), (3, 6, 7, 8, 9)]
+    for seed in range(20):
+        child = packing.cross(one, other, lengths, 10, random.Random(seed))
+        assert sorted(i for b in child for i in b) == list(range(10)) and all(sum(lengths[i] for i in b) <= 10 for b in child)
+        assert set(child) & set(other)
