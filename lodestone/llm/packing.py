@@ -26,105 +26,130 @@ from lodestone.llm.tokens import encoder, public_path
 
 CAPACITY, END = 4096, 1
 SHARD = 4096  # items of a shard, at most
-ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 6, 3
+ISLANDS, EPOCHS, GENERATIONS, POPULATION = 3, 2, 40, 8
 ROUNDS = 4
 OPEN = 0.995  # bins filled less are opened again between rounds
 
-Bins = list[list[int]]
+Bins = list[tuple[int, ...]]  # the items of every bin, ascending
 
 
 class Spaces:
-    """Open bins by free space: the smallest space that fits comes from one shift of a bit set."""
+    """Bins by free space: the smallest space that fits comes from one shift of a bit set."""
 
     def __init__(self, capacity: int):
-        self.capacity, self.bits, self.by = capacity, 0, [[] for _ in range(capacity + 1)]
+        self.bits, self.by = 0, [[] for _ in range(capacity + 1)]
 
-    def add(self, space: int, bin_: list[int]) -> None:
-        self.by[space].append(bin_)
+    def add(self, space: int, k: int) -> None:
+        self.by[space].append(k)
         self.bits |= 1 << space
 
-    def put(self, item: int, length: int) -> list[int] | None:
-        """The bin if a new one was opened."""
+    def take(self, length: int) -> int | None:
+        """The bin with the least space that `length` fits in, now so much fuller; None if there is none."""
         fit = self.bits >> length
-        if fit:
-            space = length + (fit & -fit).bit_length() - 1
-            bin_ = self.by[space].pop()
-            if not self.by[space]:
-                self.bits ^= 1 << space
-            bin_.append(item)
-            self.add(space - length, bin_)
+        if not fit:
             return None
-        bin_ = [item]
-        self.add(self.capacity - length, bin_)
-        return bin_
+        space = length + (fit & -fit).bit_length() - 1
+        k = self.by[space].pop()
+        if not self.by[space]:
+            self.bits ^= 1 << space
+        if space > length:
+            self.add(space - length, k)
+        return k
 
 
 def best_fit(items: list[int], lengths: list[int], capacity: int, bins: Bins) -> Bins:
     """bins with the items added, in the order given."""
-    spaces = Spaces(capacity)
-    for b in bins:
-        spaces.add(capacity - sum(lengths[i] for i in b), b)
+    spaces, bins = Spaces(capacity), list(bins)
+    grown: dict[int, list[int]] = {}
+    for k, b in enumerate(bins):
+        if (space := capacity - sum([lengths[i] for i in b])) > 0:
+            spaces.add(space, k)
     for i in items:
-        if (new := spaces.put(i, lengths[i])) is not None:
-            bins.append(new)
+        if (k := spaces.take(lengths[i])) is None:
+            k = len(bins)
+            bins.append(())
+            spaces.add(capacity - lengths[i], k)
+        grown.setdefault(k, []).append(i)
+    for k, more in grown.items():
+        bins[k] = tuple(sorted([*bins[k], *more]))
     return bins
 
 
 def fitness(bins: Bins, lengths: list[int], capacity: int) -> float:
     """Fewer bins first; among as many, the mean square of their fill."""
-    return sum((sum(lengths[i] for i in b) / capacity) ** 2 for b in bins) / len(bins) ** 2 - len(bins) if bins else 0.0
+    return sum([(sum([lengths[i] for i in b]) / capacity) ** 2 for b in bins]) / len(bins) ** 2 - len(bins) if bins else 0.0
+
+
+def cross(one: Bins, other: Bins, lengths: list[int], capacity: int, rng: random.Random) -> Bins:
+    """`one` with some of the well-filled bins of `other` injected whole; bins of `one` that hold any of the same
+    items go, and the items so displaced are put back by best fit, longest first. Bins that both parents have
+    are left out of the choice: to inject them changes nothing."""
+    had = set(one)
+    news = [b for b in other if b not in had]
+    if not news:
+        return one
+    news.sort(key=lambda b: (-sum([lengths[i] for i in b]), b))
+    best = news[: max(1, (2 * len(news) + 2) // 3)]
+    injected = rng.sample(best, rng.randint(1, max(1, len(best) // 2)))
+    inside = {i for b in injected for i in b}
+    kept = [b for b in one if inside.isdisjoint(b)]
+    displaced = [i for b in one if not inside.isdisjoint(b) for i in b if i not in inside]
+    displaced.sort(key=lambda i: (-lengths[i], i))
+    return best_fit(displaced, lengths, capacity, kept + injected)
 
 
-def cross(one: Bins, other: Bins, lengths: list[int], capacity: int, share: float, rng: random.Random) -> Bins:
-    """`one` with the best-filled bins of `other` injected."""
-    filled = sorted(other, key=lambda b: -sum(lengths[i] for i in b))
-    most = max(1, int(len(filled) * share))
-    injected = [b for b in filled[:most] if rng.random() < 0.5] or filled[:1]
-    inside = {i for b in injected for i in b}
-    kept: Bins = []
-    displaced: list[int] = []
-    for b in one:
-        if inside.isdisjoint(b):
-            kept.append(list(b))
-        else:
-            displaced += [i for i in b if i not in inside]
-    displaced.sort(key=lambda i: -lengths[i])
-    return best_fit(displaced, lengths, capacity, kept + [list(b) for b in injected])
+def mutated(one: Bins, lengths: list[int], capacity: int, rng: random.Random) -> Bins:
+    """`one` with its emptiest bin and a few others opened, and their items put back by best fit in a shaken order."""
+    order = sorted(range(len(one)), key=lambda k: sum([lengths[i] for i in one[k]]))
+    gone = {order[0], *rng.sample(order, min(len(order), rng.randint(1, 4)))}
+    items = [i for k in gone for i in one[k]]
+    noise = {i: -lengths[i] * rng.uniform(0.7, 1.3) for i in items}
+    return best_fit(sorted(items, key=lambda i: (noise[i], i)), lengths, capacity, [b for k, b in enumerate(one) if k not in gone])
 
 
 def to_bytes(bins: Bins, n: int) -> bytes:
     at = np.zeros(n, "<u2")
     for k, b in enumerate(bins):
-        at[b] = k
+        at[list(b)] = k
     return at.tobytes()
 
 
 def from_bytes(data: bytes) -> Bins:
     at = np.frombuffer(data, "<u2")
-    bins: Bins = [[] for _ in range(int(at.max()) + 1 if len(at) else 0)]
+    bins: list[list[int]] = [[] for _ in range(int(at.max()) + 1 if len(at) else 0)]
     for i, k in enumerate(at.tolist()):
         bins[k].append(i)
-    return bins
+    return list(map(tuple, bins))
 
 
 def evolve(lengths: list[int], capacity: int, population: list[Bins], guests: list[Bins], seed: int, size: int = POPULATION, generations: int = GENERATIONS) -> list[Bins]:
-    """The population after an epoch, the fittest first. Ends early at the lower bound on bins."""
+    """The population after an epoch, the fittest first.
+
+    It starts from best fit by falling length and by shaken lengths. Every generation crosses two parents, the
+    fitter of two draws each, sometimes mutates the child, and puts it in the place of the least fit. It ends
+    early only where no grouping can have fewer bins: at the total length over the capacity, rounded up, or
+    the number of items longer than half a bin."""
     rng = random.Random(seed)
-    least = -(-sum(lengths) // capacity)
+    least = max(-(-sum(lengths) // capacity), sum(2 * n > capacity for n in lengths))
     population = [*population, *guests]
     if not population:
         order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
         population.append(best_fit(order, lengths, capacity, []))
     while len(population) < size and min(map(len, population)) > least:
-        noise = [lengths[i] * rng.uniform(0.9, 1.1) for i in range(len(lengths))]
+        noise = [lengths[i] * rng.uniform(0.8, 1.2) for i in range(len(lengths))]
         population.append(best_fit(sorted(range(len(lengths)), key=lambda i: -noise[i]), lengths, capacity, []))
-    scored = sorted(((fitness(b, lengths, capacity), k, b) for k, b in enumerate(population)), key=lambda x: (-x[0], x[1]))[:size]
+    scored = sorted(((fitness(b, lengths, capacity), -k, b) for k, b in enumerate(population)), key=lambda x: x[:2], reverse=True)[:size]
+    draw = lambda: min(rng.randrange(len(scored)), rng.randrange(len(scored)))
     for g in range(generations):
         if len(scored) < 2 or len(scored[0][2]) <= least:
             break
-        (_, _, one), (_, _, other) = rng.sample(scored, 2)
-        child = cross(one, other, lengths, capacity, 0.7, rng)
-        scored = sorted([*scored, (fitness(child, lengths, capacity), len(scored) + g, child)], key=lambda x: (-x[0], x[1]))[:size]
+        child = cross(scored[draw()][2], scored[draw()][2], lengths, capacity, rng)
+        if rng.random() < 0.5:
+            child = mutated(child, lengths, capacity, rng)
+        fit = fitness(child, lengths, capacity)
+        if fit > scored[-1][0] and all(fit != x[0] for x in scored):
+            scored[-1] = (fit, -len(population) - g, child)
+            scored.sort(key=lambda x: x[:2], reverse=True)
     return [b for _, _, b in scored]
 
 
@@ -184,7 +209,7 @@ def _placed(capacity: int, round_: int, last: bool):
             for r in b.to_pylist():
                 items, rows = np.frombuffer(r["items"], ITEM), []
                 for k, bin_ in enumerate(from_bytes(r["elite"])):
-                    closed, at = last or items["length"][bin_].sum() >= OPEN * capacity, 0
+                    closed, at = last or items["length"][list(bin_)].sum() >= OPEN * capacity, 0
                     for i in bin_:
                         x = items[i]
                         rows.append((None if x["none"] else int(x["doc"]), int(x["piece"]), int(x["start"]), int(x["length"]), int(x["crc"]), round_ << 56 | r["shard"] << 13 | k, at, bool(closed)))
@@ -231,7 +256,11 @@ def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def packed(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """Documents cut into pieces and packed. A null text is a piece of the end id alone."""
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): documents cut into pieces and packed.
+
+    A null or empty text is a piece of the end id alone; a text of more than `capacity` tokens, however long, is
+    cut into pieces. A null doc_id stays null. Rows that repeat a document are packed each by itself. An empty
+    table gives no rows. Other columns of docs, whatever their names, are not read."""
     return pack(cut(pieces(docs, tokenizer or public_path("word_bpe_49k.json"), capacity), "pieces"), capacity)
 
 
