@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,24 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_SCOPE: list[str] = []
+
+
+@contextmanager
+def scope(spark: SparkSession, name: str) -> Iterator[str]:
+    """Tables cut inside the block go to one folder, which is yielded: remove() takes them all at once."""
+    folder = scratch(spark, name)
+    _SCOPE.append(folder)
+    try:
+        yield folder
+    finally:
+        _SCOPE.remove(folder)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder. Tables stay there until sweep() or the folder's own clean-up."""
-    return f"{shared_dir(spark)}/lodestone/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new path in the shared folder. Tables stay there until their scope is removed, sweep() or the folder's own clean-up."""
+    base = _SCOPE[-1] if _SCOPE else f"{shared_dir(spark)}/lodestone/{spark.sparkContext.applicationId}"
+    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -116,11 +132,31 @@ def ranked(df: DataFrame, order: list[Column], name: str, weight: str | None = N
     return held.withColumn(name, (F.coalesce(F.sum(w).over(run), F.lit(0)) + F.coalesce(bases[F.col("__part")], F.lit(0))).cast("long")).drop("__part")
 
 
+HOT = 256  # rows of one key that a task may meet, at the least
+HOT_KEYS = 100_000  # keys that may be hot: a larger table needs more rows of a key to make it one
+
+
+def spread_join(big: DataFrame, small: DataFrame, on: list[str], rows: int, n: str = "n", by: str | None = None, hot: int = HOT, hashed: bool = False) -> DataFrame:
+    """big joined with small (one row a key, with `n`, the rows that big has of it), hot keys dealt over many tasks.
+
+    `rows` is the number of rows of big. A key is hot if it has more than max(hot, rows / HOT_KEYS) of them, so
+    that at most HOT_KEYS keys are hot whatever the size of big: these alone are broadcast, to tell big's rows which
+    of them take a salt (from column `by`, or at random places of the table). small's hot rows are repeated, one for each salt. `hashed` keeps wide rows of big from
+    being sorted: a partition of small must then fit a task. `n` is dropped."""
+    most = max(hot, -(-rows // HOT_KEYS))
+    salts = F.ceil(F.col(n) / F.lit(most)).cast("long")
+    few = small.where(F.col(n) > most).select(*on, salts.alias("__salts")).limit(HOT_KEYS)  # the bound, for the planner too
+    turn = F.xxhash64(by) if by else F.monotonically_increasing_id()
+    salted = big.join(F.broadcast(few), on, "left").withColumn("__salt", F.when(F.col("__salts").isNotNull(), F.pmod(turn, F.col("__salts"))).otherwise(F.lit(0).cast("long"))).drop("__salts")
+    dealt = small.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(salts, F.lit(1)) - 1))).drop(n)
+    return salted.join(dealt.hint("shuffle_hash") if hashed else dealt, [*on, "__salt"]).drop("__salt")
+
+
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(node, root) of every node of the undirected edges (a, b): root is the smallest node reachable.
 
     Alternating large-star and small-star steps: each is one grouped minimum (combined before the
-    shuffle) and one join; a node's neighbours never meet in one task. Every step is cut, the one before
+    shuffle) and one join that deals the neighbours of a hub over many tasks. Every round is cut, the one before
     it deleted. Ends when a round changes nothing."""
     spark = edges.sparkSession
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -131,13 +167,14 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 
     def step(df: DataFrame, large: bool) -> DataFrame:
         near = df.union(df.select("v", "u")) if large else df
-        least = near.groupBy(F.col("u").alias("k")).agg(F.min("v").alias("m")).select("k", F.least("k", "m").alias("m"))
-        both = near.join(least, near.u == least.k)
+        least = near.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        both = spread_join(near, least, ["u"], 2 * most_edges, by="v")
         if large:
             return both.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         return both.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(both.select("u", F.col("m").alias("v"))).distinct()
 
     seen = print_of(now)
+    most_edges = seen[0]  # of the first round; later ones have no more than twice as many
     if seen[0]:
         for _ in range(most):
             after, next_path = cut_to(step(step(now, True), False), "edges")

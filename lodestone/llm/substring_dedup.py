@@ -11,8 +11,12 @@ one occurrence of each is extended word by word: each window that holds it (35 a
 grouped over the anchor's classes, and repeats if a smaller document has it. So a passage in m documents
 costs in proportion to m, and no pairs of documents are formed.
 
-Maximal repeats. The repeated windows of a document, merged where they meet, are its maximal repeats of
-at least 50 words; their words go.
+Maximal repeats. A run of repeated windows that start at consecutive words is a maximal repeat: neither its
+first nor its last word can be extended by another repeated window. Each is kept as its first word and the
+word after its last, 50 words apart at least; the words between go.
+
+Rows, not ids, carry text: a row is known by the hash of its doc_id and text, and doc_id only says which
+document is smaller. Joins on anchors, windows and classes deal hot keys over many tasks.
 """
 
 from __future__ import annotations
@@ -27,11 +31,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import Memo, _to_arrow, cut, cut_to, mix64, remove, utf8
+from lodestone.llm.shared import Memo, _to_arrow, cut, cut_to, mix64, remove, spread_join, utf8
 
 WINDOW, GRAM = 50, 16
 BASE = 0x9E3779B97F4A7C15  # odd, so that its powers can be divided out modulo 2^64
 INVERSE = pow(BASE, -1, 1 << 64)
+SEED = "anchor long, around long, doc_id long, key long, pos int"
+WINDOWS = "anchor long, around long, doc_id long, back int, window long"
 
 
 class Hasher:
@@ -82,11 +88,11 @@ class Seeds:
             raise ValueError("the gram must be shorter than the window, by 62 words at most")
 
     def seed(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(anchor, around, doc_id, pos) of every anchor; around hashes its whole extension."""
-        out, hasher = _to_arrow("anchor long, around long, doc_id long, pos int"), Hasher()
+        """(anchor, around, doc_id, key, pos) of every anchor; around hashes its whole extension."""
+        out, hasher = _to_arrow(SEED), Hasher()
         for batch in batches:
-            cols: list[list[np.ndarray]] = [[], [], [], []]
-            for doc, text in zip(batch.column("doc_id").to_pylist(), utf8(batch), strict=True):
+            cols: list[list[np.ndarray]] = [[], [], [], [], []]
+            for doc, key, text in zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), utf8(batch), strict=True):
                 words = (text or b"").split()
                 n = len(words)
                 if n < self.window or doc is None:
@@ -96,22 +102,20 @@ class Seeds:
                 at = anchors(h, self.reach + 1)
                 left, right = np.maximum(at - self.reach, 0), np.minimum(at + self.window, n)
                 around = mix64(hasher.runs(prefix, left, right) + (at - left).astype(np.uint64))
-                for c, x in zip(cols, (h[at].view(np.int64), around.view(np.int64), np.full(len(at), doc), at), strict=True):
+                for c, x in zip(cols, (h[at].view(np.int64), around.view(np.int64), np.full(len(at), doc), np.full(len(at), key), at), strict=True):
                     c.append(x)
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(cols, out, strict=True)], schema=out)
 
     def extend(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(doc_id, packed, found: [(pos, anchor, around)]) -> a row for each window that holds a seed."""
-        out, hasher, unpack = _to_arrow("anchor long, around long, doc_id long, back int, window long"), Hasher(), zstandard.ZstdDecompressor()
+        out, hasher, unpack = _to_arrow(WINDOWS), Hasher(), zstandard.ZstdDecompressor()
         for batch in batches:
             cols: list[list[np.ndarray]] = [[], [], [], [], []]
             for doc, packed, found in zip(batch.column("doc_id").to_pylist(), batch.column("packed").to_pylist(), batch.column("found").to_pylist(), strict=True):
                 words = unpack.decompress(packed).split()
                 n, prefix = len(words), hasher.prefix(words)
                 for seed in found:
-                    if n < self.window or seed["pos"] + self.gram > n:  # another row with this doc_id
-                        continue
                     start = np.arange(max(0, seed["pos"] - self.reach), min(seed["pos"], n - self.window) + 1)
                     made = hasher.runs(prefix, start, start + self.window)
                     for c, x in zip(cols, (np.full(len(start), seed["anchor"]), np.full(len(start), seed["around"]), np.full(len(start), doc), seed["pos"] - start, made.view(np.int64)), strict=True):
@@ -119,28 +123,33 @@ class Seeds:
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(cols, out, strict=True)], schema=out)
 
-    def covered(self, n: int, found: list[dict]) -> np.ndarray:
-        """Which of n words the repeated windows cover; bit j of a mask is the window from pos - j."""
+    def maximal(self, n: int, found: list[dict]) -> list[tuple[int, int]]:
+        """The maximal repeats (first word, word after the last) of n words; bit j of a mask is the window from pos - j."""
         pos, mask = (np.fromiter((f[k] for f in found), np.int64, len(found)) for k in ("pos", "mask"))
         hit, back = np.nonzero(mask[:, None] >> np.arange(self.reach + 1) & 1)
         s = np.unique(pos[hit] - back)
         s = s[(s >= 0) & (s <= n - self.window)]
-        edge = np.zeros(n + 1, np.int64)
-        edge[s] += 1
-        edge[s + self.window] -= 1
-        return np.cumsum(edge[:n]) > 0
+        if not len(s):
+            return []
+        new = np.flatnonzero(np.diff(s) > 1)
+        return list(zip(s[np.r_[0, new + 1]].tolist(), (s[np.r_[new, len(s) - 1]] + self.window).tolist(), strict=True))
 
     def strip(self, batches: Iterator[pa.RecordBatch], schema: str, kept_text: bool) -> Iterator[pa.RecordBatch]:
-        out, unpack = _to_arrow(schema), zstandard.ZstdDecompressor()
+        """(doc_id, key, packed, found) -> the row without its maximal repeats, which `repeats` lists."""
+        out, unpack = _to_arrow(schema.replace(", repeats array<struct<start:long,stop:long>>", "")), zstandard.ZstdDecompressor()
+        out = out.append(pa.field("repeats", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))))
         for batch in batches:
             rows = []
             for doc, key, packed, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "packed", "found")), strict=True):
                 text = None if packed is None else unpack.decompress(packed)
                 words = (text or b"").split()
-                gone = self.covered(len(words), found) if found and len(words) >= self.window else np.zeros(len(words), bool)
-                kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+                repeats = self.maximal(len(words), found) if found else []
+                gone = np.zeros(len(words), bool)
+                for start, stop in repeats:
+                    gone[start:stop] = True
+                kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g] if repeats else words
                 row = [doc, key, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()]
-                rows.append([*row, cut_out(text, gone) if gone.any() else text] if kept_text else row)
+                rows.append([*row, *([cut_out(text, gone) if repeats else text] if kept_text else []), [{"start": s, "stop": e} for s, e in repeats]])
             if rows:
                 cols = [pa.array(c, pa.binary()).cast(pa.string()) if f.name == "kept" else pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)]
                 yield pa.RecordBatch.from_arrays(cols, schema=out)
@@ -168,42 +177,57 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def strip_repeats(docs: DataFrame, kept_text: bool = False, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, key, n_words, n_removed, kept_sha256[, kept]), one row a row of docs; key is xxhash64(doc_id, text).
+    """(doc_id, key, n_words, n_removed, kept_sha256[, kept], repeats), one row a row of docs; key is
+    xxhash64(doc_id, text), and repeats lists the row's maximal repeats as {start, stop} in words.
 
     A word goes if a window of `window` words that covers it also starts in a document with a smaller
     doc_id. Null and empty texts have no words and lose none (a null text's `kept` is null); texts
-    shorter than the window keep all. A null doc_id is neither smaller nor larger than another: that row
-    keeps all. Of rows that repeat a doc_id none is smaller; each loses what smaller documents have. An empty table gives no rows. Other
-    columns of docs are not read."""
+    shorter than the window keep all; a very long text is one row, whole. A null doc_id is neither smaller nor
+    larger than another: that row keeps all. Of rows that repeat a doc_id none is smaller, whatever their texts; each
+    loses what smaller documents have. An empty table gives no rows. Other columns of docs, whatever their
+    names, are not read."""
     at = Seeds(window, gram)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("key"), "text")
-    every, every_path = cut_to(docs.mapInArrow(at.seed, "anchor long, around long, doc_id long, pos int"), "anchors")
-    shared = every.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
-    seen = cut(every.join(shared, "anchor"), "shared")
+    every, every_path = cut_to(docs.mapInArrow(at.seed, SEED), "anchors")
+    shared = every.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("anchor", "n")
+    seen = cut(spread_join(every, cut(shared, "repeated"), ["anchor"], every.count(), by="key"), "shared")
     remove(docs.sparkSession, every_path)
+    n_seen = seen.count()
 
     # an anchor's classes; of those with several, a seed each: the first occurrence in the smallest document
-    classes = cut(seen.groupBy("anchor", "around").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.max("doc_id").alias("last")), "classes")
-    several = classes.groupBy("anchor").agg(F.min("first.doc_id").alias("lo"), F.max("first.doc_id").alias("hi")).where("lo < hi").select("anchor")
-    seeds = classes.join(several, "anchor").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("first.pos").alias("pos"), "anchor", "around")).alias("found"))
+    classes = cut(seen.groupBy("anchor", "around").agg(F.min(F.struct("doc_id", "pos", "key")).alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")), "classes")
+    several = classes.groupBy("anchor").agg(F.min("first.doc_id").alias("lo"), F.max("first.doc_id").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("anchor", "m")
+    chosen = spread_join(classes.select("anchor", "around", "first"), several, ["anchor"], n_seen, "m", by="around")
+    seeds = chosen.groupBy(F.col("first.key").alias("key")).agg(F.collect_list(F.struct(F.col("first.pos").alias("pos"), "anchor", "around")).alias("found"))
     packed = docs.mapInArrow(_pack, "doc_id long, key long, packed binary")
-    windows = cut(packed.where("packed IS NOT NULL").join(seeds.hint("shuffle_hash"), "doc_id").mapInArrow(at.extend, "anchor long, around long, doc_id long, back int, window long"), "windows")
-    older = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi")
-    masks = windows.join(older, ["anchor", "window"]).where("doc_id > lo").groupBy("anchor", "around").agg(F.bit_or(F.expr("shiftleft(1L, back)")).alias("mask"))
+    once = packed.where("packed IS NOT NULL").join(seeds.hint("shuffle_hash"), "key")
+    windows = cut(once.select("doc_id", "packed", "found").mapInArrow(at.extend, WINDOWS), "windows")
+    older = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi").drop("hi")
+    repeated = spread_join(windows, older, ["anchor", "window"], windows.count(), by="around").where("doc_id > lo")
+    masks = repeated.groupBy("anchor", "around").agg(F.bit_or(F.expr("shiftleft(1L, back)")).alias("mask"))
+
+    rule = classes.join(masks, ["anchor", "around"], "left").select("anchor", "around", F.col("first.doc_id").alias("first"), "mask", "last", "n").where("mask IS NOT NULL OR first < last").drop("last")
+    ruled = spread_join(seen, cut(rule, "rule"), ["anchor", "around"], n_seen, by="key")
+    hits = ruled.select("key", "pos", F.when(F.col("doc_id") > F.col("first"), F.lit((1 << (at.reach + 1)) - 1)).otherwise(F.col("mask")).alias("mask")).where("mask IS NOT NULL")
+    found = hits.groupBy("key").agg(F.collect_set(F.struct("pos", "mask")).alias("found"))  # a set: rows that repeat have one key
+    schema = "doc_id long, key long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * kept_text + ", repeats array<struct<start:long,stop:long>>"
+    return packed.join(found.hint("shuffle_hash"), "key", "left").mapInArrow(lambda b: at.strip(b, schema, kept_text), schema)
 
-    rule = classes.join(masks, ["anchor", "around"], "left").select("anchor", "around", F.col("first.doc_id").alias("first"), "mask", "last").where("mask IS NOT NULL OR first < last")
-    hits = seen.join(rule, ["anchor", "around"]).select("doc_id", "pos", F.when(F.col("doc_id") > F.col("first"), F.lit((1 << (at.reach + 1)) - 1)).otherwise(F.col("mask")).alias("mask")).where("mask IS NOT NULL")
-    found = hits.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "mask")).alias("found"))
-    schema = "doc_id long, key long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * kept_text
-    return packed.join(found.hint("shuffle_hash"), "doc_id", "left").mapInArrow(lambda b: at.strip(b, schema, kept_text), schema)
+
+def maximal_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(doc_id, key, start, stop): the maximal repeats themselves, a row each, in words of the row's text."""
+    return strip_repeats(docs, window=window, gram=gram).select("doc_id", "key", F.inline("repeats"))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return strip_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("key")
+    return strip_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
-    """docs with repeated passages cut out of text (and n_chars set anew); documents that lose every word go."""
+    """docs with repeated passages cut out of text (and n_chars set anew); documents that lose every word go.
+
+    Nulls, empty and long texts, repeated ids and an empty table as for strip_repeats; a null text stays null. All
+    columns of docs stay, extra ones too, but for names that start with `__`."""
     kept = strip_repeats(docs, kept_text=True).where("n_removed = 0 OR n_removed < n_words").select(F.col("key").alias("__key"), F.col("kept").alias("__kept")).dropDuplicates(["__key"])
     out = docs.withColumn("__own", F.xxhash64(F.col("doc_id").cast("long"), "text")).drop("text").join(kept, F.col("__own") == F.col("__key"))
     made = out.withColumn("text", F.col("__kept"))
