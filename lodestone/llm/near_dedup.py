@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.jaccard_dedup import SIMILAR, WIDTH, similar_groups
-from lodestone.llm.shared import _to_arrow, arrow_map, components, cut, fan_out, utf8
+from lodestone.llm.shared import _to_arrow, arrow_map, components, cut, fan_out, spread_join, utf8
 
 BUDGETS = (0, 1, 2, 3)  # floor(l * 3 / 4) differing bits for chains of 1..4 segments
 PARTS = ((0, 5), (5, 5), (10, 6))  # the third segment's parts: first bit, bits
@@ -138,11 +138,12 @@ def class_links(classes: DataFrame, cell: int = CELL) -> DataFrame:
     """(a, b): links between classes (fp, rep) that join them as all pairs within 3 bits would."""
     spark = classes.sparkSession
     rows = classes.select("fp", "rep", F.explode(_keys(F.col("fp"))).alias("key"))
-    blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / F.lit(cell)).alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
+    blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / F.lit(cell)).alias("blocks"), F.count("*").alias("n")).where("n > 1")
     own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    n = classes.count() * 24
     dealt = (
-        rows.join(blocks, "key")
+        spread_join(rows, blocks, ["key"], n, by="fp")
         .select("key", "fp", "rep", "blocks", own.alias("own"), other.alias("other"))
         .select("key", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("cell"), "fp", "rep")
     )
@@ -152,15 +153,15 @@ def class_links(classes: DataFrame, cell: int = CELL) -> DataFrame:
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id), one row a row of docs; every link within 3 bits counts.
 
-    Null or wordless texts have fingerprint zero and link like any other. Rows that repeat a doc_id each
-    get their row. A null doc_id gets its class's component and never names one; a class in which every
-    doc_id is null forms no links and has a null component_id. An empty table gives no rows. Other
-    columns of docs are not read."""
+    Null or wordless texts have fingerprint zero and link like any other; a very long text is read whole. Rows
+    that repeat a doc_id each get their row. A null doc_id gets its class's component and never names one; a class
+    in which every doc_id is null forms no links and has a null component_id. Ties between texts do not arise: the
+    smallest doc_id names. An empty table gives no rows. Other columns of docs, whatever their names, are not read."""
     fps = cut(fingerprints(docs, doc_id, text), "fingerprints")
-    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
     roots = components(class_links(classes.where("rep IS NOT NULL")))
-    named = classes.join(roots, classes.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = classes.join(roots, classes.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"), "n")
+    return spread_join(fps, named, ["fp"], fps.count(), by="doc_id").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,6 +174,8 @@ def keep_one(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIM
     Near-duplicates are documents whose sets of `width`-word shingles have a Jaccard similarity of `similar` (a
     fraction) at least, or a chain of such; op1's fingerprints have no part in it.
 
-    Rows that repeat the kept doc_id all stay; rows with a null doc_id stay."""
+    Rows that repeat the kept doc_id all stay; rows with a null doc_id stay. Null and empty texts are one group;
+    long texts count whole. An empty table gives an empty one. All columns of docs stay, whatever their names, but
+    for `__doc`."""
     groups = similar_groups(docs, width, similar).select(F.col("doc_id").alias("__doc"), "component_id").where("component_id < __doc").select("__doc").distinct()
     return docs.join(groups, docs.doc_id == groups["__doc"], "left_anti")
