@@ -1,6 +1,7 @@
 """WARC archives: writing segmented, chunk-framed records, and reassembling them.
 
-Writing. A page becomes a response record, or a revisit record if an earlier page has the same payload.
+Writing. A page becomes a response record, or a revisit record if an earlier page has the same payload. Both
+state the payload's digest; a revisit also names the page and address of the response that it refers to.
 A payload is framed in HTTP chunked transfer coding, and a record block longer than a segment is cut:
 the first segment is the response with WARC-Segment-Number 1, the others are continuation records with
 the origin's id, and the last states WARC-Segment-Total-Length. Spark's text writer stores the records
@@ -9,8 +10,8 @@ commits as any table does and can lie in any store.
 
 Reading. Archives are read whole, one a task, and parsed by Content-Length. Continuation records are
 grouped by origin id and ordered by segment number; numbers must run on from 1 and lengths must add up
-to the stated total. Then the chunked framing is decoded. Records that need no reassembly are never
-shuffled.
+to the stated total. Then the chunked framing is decoded and the payload held against the stated digest. Records
+that need no reassembly are never shuffled.
 """
 
 from __future__ import annotations
@@ -26,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import _to_arrow, cut, scratch
+from lodestone.llm.shared import _to_arrow, cut, scratch, spread_join
 
 LEAST = 100  # bytes from which equal payloads become revisits
 SEGMENT = 32 * 1024  # bytes of a record block
 CHUNK = 8 * 1024  # bytes of a transfer chunk
+RECORDS = 5_000  # of an archive, at most; with SEGMENT the bound on what a reading task holds: 165 MB
+DATE = "2024-01-01T00:00:00Z"
 END = b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAMES = uuid.UUID("6ba7b812-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the namespace of object identifiers
@@ -58,22 +61,25 @@ def unchunked(data: bytes) -> bytes:
 
 
 def _record(kind: str, block: bytes, fields: dict) -> bytes:
-    head = ["WARC/1.1", f"WARC-Type: {kind}", "WARC-Date: 2024-01-01T00:00:00Z", *(f"{k}: {v}" for k, v in fields.items() if v is not None), f"Content-Length: {len(block)}"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Date: {DATE}", *(f"{k}: {v}" for k, v in fields.items() if v is not None), f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + END + block
 
 
-def records(page: int | None, url: str | None, payload: bytes | None, refers: int | None, revisit: bool, serial: str, segment: int = SEGMENT) -> Iterator[bytes]:
-    """The records of one page, each without the blank lines that end it."""
+def _one_line(url: str | None) -> str | None:
+    return None if url is None else re.sub(r"[\r\n]+", " ", url)
+
+
+def records(page: int | None, url: str | None, payload: bytes | None, digest: str, refers: tuple[int, str | None] | None, serial: str, segment: int = SEGMENT) -> Iterator[bytes]:
+    """The records of one page, each without the blank lines that end it. refers: the page and address of the
+    response that a revisit refers to."""
     own = f"<urn:uuid:{uuid.uuid5(NAMES, serial)}>"
-    target = None if url is None else re.sub(r"[\r\n]+", " ", url)
-    common = {"WARC-Record-ID": own, "WARC-Target-URI": target, "X-Page-ID": page}
-    if revisit:
+    common = {"WARC-Record-ID": own, "WARC-Target-URI": _one_line(url), "X-Page-ID": page, "WARC-Payload-Digest": f"sha256:{digest}"}
+    if refers is not None:
         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8" + END
-        yield _record("revisit", block, common | {"WARC-Profile": PROFILE, "X-Refers-To-Page": refers})
+        yield _record("revisit", block, common | {"WARC-Profile": PROFILE, "WARC-Refers-To-Target-URI": _one_line(refers[1]), "WARC-Refers-To-Date": DATE, "X-Refers-To-Page": refers[0]})
         return
-    digest = hashlib.sha256(payload).hexdigest()
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked" + END + chunked(payload)
-    common |= {"WARC-Payload-Digest": f"sha256:{digest}", "Content-Type": "application/http;msgtype=response"}
+    common |= {"Content-Type": "application/http;msgtype=response"}
     if len(block) <= segment:
         yield _record("response", block, common)
         return
@@ -118,16 +124,19 @@ def unzipped(data: bytes) -> bytes:
 def write_archives(pages: DataFrame, path: str, least: int = LEAST, segment: int = SEGMENT) -> str:
     """Write pages (page_id, url, html) as WARC archives under path, a URI, and return it.
 
-    A null html is an empty payload. Of equal payloads of `least` bytes or more, the row with the
-    smallest page_id is a response; rows that repeat that page_id too are responses as well. A null
-    page_id is never the smallest: such a row is a revisit if another row has the payload, else a response. Other columns are not read."""
+    A null html is an empty payload, a very long one is cut into segments. Of equal payloads of `least` bytes or
+    more, the row with the smallest page_id is a response; rows that repeat that page_id too are responses as well.
+    A page_id that repeats with other payloads is a page of its own for each. A null page_id is never the
+    smallest: such a row is a revisit if another row has the payload, else a response. An empty table makes no
+    records. Other columns, whatever their names, are not read."""
     body = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), body.alias("payload"))
     rows = rows.withColumn("digest", F.unhex(F.sha2("payload", 256)))
-    copies = rows.where(F.length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").drop("n")
-    roles = rows.join(copies.hint("shuffle_hash"), "digest", "left")
-    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    ready = roles.select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), F.when(revisit, F.col("first")).alias("refers"), revisit.alias("revisit"))
+    named = F.when(F.col("page_id").isNotNull() & (F.length("payload") >= least), F.struct("page_id", "url"))
+    copies = rows.groupBy("digest").agg(F.min(named).alias("first"), F.count("*").alias("n"))
+    roles = spread_join(rows, copies, ["digest"], pages.count(), by="page_id", hashed=True)
+    revisit = F.coalesce(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id")), F.lit(False))
+    ready = roles.select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), F.lower(F.hex("digest")).alias("digest"), revisit.alias("revisit"), F.col("first.page_id").alias("refers"), F.col("first.url").alias("where"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, task = _to_arrow("record binary"), uuid.uuid4().hex  # of this attempt: its file commits whole or not at all
@@ -135,10 +144,10 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST, segment: int
         for b in batches:
             for r in b.to_pylist():
                 count += 1
-                made = list(records(r["page_id"], r["url"], r["payload"], r["refers"], r["revisit"], f"{task}/{count}", segment))
+                made = list(records(r["page_id"], r["url"], r["payload"], r["digest"], (r["refers"], r["where"]) if r["revisit"] else None, f"{task}/{count}", segment))
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], schema=out)
 
-    ready.mapInArrow(write, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", 5_000).text(path)
+    ready.mapInArrow(write, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
     return path
 
 
@@ -146,7 +155,8 @@ FIELDS = "page_id long, url string, kind string, refers long, digest string, id
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Every record of the archives under path, segments unjoined. An archive must fit a task's memory."""
+    """Every record of the archives under path, segments unjoined. An archive must fit a task's memory; those
+    written here hold RECORDS records of SEGMENT bytes at most."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _to_arrow(FIELDS)
@@ -189,29 +199,46 @@ def reassembled(records_: DataFrame) -> DataFrame:
     return whole.unionByName(parts.groupBy("origin").applyInPandas(_join_segments, FIELDS))
 
 
+PAYLOADS = "page_id long, url string, kind string, refers long, digest string, payload binary"
+
+
 def payloads(records_: DataFrame) -> DataFrame:
-    """(page_id, url, kind, refers, payload): a record's HTTP body without its transfer framing; null for revisits."""
+    """(page_id, url, kind, refers, digest, payload): a record's HTTP body without its transfer framing, held
+    against the record's digest; null for revisits, whose digest is that of the payload they refer to."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = _to_arrow("page_id long, url string, kind string, refers long, payload binary")
+        out = _to_arrow(PAYLOADS)
         for b in batches:
-            body = []
-            for kind, block in zip(b.column("kind").to_pylist(), b.column("block").to_pylist(), strict=True):
+            body, found = [], []
+            for kind, block, digest in zip(b.column("kind").to_pylist(), b.column("block").to_pylist(), b.column("digest").to_pylist(), strict=True):
                 head, _, data = block.partition(END)
-                body.append(None if kind == "revisit" else unchunked(data) if b"transfer-encoding: chunked" in head.lower() else data)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("page_id", "url", "kind", "refers")), pa.array(body, pa.binary())], schema=out)
+                if kind != "revisit":
+                    data = unchunked(data) if b"transfer-encoding: chunked" in head.lower() else data
+                    if (own := hashlib.sha256(data).hexdigest()) != (digest or own):
+                        raise ValueError(f"a payload has digest {own}, its record says {digest}")
+                    digest = own
+                body.append(None if kind == "revisit" else data)
+                found.append(digest)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("page_id", "url", "kind", "refers")), pa.array(found, pa.string()), pa.array(body, pa.binary())], schema=out)
 
-    return records_.select("page_id", "url", "kind", "refers", "block").mapInArrow(decode, "page_id long, url string, kind string, refers long, payload binary")
+    return records_.select("page_id", "url", "kind", "refers", "digest", "block").mapInArrow(decode, PAYLOADS)
 
 
 def op3_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archives written and read back; a revisit's payload is looked up in the response that it refers to."""
-    path = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), scratch(spark, "warc"))
+    return digests(spark, write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), scratch(spark, "warc")))
+
+
+def digests(spark: SparkSession, path: str) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of the archives under path.
+
+    A revisit's payload is that of the response with the page and the digest it states."""
     got = payloads(reassembled(read_records(spark, path)))
-    small = cut(got.select("page_id", "kind", "refers", F.octet_length("payload").cast("long").alias("bytes"), F.sha2("payload", 256).alias("sha")), "digests")
-    seen = small.where("kind = 'response'").select(F.col("page_id").alias("origin"), F.col("bytes").alias("b"), F.col("sha").alias("s")).dropDuplicates(["origin"])
-    revisits = small.where("kind = 'revisit'").join(seen, F.col("refers") == F.col("origin")).select("page_id", "b", "s", "kind", "refers")
-    return small.where("kind = 'response'").select("page_id", "bytes", "sha", "kind", "refers").union(revisits).toDF("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    small = cut(got.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.col("refers").alias("refers_to")), "digests")
+    whole, revisits = small.where("record_type = 'response'"), small.where("record_type = 'revisit'").drop("payload_bytes")
+    asked = revisits.groupBy("refers_to", "payload_digest").agg(F.count("*").alias("n"))
+    seen = whole.select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes").dropDuplicates(["refers_to", "payload_digest"])
+    found = spread_join(revisits, asked.join(seen, ["refers_to", "payload_digest"]), ["refers_to", "payload_digest"], small.count(), by="page_id")
+    return whole.unionByName(found)
 
 
 OP3_SQL = """
