@@ -12,13 +12,13 @@ counts then become documents: of each length, those that come first under a seed
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.llm.shared import cut, ranked, word_count
+from lodestone.llm.shared import cut, fan_out, ranked, spread_join, word_count
 
-WEIGHTS = (5.0, 2.0, 1.0)
+WEIGHTS = (5, 2, 1)
 MOST = 3  # times a document, and a source, may be taken
 BUDGET = 1 << 15  # words that the dynamic programme fills
 GROUP = 5000  # documents of one source and length that one window ranks, about
@@ -61,23 +61,18 @@ def fill(lengths: list[int], counts: list[int], budget: int, dp_budget: int = BU
 
 
 def targets(sizes: DataFrame) -> DataFrame:
-    """(source, source_size, target) from (source, source_size): the water level is found on sums alone."""
-    rows = cut(
-        ranked(sizes.select("source", "source_size"), [F.col("source").isNull(), F.col("source")], "__rank").select(
-            "source", "source_size", F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("__rank") % len(WEIGHTS) + 1).cast("int")).alias("weight")
-        ),
-        "sources",
-    )
-    total = rows.agg(F.sum("source_size")).first()[0] or 0
-    level, capped = 0.0, -1
-    most = F.col("source_size") * float(MOST)
-    while True:  # a source that is capped stays so while the level rises
-        full = most <= F.col("weight") * F.lit(level)
-        got = rows.agg(F.sum(F.when(full, most).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight"))), F.count_if(full)).first()
-        if got[2] == capped or not got[1]:
-            break
-        capped, level = got[2], (total - got[0]) / got[1]
-    return rows.select("source", "source_size", F.least(most, F.col("weight") * F.lit(level)).alias("target"))
+    """(source, source_size, target) from (source, source_size): the water level is found on sums alone.
+
+    In the order of size over weight, the sources that stop at MOST times their size come first. Were the first k
+    of them to stop, the others' level would be what is left over their weights: it rises with k until no more
+    must stop, and falls from there on. So the level is the highest of these, from two prefix sums."""
+    turn = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("__rank") % len(WEIGHTS) + 1).cast("int"))
+    rows = cut(ranked(sizes.select("source", "source_size"), [F.col("source").isNull(), F.col("source")], "__rank").select("source", "source_size", turn.alias("weight")), "sources")
+    total, weights = rows.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    full = [F.col("source_size") / F.col("weight"), F.col("source").isNull(), F.col("source")]
+    stopped = ranked(ranked(rows, full, "__sizes", "source_size"), full, "__weights", "weight")
+    level = stopped.agg(F.max((F.lit(total) - MOST * F.col("__sizes")) / (F.lit(weights) - F.col("__weights")))).first()[0] or 0.0
+    return rows.select("source", "source_size", F.least(F.col("source_size") * float(MOST), F.col("weight") * F.lit(float(level))).alias("target"))
 
 
 def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -89,36 +84,58 @@ def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
     some = pdf.index[pdf["size"] > 0]
     if rounds < MOST and len(some):
         pdf.loc[some, "more"] = fill(pdf.loc[some, "size"].tolist(), pdf.loc[some, "n"].tolist(), target - rounds * size)
-    return pdf[["source", "size", "n", "source_size", "target", "rounds", "more"]]
+    return pdf[["source", "size", "n", "rows", "source_size", "target", "rounds", "more"]]
 
 
 def decided(docs: DataFrame, seed: int = 11) -> DataFrame:
     """(doc_id, key, size, source_size, target, taken): one narrow row a row of docs.
 
-    A null text has size 0; a document of size 0 is taken 0 words. A null source is a source, the last.
-    Rows that repeat a whole document tie under the hash and are taken together. If all sizes are 0, all
-    targets are 0. An empty table gives no rows. Other columns of docs are not read."""
-    rows = cut(_narrow(docs, seed).withColumn("size", word_count(F.col("text"))).drop("text"), "sizes")
-    counts = cut(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "lengths")
+    A null text has size 0; a document of size 0 is taken 0 words. A null source is a source, the last; a null
+    doc_id is an id. A very long text is one document of its size. Rows that repeat a whole document are one row
+    with a count while the mix is fitted, and each is taken by itself. If all sizes are 0, all targets are 0. An
+    empty table gives no rows. Other columns of docs, whatever their names, are not read."""
+    every = cut(_narrow(docs, seed).withColumn("size", word_count(F.col("text"))).drop("text"), "sizes")
+    rows = cut(every.groupBy("doc_id", "source", "size", "key").agg(F.count("*").alias("c")), "documents")
+    counts = cut(rows.groupBy("source", "size").agg(F.sum("c").alias("n"), F.count("*").alias("rows")), "lengths")
     sources = cut(targets(counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))), "targets")
 
     named = counts.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    plan = named.groupBy("source").applyInPandas(_plan, "source string, size long, n long, source_size long, target double, rounds long, more long")
-    plan = cut(plan.withColumn("salts", F.ceil(F.col("n") / F.lit(GROUP))).withColumnsRenamed({"source": "s", "size": "z"}), "plan")
-    salt = F.pmod(F.shiftright("key", 8), F.col("salts")).alias("salt")
-    tagged = rows.join(plan.drop("n"), F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).select("doc_id", "key", "source", "size", "source_size", "target", "rounds", "more", salt)
+    plan = named.groupBy("source").applyInPandas(_plan, "source string, size long, n long, rows long, source_size long, target double, rounds long, more long")
+    plan = cut(plan.select(_code("source").alias("code"), "size", "rows", "source_size", "target", "rounds", "more", F.ceil(F.col("n") / F.lit(GROUP)).alias("salts")), "plan")
+    total = rows.count()
+    coded = rows.select("doc_id", "key", _code("source").alias("code"), "size", "c")
+    tagged = spread_join(coded, plan, ["code", "size"], total, "rows", by="key").withColumn("salt", F.pmod(F.shiftright("key", 8), F.col("salts"))).drop("salts")
 
     # `more` of each length in the order of (salt, hash): counts say which salts are taken whole, and in the
-    # one salt that is taken in part, of about GROUP documents, the hash of the last one taken is found
-    part = tagged.where("more > 0").groupBy("source", "size", "salt", "more").agg(F.count("*").alias("m"))
-    before = F.coalesce(F.sum("m").over(Window.partitionBy("source", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    quota = cut(part.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("salt").alias("x"), "m", (F.col("more") - before).alias("quota")).where("quota > 0"), "quota")
-    same = F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("salt") == F.col("x"))
-    order = Window.partitionBy("s", "z", "x").orderBy("key")
-    edge = tagged.select("source", "size", "salt", "key").join(quota.where("quota < m"), same).withColumn("r", F.row_number().over(order)).where("r = quota")
-    limits = cut(edge.select("s", "z", "x", F.col("key").alias("limit")).union(quota.where("quota >= m").select("s", "z", "x", F.lit((1 << 63) - 1).alias("limit"))), "limits")
-    times = F.col("rounds") + F.when(F.col("key") <= F.col("limit"), 1).otherwise(0)
-    return tagged.join(limits, same, "left").select("doc_id", "key", "size", "source_size", "target", (times * F.col("size")).cast("long").alias("taken"))
+    # one salt that is taken in part, of about GROUP documents, the hash of the last one taken is found, and how many of it
+    part = tagged.where("more > 0").groupBy("code", "size", "salt", "more").agg(F.sum("c").alias("m"), F.count("*").alias("rows"))
+    before = F.coalesce(F.sum("m").over(Window.partitionBy("code", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    quota = cut(part.select("code", "size", "salt", "m", "rows", (F.col("more") - before).alias("quota")).where("quota > 0"), "quota")
+    place = ["code", "size", "salt"]
+    inner = spread_join(tagged.select(*place, "key", "c"), quota.where("quota < m").drop("m"), place, total, "rows", by="key")
+    ahead = F.coalesce(F.sum("c").over(Window.partitionBy(*place).orderBy("key", "c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    edge = inner.withColumn("left", F.col("quota") - ahead).where("left > 0").groupBy(*place).agg(F.max(F.struct("key", "left")).alias("last"))
+    whole = quota.where("quota >= m").select(*place, F.struct(F.lit((1 << 63) - 1).alias("key"), F.lit(0).cast("long").alias("left")).alias("last"))
+    limits = cut(edge.union(whole).join(quota.select(*place, "rows"), place), "limits")
+    chosen = spread_join(tagged.where("more > 0"), limits, place, total, "rows", by="key")
+    again = F.when(F.col("key") < F.col("last.key"), F.col("c")).when(F.col("key") == F.col("last.key"), F.least("c", "last.left")).otherwise(F.lit(0))
+    missing = tagged.where("more > 0").join(limits.select(*place), place, "left_anti").withColumn("again", F.lit(0).cast("long"))
+    columns = ["doc_id", "key", "size", "source_size", "target", "rounds", "c", "again"]
+    done = chosen.withColumn("again", again.cast("long")).select(*columns).union(missing.select(*columns)).union(tagged.where("more <= 0").withColumn("again", F.lit(0).cast("long")).select(*columns))
+    return _each(done).select("doc_id", "key", "size", "source_size", "target", ((F.col("rounds") + F.when(F.col("copy") <= F.col("again"), 1).otherwise(0)) * F.col("size")).cast("long").alias("taken"))
+
+
+def _each(rows: DataFrame) -> DataFrame:
+    """A row for each of `c` copies, numbered by `copy`; many copies of one row are dealt over tasks by GROUP."""
+    alone = rows.where("c = 1").withColumn("copy", F.lit(1).cast("long"))
+    parts = rows.where("c > 1").withColumn("at", F.explode(F.sequence(F.lit(1).cast("long"), F.col("c"), F.lit(GROUP).cast("long"))))
+    dealt = parts.repartition(fan_out(rows.sparkSession), "key", "at")
+    return alone.union(dealt.withColumn("copy", F.explode(F.sequence("at", F.least(F.col("c"), F.col("at") + GROUP - 1)))).drop("at"))
+
+
+def _code(source: str) -> Column:
+    """A source as a string that is never null."""
+    return F.when(F.col(source).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(source).cast("string")))
 
 
 def _narrow(docs: DataFrame, seed: int) -> DataFrame:
@@ -130,8 +147,16 @@ def op9_mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: int = 11) -> DataFrame:
-    """The mix: each row of docs as often as it is taken (a document taken no word goes)."""
-    times = decided(docs, seed).where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.expr("cast(taken div size as int)").alias("__times")).distinct()
+    """The mix: each row of docs as often as it is taken (a document taken no word goes).
+
+    Nulls, empty and long texts, repeated rows and an empty table as for `decided`. All columns of docs stay, extra
+    ones too, but for names that start with `__`."""
+    taken = decided(docs, seed).where("size > 0").groupBy(F.col("key").alias("__own")).agg(F.sum(F.expr("taken div size")).alias("__total"), F.count("*").alias("__rows")).where("__total > 0")
     keyed = docs.withColumn("__own", F.xxhash64(F.lit(seed), "doc_id", "source", "text"))
-    out = keyed.join(times.hint("shuffle_hash"), keyed["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(c) for c in docs.columns])
+    out = keyed.join(taken.hint("shuffle_hash"), "__own")
+    alone = out.where("__rows = 1").withColumn("__times", F.col("__total"))
+    # rows that repeat share what their document is taken: whole rounds each, and the first few once more
+    turn = F.row_number().over(Window.partitionBy("__own").orderBy("__own"))
+    shared = out.where("__rows > 1").withColumn("__turn", turn).withColumn("__times", F.expr("__total div __rows + IF(__turn <= __total % __rows, 1, 0)")).drop("__turn")
+    both = alone.unionByName(shared).where("__times > 0")
+    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*[F.col(c) for c in docs.columns])
