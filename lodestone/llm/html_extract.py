@@ -45,9 +45,11 @@ AGAINST = frozenset(
 )
 KINDS = {t: k for k, group in enumerate(("article main", "nav menu", "header", "footer", "aside", "form fieldset", "h1 h2 h3 h4 h5 h6", "p blockquote pre", "li ul ol dl dt dd", "table tr td th tbody thead", "section", "div", "body html"), 1) for t in group.split()}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"(?:class|id|role|itemprop|aria-label|data-role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-_PAIR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+# an attribute as HTML reads it: quotes count only where a value starts; one left open there ends with the tag
+_VALUE = r"""(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]++)"""
+_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+{_VALUE}?+)?+)*+)>", re.S)
+_PAIR = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|(?!["'])([^\s>]++))?+)?+""")
+_NAMES = frozenset("class id role itemprop aria-label data-role".split())
 _MAY_HIDE = re.compile("hidden|style", re.I)
 _CLIPS = re.compile(r"\b(?:overflow(?:-[xy])?|backface)-hidden\b", re.I)  # class names that hide no text
 _NOTE = re.compile(r"/\*.*?\*/", re.S)
@@ -186,7 +188,7 @@ def features(root: Node) -> tuple[list[Node], np.ndarray, list[int]]:
             own[i] = (len(t), words, node.links, node.tags, t.count(".") + t.count(",") + t.count("!") + t.count("?"), node.tag == "p", node.tag == "li", 1, words > 20)
         else:
             own[i, 3], own[i, 6] = node.tags, node.tag == "li"
-        tokens = [w.lower() for a in _ATTR.findall(node.attrs) for w in _TOKEN.findall(_CLIPS.sub("", a))] if node.attrs else ()
+        tokens = [w.lower() for name, *a in _PAIR.findall(node.attrs) if name.lower() in _NAMES for w in _TOKEN.findall(_CLIPS.sub("", "".join(a)))] if node.attrs else ()
         p = parents[i]
         x[i, 0] = KINDS.get(node.tag, 0)
         x[i, 1] = sum(w in FOR for w in tokens)
@@ -348,8 +350,8 @@ def generated(rng: random.Random) -> tuple[str, str]:
     some = lambda p, x: x() if rng.random() < p else ""
     inline = lambda t: t if rng.random() < 0.6 else t.replace(" ", f" <{(i := rng.choice(['b', 'em', 'a href=/x', 'span']))}>", 1) + f"</{i.split()[0]}>"
 
-    def attrs(*tokens: str) -> str:
-        if rng.random() < 0.25:
+    def attrs(*tokens: str, bare: float = 0.25) -> str:
+        if rng.random() < bare:
             return ""
         t = rng.choice(tokens)
         t = rng.choice([t, t, f"{t}-{word()}", f"{word()}-{t}", f"{t} {word()}"])
@@ -364,7 +366,8 @@ def generated(rng: random.Random) -> tuple[str, str]:
     notice = lambda: wrap(["div", "section", "p"], ["cookie", "notice", "consent", "gdpr", "newsletter", "popup"], rng.choice([prose(1, 3), f"<p>{prose(1, 2)}</p>{link()}", f"<p>{prose(1, 2)}</p>"]))
     form = lambda: f"<form{attrs('search', 'login', 'signup', 'form')}><p>{words(1, 8)}</p><label>{words(1, 3)}</label><input name=q>{some(0.5, lambda: f'<p>{prose(1, 2)}</p>')}</form>"
     comment = lambda: wrap(["li", "div", "article"], ["comment", "reply"], f"<p>{words(1, 2)}</p><p>{prose(1, 4)}</p>")
-    comments = lambda: wrap(["section", "div", "ol"], ["comments", "respond", "replies", "disqus"], f"<h3>{words(1, 3)}</h3>" + "".join(comment() for _ in range(rng.randint(1, 5))))
+    # a section of comments says what it is, or nothing would tell it from a section of the article
+    comments = lambda: f"<{(t := rng.choice(['section', 'div', 'ol']))}{attrs('comments', 'respond', 'replies', 'disqus', bare=0)}><h3>{words(1, 3)}</h3>{''.join(comment() for _ in range(rng.randint(1, 5)))}</{t}>"
     share = lambda: wrap(["div", "ul"], ["share", "social", "tags"], "".join(f"<li>{link()}</li>" for _ in range(rng.randint(2, 5))))
 
     main = "\x02"
@@ -383,7 +386,12 @@ def generated(rng: random.Random) -> tuple[str, str]:
             return f"<blockquote>{main}{prose(1, 2)}</blockquote>"
         if k < 0.9:
             return f"<table><tr><td>{main}{words(1, 4)}</td><td>{main}{words(1, 4)}</td></tr></table>"
-        if k < 0.94:
+        if k < 0.93:
+            inner = "".join(f"<p>{main}{prose(1, 4)}</p>" for _ in range(rng.randint(1, 3)))
+            inner = some(0.5, lambda: f"<h3>{main}{words(1, 5)}</h3>") + inner
+            own = lambda: f"<{(t := rng.choice(['section', 'article', 'div', 'figure']))}>{inner}</{t}>"
+            return own() if rng.random() < 0.6 else wrap(["section", "div"], ["section", "part", "chapter", "block", word(), word()], rng.choice([inner, own()]))
+        if k < 0.95:
             return " | ".join(words(1, 1) for _ in range(rng.randint(6, 30))).join([f"<p>{main}", "</p>"])
         return rng.choice([advert, share, notice])()
 
@@ -435,8 +443,9 @@ def extract(sources: list[str | None], model: Boosted) -> list[str]:
 def main_text(pages: DataFrame, group: int = 64) -> DataFrame:
     """(page_id, url, text, n_chars), one row a row of pages.
 
-    A null or empty html has an empty text. Repeated rows give equal texts; null ids and urls stay null;
-    an empty table gives no rows. Other columns are not read."""
+    A null or empty html has an empty text; a very long page is one tree, read whole. Repeated rows give equal
+    texts; null ids and urls stay null; nodes whose log-odds tie are kept. An empty table gives no rows. Other
+    columns, whatever their names, are not read."""
     model = trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
