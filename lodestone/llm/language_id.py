@@ -21,7 +21,6 @@ from lodestone.llm.shared import _to_arrow, utf8
 
 GRAMS = 1 << 15  # hashed trigrams
 PER_LANGUAGE = 3000  # labelled documents that a language's distribution is fitted on, about
-LANGUAGES = 100  # languages that a model may have: with GRAMS, the bound on its size
 ROUNDS = 12  # of expectation-maximisation
 PENALTY = 6.0  # log-likelihood units, times the logarithm of a document's trigrams, for another language
 SMOOTH = 0.5
@@ -39,35 +38,34 @@ def gram_counts(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     return at, n[at].astype(np.float64)
 
 
-def learned(labelled: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> tuple[list[str], np.ndarray]:
+def learned(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """(languages, log-likelihoods [language, gram]) from rows (key, text, lang).
 
     Fitted on a sample bounded by `per_language` documents a language (about: by a hash of the key), of
-    which whole texts count. More than `languages` languages raise ValueError."""
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(languages + 1).collect()}
-    if len(sizes) > languages:
-        raise ValueError(f"more than {languages} languages")
-    if not sizes:
-        return [], np.zeros((0, GRAMS))
-    rates = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_language / n))])
-    sample = labelled.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < rates[F.col("lang")] * (1 << 20)).select("lang", "text")
+    which whole texts count. Every language is learned: 128 KB of model each, and no bound on their number. Null
+    langs are not learned from; a null text adds nothing; an empty table makes a model without languages. Rows that
+    repeat count as often as the sample has them. Other columns are not read."""
+    labelled = labelled.select("key", "text", "lang").where("lang IS NOT NULL")
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).select(F.col("lang").alias("l"), F.least(F.lit(1.0), F.lit(per_language) / F.col("n")).alias("rate"))
+    picked = F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < F.col("rate") * (1 << 20)
+    sample = labelled.join(F.broadcast(sizes), F.col("lang") == F.col("l")).where(picked).select("lang", "text")  # a row a language, as the model has
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for b in batches:
             for lang, text in zip(b.column("lang").to_pylist(), utf8(b), strict=True):
                 at, n = gram_counts(text)
-                total.setdefault(lang, np.zeros(GRAMS))[at] += n
+                total.setdefault(lang, np.zeros(GRAMS, np.float32))[at] += n
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(total), pa.array([v.tobytes() for v in total.values()], pa.binary())], schema=_to_arrow("lang string, counts binary"))
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"lang": pdf["lang"].iloc[:1], "counts": [sum(np.frombuffer(x) for x in pdf["counts"]).tobytes()]})
+        return pd.DataFrame({"lang": pdf["lang"].iloc[:1], "counts": [sum(np.frombuffer(x, np.float32) for x in pdf["counts"]).tobytes()]})
 
     rows = sample.mapInArrow(count, "lang string, counts binary").groupBy("lang").applyInPandas(add, "lang string, counts binary").collect()  # a row a language
     names = sorted(r["lang"] for r in rows)
-    counts = np.stack([np.frombuffer({r["lang"]: r["counts"] for r in rows}[k]) for k in names]) if names else np.zeros((0, GRAMS))
-    return names, np.log((counts + SMOOTH) / (counts + SMOOTH).sum(1, keepdims=True))
+    found = {r["lang"]: np.frombuffer(r["counts"], np.float32) + np.float32(SMOOTH) for r in rows}
+    return names, np.stack([np.log(found[k] / found[k].sum(dtype=np.float64)) for k in names]).astype(np.float32) if names else np.zeros((0, GRAMS), np.float32)
 
 
 def mixture(p: np.ndarray, n: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
@@ -85,12 +83,14 @@ def infer(likelihoods: np.ndarray, text: bytes | None) -> tuple[np.ndarray, np.n
     at, n = gram_counts(text)
     if not len(at):
         return np.zeros(0, int), np.zeros(0)
-    p = np.exp(likelihoods[:, at])
+    logs = likelihoods[:, at].astype(np.float64)
+    p = np.exp(logs)
     share, _ = mixture(p, n)
     order = np.argsort(-share, kind="stable")
-    single = (n @ likelihoods[:, at].T).argmax()
+    alone = logs @ n
+    single = alone.argmax()
     order = np.r_[single, order[order != single]]
-    chosen, w, best = order[:1], np.ones(1), float(n @ likelihoods[single, at])
+    chosen, w, best = order[:1], np.ones(1), float(alone[single])
     for k in order[1:]:
         more = np.r_[chosen, k]
         w_more, gain = mixture(p[more], n)
@@ -104,18 +104,17 @@ def infer(likelihoods: np.ndarray, text: bytes | None) -> tuple[np.ndarray, np.n
 def predicted(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """(doc_id, lang_pred, score[, mixture as text]) of every row of docs.
 
-    `und` with score 0 if the text is null or has no letter, or nothing was learned. Only the text is read. Repeated rows get equal
-    predictions; a null doc_id stays null; an empty table gives no rows."""
+    `und` with score 0 if the text is null or has no letter, or nothing was learned. Of languages that tie, the
+    first by name is predicted. A very long text is read whole. Only doc_id and text are read, whatever other
+    columns are called. Repeated rows get equal predictions; a null doc_id stays null; an empty table gives no rows."""
     names, likelihoods = model
-    likelihoods = likelihoods.astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _to_arrow("doc_id long, lang_pred string, score double, mixture string")
-        wide = likelihoods.astype(np.float64)
         for b in batches:
             rows = []
             for letter, text in zip(b.column("letter").to_pylist(), utf8(b), strict=True):
-                chosen, w = infer(wide, text) if letter and names else ((), ())
+                chosen, w = infer(likelihoods, text) if letter and names else ((), ())
                 rows.append((names[chosen[0]], float(min(1.0, w[0])), " ".join(f"{names[k]}:{x:.3f}" for k, x in zip(chosen, w, strict=True))) if len(chosen) else ("und", 0.0, ""))
             if rows:
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(out)[1:], strict=True))], schema=out)
