@@ -4,11 +4,11 @@ Candidates are dealt into blocks of bounded size, and every block keeps its rows
 dimension. A query walks down all lists at once (from the top where its component is positive, from the
 bottom where it is negative), scores each row the first time it is seen, and stops when the threshold,
 the score a row would have with the walk's present value in every list, cannot beat its kth result.
-What the kth result was in earlier blocks of the same task carries over, so later blocks stop sooner.
+A query's results so far carry over to the next block of its group, so later blocks stop sooner.
 
 Queries go to every block (a stated query set against all rows, in blocks): blocks of queries are
-replicated by group of candidate blocks, and neither side is broadcast or collected. Each task returns k
-rows a query at most, which a last top-k merges.
+replicated by group of candidate blocks, and neither side is broadcast or collected. A group returns k rows
+a query at most; a top-k within the task merges those of its groups before the shuffle, another one after it.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from lodestone.llm.shared import _to_arrow, cut, fan_out
 
 BLOCK = 2048  # candidates of a block
 QUERIES = 256  # queries of a block
-GROUP = 2  # candidate blocks of a group, about
+GROUP = 16  # candidate blocks of a group at most: what a task holds; fewer where that leaves cores idle
 STEP = 32  # rows read from every list between two looks at the threshold
 
 
@@ -133,20 +133,22 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k best candidates other than its own id.
 
     Both sides are (vec_id, x) of integers. Ties go to the smaller vec_id. Vectors of different lengths
-    meet as if padded with zeros. A null vec_id takes no part. Candidates that repeat a row are separate
-    results; a repeated query is one query. A query
-    without candidates has no rows; empty tables give none."""
+    meet as if padded with zeros, however long; an empty one scores 0. A null vec_id or x takes no part. Candidates
+    that repeat a row are separate results; a repeated query is one query. A query without candidates has no
+    rows; empty tables give none. Other columns, whatever their names, are not read."""
     spark = candidates.sparkSession
-    held = cut(candidates.where("vec_id IS NOT NULL"), "vectors")
-    groups = max(1, -(-held.count() // (BLOCK * GROUP)))
+    taken = lambda df: df.select("vec_id", "x").where("vec_id IS NOT NULL AND x IS NOT NULL")
+    held = cut(taken(candidates), "vectors")
+    n, tasks = held.count(), 4 * fan_out(spark)
+    groups = max(1, min(-(-n // BLOCK), max(-(-n // (BLOCK * GROUP)), tasks)))
     # places, not ids, are dealt: a repeated id cannot fill a group
     dealt = held.withColumn("g", F.pmod(F.monotonically_increasing_id(), F.lit(groups)))
     pack = "g long, kind int, ids binary, data binary, dims int"
-    blocks = dealt.repartition(min(groups, 4 * fan_out(spark)), "g").sortWithinPartitions("g").mapInArrow(_blocks(BLOCK, 0), pack)
-    asked = queries.where("vec_id IS NOT NULL").dropDuplicates(["vec_id"]).withColumn("g", F.pmod(F.xxhash64("vec_id"), F.lit(fan_out(spark))))
+    blocks = dealt.repartition(min(groups, tasks), "g").sortWithinPartitions("g").mapInArrow(_blocks(BLOCK, 0), pack)
+    asked = taken(queries).dropDuplicates(["vec_id"]).withColumn("g", F.pmod(F.xxhash64("vec_id"), F.lit(fan_out(spark))))
     asked = asked.repartition(fan_out(spark), "g").sortWithinPartitions("g").mapInArrow(_blocks(QUERIES, 1), pack)
     asked = asked.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    met = cut(blocks, "blocks").union(asked).repartition(min(groups, 4 * fan_out(spark)), "g").sortWithinPartitions("g", "kind")
+    met = cut(blocks, "blocks").union(asked).repartition(min(groups, tasks), "g").sortWithinPartitions("g", "kind")
     found = met.mapInArrow(_search(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
