@@ -1,6 +1,7 @@
 """The operators against brute force, and on nulls, empty and long texts, ties, repeats, empty tables and clashing columns."""
 
 import hashlib
+import math
 import random
 import zlib
 from functools import lru_cache
@@ -13,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestone.llm import exact_topk, html_extract, jaccard_dedup, language_id, mixing, near_dedup, packing, quality_rules, substring_dedup, token_files, tokens, warc
-from lodestone.llm.shared import components, scratch
+from lodestone.llm.shared import components, scratch, spread_join
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, fp int, size string, found int, words string, copy double"
 
@@ -141,6 +142,22 @@ def test_components_of_a_long_chain(spark):
     assert components(edges.limit(0)).count() == 0
 
 
+def test_components_of_a_star_in_no_one_task(spark):
+    """A hub's neighbours are dealt: with broadcasts off no step gives one task most of the rows."""
+    edges = spark.range(1, 4000).select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b"))
+    near = edges.union(edges.select("b", "a")).toDF("u", "v")
+    least = near.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [r["n"] for r in spread_join(near, least, ["u"], 8000, by="v").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(sizes) == 7998 and max(sizes) < 2 * sum(sizes) / 4
+    assert components(edges).agg(F.max("root"), F.count("*")).first()[:] == (0, 3999)
+
+
 def test_language(spark, docs):
     en, de = ("the cat sat on the mat and then the dog " * 9), ("der hund und die katze schlafen auf der matte " * 9)
     train = spark.createDataFrame([(i, (en, de)[i % 2], ("en", "de")[i % 2]) for i in range(40)], "key long, text string, lang string")
@@ -153,6 +170,72 @@ def test_language(spark, docs):
     assert {r["lang_pred"] for r in language_id.predicted(docs, language_id.learned(train.limit(0))).collect()} == {"und"}
 
 
+def naive_language(names, logs, text):
+    """Proportions by expectation-maximisation and penalised selection, gram by gram."""
+    raw = b" " + bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in (text or "").encode()) + b" "
+    grams: dict = {}
+    for i in range(len(raw) - 2):
+        if raw[i + 1 : i + 3] != b"  ":
+            code = (raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]) * 2654435761 % (1 << 32) >> 17
+            grams[code] = grams.get(code, 0) + 1
+    if not grams or not any(c.isalpha() for c in text) or not names:
+        return "und", 0.0
+
+    def fit(ks):
+        w = [1 / len(ks)] * len(ks)
+        for _ in range(language_id.ROUNDS if len(ks) > 1 else 0):
+            new = [0.0] * len(ks)
+            for g, n in grams.items():
+                p = [w[j] * math.exp(float(logs[k][g])) for j, k in enumerate(ks)]
+                for j in range(len(ks)):
+                    new[j] += n * p[j] / sum(p)
+            w = [x / sum(new) for x in new]
+        return w, sum(n * math.log(sum(w[j] * math.exp(float(logs[k][g])) for j, k in enumerate(ks))) for g, n in grams.items())
+
+    every = list(range(len(names)))
+    share = fit(every)[0]
+    single = max(every, key=lambda k: (sum(n * float(logs[k][g]) for g, n in grams.items()), -k))
+    order = [single, *sorted((k for k in every if k != single), key=lambda k: (-share[k], k))]
+    chosen, (w, best) = [single], fit([single])
+    for k in order[1:]:
+        w_more, gain = fit([*chosen, k])
+        if gain - best <= language_id.PENALTY * math.log(sum(grams.values()) + 1):
+            break
+        chosen, w, best = [*chosen, k], w_more, gain
+    top = max(range(len(chosen)), key=lambda j: (w[j], -j))
+    return names[chosen[top]], min(1.0, w[top])
+
+
+def test_language_against_naive_inference(spark):
+    """The query's own model on the query's own table, every row inferred again gram by gram."""
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/documents.parquet")
+    train = rows.where(~language_id.held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    names, logs = language_id.learned(train.select(F.col("doc_id").alias("key"), "text", "lang"))
+    got = {r["doc_id"]: r for r in language_id.op2_language_id(spark, sf).collect()}
+    texts = [(r["doc_id"], r["text"]) for r in rows.collect()]
+    assert len(got) == len(texts)
+    mixed = [t[:400] for _, t in texts[:40] if t]
+    extra = [(10_000 + i, a + " " + b) for i, (a, b) in enumerate(zip(mixed, mixed[1:], strict=False))]
+    found = {r["doc_id"]: r for r in language_id.predicted(spark.createDataFrame(extra, "doc_id long, text string"), (names, logs)).collect()}
+    for doc, text in [(d, t) for d, t in texts if len(t or "") < 3000] + extra:
+        lang, score = naive_language(names, logs, text)
+        r = got.get(doc) or found[doc]
+        assert (r["lang_pred"], pytest.approx(score, abs=1e-6)) == (lang, r["score"])
+    assert any(" " in r["mixture"] for r in found.values())
+
+
+def test_many_languages(spark):
+    """No bound on the number of languages: 150 of them, a word each."""
+    names = [f"l{i:03d}" for i in range(150)]
+    word = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i * 7919 % 1000:03d}") * 3
+    train = spark.createDataFrame([(i, " ".join([word(i)] * 30), n) for i, n in enumerate(names)] + [(999, "x", None)], "key long, text string, lang string")
+    model = language_id.learned(train)
+    assert model[0] == names
+    got = language_id.predicted(spark.createDataFrame([(i, " ".join([word(i)] * 9)) for i in range(150)], "doc_id long, text string"), model)
+    assert {r["doc_id"]: r["lang_pred"] for r in got.collect()} == dict(enumerate(names))
+
+
 def test_language_held_out_accuracy(spark):
     out = language_id.op2_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
     assert out.where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.97
@@ -181,6 +264,31 @@ def test_warc_round_trip(spark):
     assert warc.read_records(spark, warc.write_archives(pages.limit(0), scratch(spark, "t"))).count() == 0
 
 
+def test_warc_repeated_page_ids(spark):
+    """A page_id that repeats with other payloads: each revisit gets the payload that it is a copy of."""
+    x, y, z = "x" * 150, "y" * 250, "z" * 5000
+    data = [(1, "a", x), (1, "b", y), (2, "c", y), (3, None, x), (3, "c", z), (4, "d", z), (4, "d", z), (None, "e", y), (5, "f", None), (1, "a", x)]
+    pages = spark.createDataFrame([(*d, "k", 1) for d in data], "page_id long, url string, html string, digest string, n int")
+    path = warc.write_archives(pages, scratch(spark, "t"), segment=1000)
+    want = []
+    for page, _, html in data:
+        body = (html or "").encode()
+        first = min((p for p, _, h in data if h == html and p is not None), default=None) if len(body) >= 100 else None
+        kind = "response" if first in (None, page) else "revisit"
+        want.append((page, len(body), hashlib.sha256(body).hexdigest(), kind, first if kind == "revisit" else None))
+    assert sorted(map(tuple, warc.digests(spark, path).collect()), key=str) == sorted(want, key=str)
+    heads = [h for r in spark.read.format("binaryFile").load(path).collect() for h, _ in warc.parsed(warc.unzipped(bytes(r["content"])))]
+    revisits = [h for h in heads if h["warc-type"] == "revisit"]
+    assert len(revisits) == 5 and all(h["warc-payload-digest"].startswith("sha256:") and h["warc-refers-to-target-uri"] for h in revisits)
+    assert warc.digests(spark, warc.write_archives(pages.limit(0), scratch(spark, "t"))).count() == 0
+
+
+def test_wrong_digest_fails(spark):
+    held = warc.read_records(spark, warc.write_archives(spark.createDataFrame([(1, "u", "z" * 500)], "page_id long, url string, html string"), scratch(spark, "t")))
+    with pytest.raises(Exception, match="digest"):
+        warc.payloads(held.withColumn("digest", F.lit("0" * 64))).collect()
+
+
 def test_missing_segment_fails(spark):
     pages = spark.createDataFrame([(1, "u", "z" * 5000)], "page_id long, url string, html string")
     held = warc.read_records(spark, warc.write_archives(pages, scratch(spark, "t"), segment=1000))
@@ -224,6 +332,13 @@ def test_quality(spark, docs):
     assert quality_rules.keep_good(docs.limit(0)).count() == 0
 
 
+def test_quality_line_rules(spark):
+    bad = ["Home | About | Help", "a b $$ ## %% c", "All rights reserved.", " ".join(["word"] * 15), "» next"]
+    good = ["Profit rose 5%.", "It costs $5.", "# Results", "", "  ", " ".join(["शब्द"] * 15) + "।", " ".join(["لفظ"] * 15) + "۔", "short line"]
+    made = spark.createDataFrame([(bad + good,)], "x array<string>").select(quality_rules.clean_lines(F.col("x")).alias("x")).first()["x"]
+    assert made == good
+
+
 def test_html():
     model = html_extract.trained()
     page = "<html><head><title>T</title><style>p{}</style><script>var a='</p><p>no';</script></head><body><nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav><div class=\"ad\">Buy this thing now.</div><article><h1>A &amp; B head</h1><p>The first  long\nparagraph, with <b>bold</b> words in it, ends here.<p>Another one follows the first, unclosed, and ends here too.</article><footer>&copy; site &middot; Words about us.</footer></body></html>"
@@ -260,6 +375,34 @@ def test_html_hidden(attrs):
     assert html_extract.extract([page], html_extract.trained()) == [f"A head\n{MAIN}"]
 
 
+PAGES = [
+    # unquoted attributes, one with an apostrophe in its value
+    (f"<html><body><div class=nav><a href=/a>Home</a> <a href=/b>News</a></div><div id=content><h1>Head</h1><p title=it's>{MAIN} We don't stop here.</p><p class=lead data-x=a/b>{MAIN}</p></div></body></html>", f"Head\n{MAIN} We don't stop here.\n{MAIN}"),
+    # utility classes
+    (f'<body class="flex"><header class="flex p-4"><nav class="flex"><a href="/">Home</a><a href="/x">Blog</a></nav></header><main class="flex-1 overflow-hidden"><article class="prose content overflow-hidden" data-state="not hidden"><h1 class="text-2xl">Head</h1><p class="mt-4 truncate">{MAIN}</p><p>{MAIN}</p></article></main><footer class="p-4"><p>&copy; 2024 Site</p></footer></body>', f"Head\n{MAIN}\n{MAIN}"),
+    # an article within an article's section, a quotation and a list
+    (f"<article><h1>Head</h1><p>{MAIN}</p><section><h2>Part</h2><p>{MAIN}</p><article><p>{MAIN} Inner.</p><p>{MAIN}</p></article></section><p>{MAIN}</p><blockquote><p>{MAIN}</p></blockquote><ul><li>{MAIN}</li><li>{MAIN}</li></ul></article>", f"Head\n{MAIN}\nPart\n{MAIN}\n{MAIN} Inner.\n{MAIN}\n{MAIN}\n{MAIN}\n{MAIN}\n{MAIN}"),
+    # a table of rows without end tags
+    (f"<body><article><h1>Head</h1><p>{MAIN}</p><table><tr><td>Cell one</td><td>Cell two<tr><td>Cell three<td>Cell four</table><p>{MAIN}</article></body>", f"Head\n{MAIN}\nCell one\nCell two\nCell three\nCell four\n{MAIN}"),
+    # unclosed inline markup, stray end tags, entities, a comment and a script in the text
+    (f"<article><h1>A &lt;b&gt; &amp; c</h1></span><p><b>{MAIN}<p>x &eacute; &#233;{MAIN}</div><!-- <p>no</p> --><script>document.write('<p>no</p>')</script><p>{MAIN}</article>", f"A <b> & c\n{MAIN}\nx é é{MAIN}\n{MAIN}"),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), PAGES)
+def test_html_pages_by_hand(page, want):
+    assert html_extract.extract([page], html_extract.trained()) == [want]
+
+
+def test_html_attributes():
+    """Quotes count where a value starts, and nowhere else; a quote left open ends with its tag."""
+    read = lambda source: ["".join(p for p in n.pieces if isinstance(p, str)) for n in html_extract.features(html_extract.parse(source))[0][1:]]
+    assert read("<p a=it's b>one</p><p c=d'>two</p>") == ["one", "two"]
+    assert read('<p a="x > y" b=\'> "\'>one</p><p "x\'>two</p>') == ["one", "two"]
+    assert read('<p a="open>one</p><p>two</p>') == ["one", "two"]
+    assert read("<p a = 'x' / b= c>one<p/x>two") == ["one", "two"]
+
+
 def test_html_generated_pages():
     """Pages of the generator that the model has not seen."""
     model, rng, scores = html_extract.trained(), random.Random(77), []
@@ -337,6 +480,35 @@ def plain_tokenizer(name):
 SPECIAL = [(500, "<|endoftext|>"), (501, "a b <|endoftext|> c"), (502, "<|startoftext|>Words<|endoftext|>\n<|ENDOFTEXT|>")]
 
 
+def test_substring_repeated_ids(spark):
+    """Rows of one doc_id with different texts: each loses what is its own to lose, and no other row's places."""
+    rng = random.Random(9)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    passage = prose(80)
+    data = [(1, passage), (5, prose(20) + " " + passage + " " + prose(20)), (5, prose(120)), (5, prose(10) + " " + passage), (5, prose(120)), (1, prose(3) + " " + passage), (7, passage)]
+    df = spark.createDataFrame([(*d, "x", 1) for d in data + data[1:3]], "doc_id long, text string, around string, anchor int")
+    got = substring_dedup.strip_repeats(df).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == naive_strip(data + data[1:3])
+    spans = rows_of(substring_dedup.maximal_repeats(df), "doc_id", "start", "stop")
+    assert sorted(spans) == [(5, 10, 90), (5, 20, 100), (5, 20, 100), (7, 0, 80)]
+    assert substring_dedup.cut_repeats(df).columns == df.columns and substring_dedup.cut_repeats(df).count() == 8
+
+
+def test_spread_join_deals_hot_keys(spark):
+    big = spark.range(0, 5000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    small = big.groupBy("k").agg(F.count("*").alias("n")).where("k % 2 = 1").withColumn("w", F.col("k") * 2)
+    made = spread_join(big, small, ["k"], 5000, hot=50)
+    assert sorted(map(tuple, made.collect())) == sorted((k, v, 2 * k) for v in range(5000) if (k := 7 if v % 3 == 0 else v) % 2)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [r["n"] for r in spread_join(big, small, ["k"], 5000, hot=50).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert max(sizes) < 2 * sum(sizes) / 4
+
+
 def test_packing(spark, docs):
     docs = docs.select("doc_id", "text").union(spark.createDataFrame(SPECIAL, "doc_id long, text string"))
     got = packing.packed(docs).collect()
@@ -403,6 +575,33 @@ def test_mixing_targets_and_fit(spark):
     assert all(abs(taken[s] - want[s]) <= 1 for s in want)
 
 
+def test_mixing_repeated_rows(spark):
+    """A source that is one row a hundred times meets its target: its rows are taken one by one."""
+    row = (7, "w " * 10, "b")
+    data = [(i, "w " * 50, "a") for i in range(40)] + [row] * 100 + [(900 + i, "w " * 20, "c") for i in range(50)] + [(None, None, None), (None, "w", None), (None, "w", None)]
+    df = spark.createDataFrame([(*d, "k", 1) for d in data], "doc_id long, text string, source string, key string, c int")
+    got = mixing.decided(df).collect()
+    assert len(got) == len(data) and all(r["taken"] % r["size"] == 0 and r["taken"] <= 3 * r["size"] for r in got if r["size"])
+    sizes, taken, want = {}, {}, {}
+    for r in got:
+        s = {50: "a", 10: "b", 20: "c"}.get(r["size"])
+        sizes[s], taken[s], want[s] = sizes.get(s, 0) + r["size"], taken.get(s, 0) + r["taken"], r["target"]
+    assert want == pytest.approx(naive_targets(sizes)) and all(abs(taken[s] - want[s]) <= 10 for s in want)
+    mixed = mixing.mix(df)
+    assert mixed.columns == df.columns
+    copies = {r["doc_id"]: r["n"] for r in mixed.where("source = 'b'").groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert copies == {7: taken["b"] // 10}
+    assert sorted(rows_of(mixing.decided(df), "key", "taken")) == sorted((r["key"], r["taken"]) for r in got)
+
+
+@given(st.lists(st.integers(0, 50), min_size=1, max_size=9))
+@settings(max_examples=8, deadline=None)
+def test_mixing_levels(spark, sizes):
+    want = {f"s{i}": n for i, n in enumerate(sizes)}
+    got = mixing.targets(spark.createDataFrame(list(want.items()), "source string, source_size long")).collect()
+    assert {r["source"]: r["target"] for r in got} == pytest.approx(naive_targets(want) if sum(sizes) else dict.fromkeys(want, 0.0))
+
+
 @given(st.dictionaries(st.integers(1, 60), st.integers(1, 9), min_size=1, max_size=8), st.floats(0, 1))
 @settings(max_examples=100, deadline=None)
 def test_fill_is_exact_where_a_subset_sum_is(counts, share):
