@@ -383,7 +383,7 @@ def generated(rng: random.Random) -> tuple[str, str]:
         if k < 0.85:
             return "<ul>" + "".join(f"<li>{main}{words(2, 12)}</li>" for _ in range(rng.randint(2, 6))) + "</ul>"
         if k < 0.88:
-            return f"<blockquote>{main}{prose(1, 2)}</blockquote>"
+            return f"<blockquote>{rng.choice(['', '<p>'])}{main}{prose(1, 2)}</blockquote>"
         if k < 0.9:
             return f"<table><tr><td>{main}{words(1, 4)}</td><td>{main}{words(1, 4)}</td></tr></table>"
         if k < 0.93:
