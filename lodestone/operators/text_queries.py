@@ -6,6 +6,7 @@ from pyspark.sql.window import Window
 
 from lodestone.functions import text as X
 from lodestone.plans.catalog import query
+from lodestone.plans.joins import spread_join, stable
 from lodestone.plans.tables import table
 from lodestone.sources.courses import latex_text
 
@@ -106,25 +107,33 @@ def _truncate(spark, d):
     return table(spark, d, "documents").select("doc_id", X.truncated(F.col("text"), 80).alias("short"))
 
 
+# fixed values: phrases that speak of a definition or a result, each counted once a passage
+CUES = ("definition", "theorem", "lemma", "corollary", "proof", "we define", "is defined", "means that", "if and only if")
+
 SALIENCE = r"""
 WITH tok AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[A-Za-z]{3,}'))) AS token FROM documents),
 tf AS (SELECT token, count(*) AS f FROM tok GROUP BY token),
 r AS (SELECT doc_id, sum(1 / sqrt(f)) / count(*) AS rarity FROM tok JOIN tf USING (token) GROUP BY doc_id),
-s AS (SELECT doc_id, source, coalesce(rarity, 0) AS rarity, len(list_filter(regexp_split_to_array(text, '[^\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[A-Z][a-z]{2,}'))) AS caps, len(regexp_extract_all(text, '[0-9]')) AS nums FROM documents LEFT JOIN r USING (doc_id))
-"""
+s AS (SELECT doc_id, source, coalesce(rarity, 0) AS rarity, len(list_filter(regexp_split_to_array(text, '[^\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[A-Z][a-z]{2,}'))) AS caps, len(regexp_extract_all(text, '[0-9]')) AS nums, {cues} AS cues FROM documents LEFT JOIN r USING (doc_id))
+""".replace("{cues}", " + ".join(f"contains({MATCH.format('text')}, '{c}')::INT" for c in CUES))
+SCORE = "1.5::DOUBLE * cues + rarity + 0.05::DOUBLE * caps + 0.02::DOUBLE * nums"
 
 
 def salience(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, rarity, score): mean inverse-root frequency of a document's tokens, plus capitals and digits.
+    """(doc_id, source, rarity, score): mean inverse-root frequency of a document's tokens, plus cue phrases,
+    capitals and digits. A null text has none of them.
 
     Counting is two-level (a token's count in a document, then its sum), so what is shuffled and joined is
-    distinct tokens of documents, not every occurrence."""
-    per = docs.select("doc_id", F.explode(X.tokens_mining(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
-    corpus = per.groupBy("token").agg(F.sum("tf").alias("f"))
-    rarity = per.join(corpus, "token").groupBy("doc_id").agg((F.sum(F.col("tf") / F.sqrt("f")) / F.sum("tf")).alias("rarity"))
+    distinct tokens of documents, not every occurrence; common tokens are dealt over tasks in the join."""
+    per = stable(docs.select("doc_id", F.explode(X.tokens_mining(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("tf")))
+    corpus = per.groupBy("token").agg(F.sum("tf").alias("f"), F.count("*").alias("n"))
+    rarity = spread_join(per, corpus, ["token"], per.count(), by="doc_id").groupBy("doc_id").agg((F.sum(F.col("tf") / F.sqrt("f")) / F.sum("tf")).alias("rarity"))
     caps, nums = F.regexp_count("text", F.lit(r"(?U)\b[A-Z][a-z]{2,}\b")), F.regexp_count("text", F.lit("[0-9]"))
-    marks = docs.select("doc_id", "source", caps.alias("caps"), nums.alias("nums"))
-    return marks.join(rarity, "doc_id", "left").select("doc_id", "source", F.coalesce("rarity", F.lit(0.0)).alias("rarity"), (F.coalesce("rarity", F.lit(0.0)) + 0.05 * F.col("caps") + 0.02 * F.col("nums")).alias("score"))
+    plain = docs.select("doc_id", "source", "text", X.normalize_match(F.col("text")).alias("plain"))
+    cues = sum((F.contains("plain", F.lit(c)).cast("int") for c in CUES[1:]), F.contains("plain", F.lit(CUES[0])).cast("int"))
+    marks = plain.select("doc_id", "source", F.coalesce(cues * 1.5 + caps * 0.05 + nums * 0.02, F.lit(0.0)).alias("marks"))
+    rare = F.coalesce("rarity", F.lit(0.0))
+    return marks.join(rarity, "doc_id", "left").select("doc_id", "source", rare.alias("rarity"), (F.col("marks") + rare).alias("score"))
 
 
 @query("mine_rarity", SALIENCE + "SELECT doc_id, round(rarity, 6) AS rarity FROM s")
@@ -132,26 +141,17 @@ def _rarity(spark, d):
     return salience(table(spark, d, "documents")).select("doc_id", F.round("rarity", 6).alias("rarity"))
 
 
-@query("mine_score", SALIENCE + "SELECT doc_id, round(rarity + 0.05::DOUBLE * caps + 0.02::DOUBLE * nums, 6) AS score FROM s")
+@query("mine_score", SALIENCE + f"SELECT doc_id, round({SCORE}, 6) AS score FROM s")
 def _score(spark, d):
     return salience(table(spark, d, "documents")).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query("mine_top_k", SALIENCE + "SELECT doc_id, source, round(rarity + 0.05::DOUBLE * caps + 0.02::DOUBLE * nums, 6) AS score FROM s ORDER BY round(rarity + 0.05::DOUBLE * caps + 0.02::DOUBLE * nums, 9) DESC, doc_id LIMIT 100")
+@query("mine_top_k", SALIENCE + f"SELECT doc_id, source, round({SCORE}, 6) AS score FROM s ORDER BY round({SCORE}, 9) DESC, doc_id LIMIT 100")
 def mine_top_k(spark, d):
     best = salience(table(spark, d, "documents")).orderBy(F.desc(F.round("score", 9)), "doc_id").limit(100)
     return best.select("doc_id", "source", F.round("score", 6).alias("score"))
 
 
-@query("latex_strip", r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\\(textbf|emph)\{([^}]*)\}', '\2', 'g'), '\\[A-Za-z]+\*?(\[[^\]]*\])?', '', 'g'), '[{}$]', ' ', 'g'), '\s+', ' ', 'g')) AS plain
-FROM (SELECT doc_id, '\begin{thm} \textbf{' || lang || '} $x$ \emph{' || source || '} ' || substr(text, 1, 60) AS t FROM documents)""")
-def _latex(spark, d):
-    t = F.concat(F.lit(r"\begin{thm} \textbf{"), "lang", F.lit(r"} $x$ \emph{"), "source", F.lit("} "), F.substring("text", 1, 60))
-    t = F.regexp_replace(t, r"\\(textbf|emph)\{([^}]*)\}", "$2")
-    t = F.regexp_replace(F.regexp_replace(t, r"\\[A-Za-z]+\*?(\[[^\]]*\])?", ""), r"[{}$]", " ")
-    return table(spark, d, "documents").select("doc_id", X.normalize_ws(t).alias("plain"))
-
-
 # a comment ends where Python's splitlines ends a line
 COMMENT = r"(?<!\\)%[^\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]*"
 
