@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.plans.catalog import query
+from lodestone.plans.joins import running_sum
 from lodestone.plans.tables import table
 
 R = lambda c, n=6: F.round(c, n)
@@ -52,9 +53,11 @@ BUDGETS = (100, 500, 1000, 5000)
 f AS (SELECT pid, min(rank) AS first FROM qa JOIN r USING (item) GROUP BY pid)
 SELECT b AS budget, count(first) AS covered FROM (SELECT unnest([100, 500, 1000, 5000])::BIGINT AS b) LEFT JOIN f ON first <= b GROUP BY b""")
 def _by_budget(spark, d):
-    """Each passage counts once, at the rank that first covers it: rows, not rows times budgets."""
-    ranked = table(spark, d, "orders").select(F.col("o_orderkey").alias("item"), F.row_number().over(Window.orderBy("o_orderkey")).alias("rank"))
-    first = qa_evidence(spark, d).join(ranked, "item").groupBy("pid").agg(F.min("rank").alias("first"))
+    """Each passage counts once, at the rank that first covers it: rows, not rows times budgets. Only the items
+    within the largest budget are ranked, so the window and the broadcast hold that many rows."""
+    within = table(spark, d, "orders").select(F.col("o_orderkey").alias("item")).orderBy("item").limit(BUDGETS[-1])
+    ranked = within.withColumn("rank", F.row_number().over(Window.orderBy("item")))
+    first = qa_evidence(spark, d).join(F.broadcast(ranked), "item").groupBy("pid").agg(F.min("rank").alias("first"))
     flags = [F.count_if(F.col("first") <= b).alias(str(b)) for b in BUDGETS]
     return first.agg(*flags).unpivot([], [str(b) for b in BUDGETS], "budget", "covered").select(F.col("budget").cast("long").alias("budget"), "covered")
 
@@ -64,7 +67,7 @@ SELECT first AS item, new AS newly_covered, sum(new) OVER (ORDER BY first)::BIGI
 def _curve(spark, d):
     first = qa_evidence(spark, d).groupBy("pid").agg(F.min("item").alias("first"))
     n = first.groupBy(F.col("first").alias("item")).agg(F.count("*").alias("newly_covered"))
-    return n.withColumn("covered", F.sum("newly_covered").over(Window.orderBy("item").rowsBetween(Window.unboundedPreceding, 0)))
+    return running_sum(n, ["item"], "newly_covered", "covered")
 
 
 CALLS = """calls AS (SELECT event_id, event_type AS ns, 'm' || (user_id % 3) AS model, event_type <> 'error' AS ok, value AS elapsed, coalesce(try_cast(json_extract_string(props, '$.k') AS BIGINT), 0) AS tokens FROM events)"""
@@ -102,18 +105,32 @@ def _breakdown(spark, d):
 
 @query("stats_p90", f"WITH {CALLS} SELECT ns, count(*) AS n, round(avg(elapsed), 6) AS mean, round(median(elapsed), 6) AS median, round(list_sort(list(elapsed))[greatest(1, floor(count(*) * 0.9::DOUBLE)::INT)], 6) AS p90, round(min(elapsed), 6) AS min, round(max(elapsed), 6) AS max FROM calls GROUP BY ns")
 def _stats(spark, d):
-    """The value at the index is found by rank, not by gathering a group's values."""
-    c = calls(spark, d)
-    w = Window.partitionBy("ns")
-    ranked = c.select("ns", "elapsed", F.row_number().over(w.orderBy("elapsed")).alias("r"), F.count("*").over(w).alias("n"))
-    at = F.greatest(F.lit(1), F.floor(F.col("n") * 0.9).cast("int"))
-    return ranked.groupBy("ns").agg(F.count("*").alias("n"), R(F.avg("elapsed")).alias("mean"), R(F.median("elapsed")).alias("median"), R(F.max(F.when(F.col("r") == at, F.col("elapsed")))).alias("p90"), R(F.min("elapsed")).alias("min"), R(F.max("elapsed")).alias("max"))
+    r = ranked_values(calls(spark, d).select("ns", "elapsed"), "ns", "elapsed")
+    at = lambda k: F.min(F.when(F.col("upto") >= k, F.col("elapsed")))
+    n = F.col("n")
+    mid = (at(F.floor((n + 1) / 2)) + at(F.ceil((n + 1) / 2))) / 2
+    out = r.groupBy("ns", "n").agg((F.sum(F.col("elapsed") * F.col("c")) / F.first("n")).alias("mean"), mid.alias("median"), at(F.greatest(F.lit(1), F.floor(n * 0.9).cast("int"))).alias("p90"), F.min("elapsed").alias("min"), F.max("elapsed").alias("max"))
+    return out.select("ns", "n", *[R(c).alias(c) for c in ("mean", "median", "p90", "min", "max")])
+
+
+def ranked_values(df: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, value, c, n, upto): each value of a group with its count, the group's, and how many are not above it.
+
+    Equal values are counted before they are sorted, the sort is by ranges over all groups, and ranks come from
+    prefix sums: no task gathers or sorts a group. Groups are few. A null group is a group."""
+    counted = df.groupBy(group, value).agg(F.count("*").alias("c"))
+    run = running_sum(counted, [group, value], "c", "all_upto")
+    sizes = df.groupBy(F.col(group).alias("g")).agg(F.count("*").alias("n"))
+    base = run.groupBy(F.col(group).alias("g")).agg(F.min(F.col("all_upto") - F.col("c")).alias("base"))
+    some = F.broadcast(sizes.join(base, sizes.g.eqNullSafe(base.g)).select(sizes.g, "n", "base"))  # a row a group
+    return run.join(some, F.col(group).eqNullSafe(F.col("g"))).select(group, value, "c", "n", (F.col("all_upto") - F.col("base")).alias("upto"))
 
 
 @query("ecdf", f"WITH {CALLS} SELECT ns, elapsed, round(cume_dist() OVER (PARTITION BY ns ORDER BY elapsed), 6) AS p FROM calls WHERE isfinite(elapsed)")
 def _ecdf(spark, d):
-    c = calls(spark, d).where(~F.isnan("elapsed") & (F.abs("elapsed") != float("inf")))
-    return c.select("ns", "elapsed", R(F.cume_dist().over(Window.partitionBy("ns").orderBy("elapsed"))).alias("p"))
+    c = calls(spark, d).where(~F.isnan("elapsed") & (F.abs("elapsed") != float("inf"))).select("ns", "elapsed")
+    r = ranked_values(c, "ns", "elapsed").select("ns", "elapsed", R(F.col("upto") / F.col("n")).alias("p"), "c")
+    return r.withColumn("c", F.explode(F.sequence(F.lit(1).cast("long"), "c"))).drop("c")
 
 
 @query("flags_metrics", "SELECT source, count(*) AS n, round(avg(toxic), 6) AS cb_acc, round(avg(quality), 6) AS ctx_acc, round(avg((toxic = 0 AND quality = 1)::INT), 6) AS unknown_purity FROM labels JOIN documents USING (doc_id) GROUP BY source")
@@ -219,7 +236,8 @@ def _audit(spark, d):
     total = docs.agg(F.count("*").alias("total"))  # one row
     quota = docs.groupBy("source").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select("source", F.least(F.bround(F.col("n") * 100.0 / F.col("total"), 0).cast("long"), "n").alias("quota"))
     r = F.row_number().over(Window.partitionBy("source").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id"))
-    return docs.withColumn("r", r).join(quota, "source").where("r <= quota").select("doc_id", "source")
+    first = docs.withColumn("r", r).where("r <= 100")  # no quota is larger; so each partition keeps that many of a source
+    return first.join(F.broadcast(quota), "source").where("r <= quota").select("doc_id", "source")
 
 
 @query("select_random", "SELECT doc_id FROM documents ORDER BY md5('7' || doc_id::VARCHAR), doc_id LIMIT 200")
