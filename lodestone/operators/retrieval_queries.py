@@ -6,6 +6,7 @@ from pyspark.sql.window import Window
 
 from lodestone.functions import text as X
 from lodestone.plans.catalog import query
+from lodestone.plans.joins import stable
 from lodestone.plans.tables import table
 
 K1, B, EPSILON = 1.5, 0.75, 0.25  # fixed values: the usual Okapi constants
@@ -29,13 +30,18 @@ def bm25_idf(tf: DataFrame, n_docs: DataFrame) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     """(qid, doc_id, rank, score) of the k best documents with a positive match.
 
-    docs (doc_id, text), queries (qid, text). An inverted index joined on query tokens: cost follows
-    matching postings, never queries times documents."""
+    docs (doc_id, text), queries (qid, text). An inverted index joined on query tokens: cost follows matching
+    postings, never queries times documents. Texts are tokenised once; the postings are written once, of which the
+    join keeps those of query tokens."""
     words = docs.select("doc_id", X.tokens_alnum(F.col("text")).alias("w"))
-    tf = words.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("token")).groupBy("doc_id", "dl", "token").agg(F.count("*").alias("tf"))
-    stats = words.agg(F.count("*").alias("n_docs"), F.avg(F.size("w")).alias("avgdl"))  # one row
+    # an empty text keeps one posting of no token, so that it counts as a document
+    tf = stable(words.select("doc_id", F.size("w").alias("dl"), F.explode_outer("w").alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("tf"), F.max("dl").alias("dl")))
+    lengths = tf.groupBy("doc_id").agg(F.max("dl").alias("dl"))
+    stats = lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))  # one row
+    some = tf.where("token IS NOT NULL")
+    idf = bm25_idf(some, stats.select("n_docs"))
     q = queries.select("qid", F.explode(X.tokens_alnum(F.col("text"))).alias("token")).groupBy("qid", "token").agg(F.count("*").alias("qtf"))
-    hits = tf.join(q, "token").join(bm25_idf(tf, stats.select("n_docs")), "token").crossJoin(F.broadcast(stats.select("avgdl")))
+    hits = some.join(q.join(idf, "token"), "token").crossJoin(F.broadcast(stats.select("avgdl")))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return _rank(hits.groupBy("qid", "doc_id").agg(F.sum(part).alias("score")), k).select("qid", "doc_id", "rank", "score")
 
@@ -67,10 +73,19 @@ def bm25_topk(spark, d):
     return bm25(table(spark, d, "documents"), _items(spark, d)).withColumn("score", F.round("score", 6))
 
 
+def unit(c):
+    """A vector over its length, in double."""
+    wide = F.transform(c, lambda x: x.cast("double"))
+    length = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda s, x: s + x * x))
+    return F.when(length > 0, F.transform(wide, lambda x: x / length)).otherwise(wide)
+
+
 def dense(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(qid, doc_id, rank, score): a stated query set against all vectors, in blocks of QUERY_BLOCK queries.
 
-    A block of queries travels as one row to every partition bucket of vectors; scores stay in the JVM."""
+    A block of queries travels as one row to every partition bucket of vectors; scores stay in the JVM. Vectors
+    are taken at unit length, as cosine similarity wants; one of zeros scores 0."""
+    vectors, queries = vectors.withColumn("embedding", unit(F.col("embedding"))), queries.withColumn("embedding", unit(F.col("embedding")))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     block = queries.select(F.pmod(F.xxhash64("qid"), F.lit(n)).alias("b"), F.struct("qid", F.col("embedding").alias("q")).alias("one"), (F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("qid"), F.lit(n))).orderBy("qid")) / QUERY_BLOCK).cast("int").alias("part"))
@@ -82,7 +97,7 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 
 DENSE = """
-dn AS (SELECT q.vec_id AS qid, c.vec_id AS doc_id, list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS score FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+dn AS (SELECT q.vec_id AS qid, c.vec_id AS doc_id, list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS score FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
 dr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id)::INT AS rank FROM dn) WHERE rank <= 20)"""
 
 
