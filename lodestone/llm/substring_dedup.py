@@ -7,9 +7,10 @@ anchor at the same place. Anchors, about one for 18 words, are joined; windows a
 Extension. An occurrence of an anchor is extended 34 words both ways, or to the document's ends: as far as
 a window that holds it can reach. Occurrences whose whole extension agrees are one class, and all but
 those of the class's smallest document repeat text of that document. Where an anchor has several classes,
-one occurrence of each is extended word by word: each window that holds it (35 at most) is one row,
-grouped over the anchor's classes, and repeats if a smaller document has it. So a passage in m documents
-costs in proportion to m, and no pairs of documents are formed.
+one occurrence of each is extended word by word: each window of which it is the lowest gram is one row (so a window
+is one row of a document), grouped over all classes, and repeats if a smaller document has it. So a passage in m
+documents costs in proportion to m, and no pairs of documents are formed. A class's hash covers its anchor, so it
+stands for both.
 
 Maximal repeats. A run of repeated windows that start at consecutive words is a maximal repeat: neither its
 first nor its last word can be extended by another repeated window. Each is kept as its first word and the
@@ -37,7 +38,7 @@ WINDOW, GRAM = 50, 16
 BASE = 0x9E3779B97F4A7C15  # odd, so that its powers can be divided out modulo 2^64
 INVERSE = pow(BASE, -1, 1 << 64)
 SEED = "anchor long, around long, doc_id long, key long, pos int"
-WINDOWS = "anchor long, around long, doc_id long, back int, window long"
+WINDOWS = "around long, doc_id long, back int, window long"
 
 
 class Hasher:
@@ -108,17 +109,21 @@ class Seeds:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(cols, out, strict=True)], schema=out)
 
     def extend(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(doc_id, packed, found: [(pos, anchor, around)]) -> a row for each window that holds a seed."""
+        """(doc_id, packed, found: [(pos, around)]) -> a row for each window of which a seed is the lowest gram."""
         out, hasher, unpack = _to_arrow(WINDOWS), Hasher(), zstandard.ZstdDecompressor()
         for batch in batches:
-            cols: list[list[np.ndarray]] = [[], [], [], [], []]
+            cols: list[list[np.ndarray]] = [[], [], [], []]
             for doc, packed, found in zip(batch.column("doc_id").to_pylist(), batch.column("packed").to_pylist(), batch.column("found").to_pylist(), strict=True):
                 words = unpack.decompress(packed).split()
                 n, prefix = len(words), hasher.prefix(words)
+                place = np.arange(n - self.gram + 1)
+                h = hasher.runs(prefix, place, place + self.gram)
+                lowest = extreme(h, self.reach + 1)
                 for seed in found:
-                    start = np.arange(max(0, seed["pos"] - self.reach), min(seed["pos"], n - self.window) + 1)
+                    pos = seed["pos"]
+                    start = max(0, pos - self.reach) + np.flatnonzero(lowest[max(0, pos - self.reach) : pos + 1] == h[pos])
                     made = hasher.runs(prefix, start, start + self.window)
-                    for c, x in zip(cols, (np.full(len(start), seed["anchor"]), np.full(len(start), seed["around"]), np.full(len(start), doc), seed["pos"] - start, made.view(np.int64)), strict=True):
+                    for c, x in zip(cols, (np.full(len(start), seed["around"]), np.full(len(start), doc), pos - start, made.view(np.int64)), strict=True):
                         c.append(x)
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(cols, out, strict=True)], schema=out)
@@ -195,19 +200,20 @@ def strip_repeats(docs: DataFrame, kept_text: bool = False, window: int = WINDOW
     n_seen = seen.count()
 
     # an anchor's classes; of those with several, a seed each: the first occurrence in the smallest document
-    classes = cut(seen.groupBy("anchor", "around").agg(F.min(F.struct("doc_id", "pos", "key")).alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")), "classes")
+    classes = cut(seen.groupBy("around").agg(F.first("anchor").alias("anchor"), F.min(F.struct("doc_id", "pos", "key")).alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")), "classes")
     several = classes.groupBy("anchor").agg(F.min("first.doc_id").alias("lo"), F.max("first.doc_id").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("anchor", "m")
     chosen = spread_join(classes.select("anchor", "around", "first"), several, ["anchor"], n_seen, "m", by="around")
-    seeds = chosen.groupBy(F.col("first.key").alias("key")).agg(F.collect_list(F.struct(F.col("first.pos").alias("pos"), "anchor", "around")).alias("found"))
+    seeds = chosen.groupBy(F.col("first.key").alias("key")).agg(F.collect_list(F.struct(F.col("first.pos").alias("pos"), "around")).alias("found"))
     packed = docs.mapInArrow(_pack, "doc_id long, key long, packed binary")
     once = packed.where("packed IS NOT NULL").join(seeds.hint("shuffle_hash"), "key")
-    windows = cut(once.select("doc_id", "packed", "found").mapInArrow(at.extend, WINDOWS), "windows")
-    older = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi").drop("hi")
-    repeated = spread_join(windows, older, ["anchor", "window"], windows.count(), by="around").where("doc_id > lo")
-    masks = repeated.groupBy("anchor", "around").agg(F.bit_or(F.expr("shiftleft(1L, back)")).alias("mask"))
-
-    rule = classes.join(masks, ["anchor", "around"], "left").select("anchor", "around", F.col("first.doc_id").alias("first"), "mask", "last", "n").where("mask IS NOT NULL OR first < last").drop("last")
-    ruled = spread_join(seen, cut(rule, "rule"), ["anchor", "around"], n_seen, by="key")
+    windows, windows_path = cut_to(once.select("doc_id", "packed", "found").mapInArrow(at.extend, WINDOWS), "windows")
+    older = windows.groupBy("window").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi").drop("hi")
+    repeated = spread_join(windows, older, ["window"], windows.count(), by="around").where("doc_id > lo")
+    masks = repeated.groupBy("around").agg(F.bit_or(F.expr("shiftleft(1L, back)")).alias("mask"))
+
+    rule = classes.join(masks, "around", "left").select("around", F.col("first.doc_id").alias("first"), "mask", "last", "n").where("mask IS NOT NULL OR first < last").drop("last")
+    ruled = spread_join(seen.drop("anchor"), cut(rule, "rule"), ["around"], n_seen, by="key")
+    remove(docs.sparkSession, windows_path)
     hits = ruled.select("key", "pos", F.when(F.col("doc_id") > F.col("first"), F.lit((1 << (at.reach + 1)) - 1)).otherwise(F.col("mask")).alias("mask")).where("mask IS NOT NULL")
     found = hits.groupBy("key").agg(F.collect_set(F.struct("pos", "mask")).alias("found"))  # a set: rows that repeat have one key
     schema = "doc_id long, key long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * kept_text + ", repeats array<struct<start:long,stop:long>>"
