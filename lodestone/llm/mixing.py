@@ -21,7 +21,7 @@ from lodestone.llm.shared import cut, fan_out, ranked, spread_join, word_count
 WEIGHTS = (5, 2, 1)
 MOST = 3  # times a document, and a source, may be taken
 BUDGET = 1 << 15  # words that the dynamic programme fills
-GROUP = 5000  # documents of one source and length that one window ranks, about
+GROUP = 512  # documents of one source and length that one window ranks, about
 
 
 def fill(lengths: list[int], counts: list[int], budget: int, dp_budget: int = BUDGET) -> list[int]:
