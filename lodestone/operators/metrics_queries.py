@@ -191,11 +191,6 @@ def _entropy(spark, d):
     return t.groupBy("conv_id").agg((R(h) + F.lit(0.0)).alias("entropy"))
 
 
-@query("edge_filter", "SELECT doc_id, round(1.0::DOUBLE * (1 - toxic) + 0.5::DOUBLE * quality, 6) AS edge_score FROM labels WHERE 1.0::DOUBLE * (1 - toxic) + 0.5::DOUBLE * quality >= 0.6")
-def _edge(spark, d):
-    return table(spark, d, "labels").withColumn("edge_score", R(1.0 * (1 - F.col("toxic")) + 0.5 * F.col("quality"))).where("edge_score >= 0.6").select("doc_id", "edge_score")
-
-
 @query("resume_antijoin", "SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)")
 def _resume(spark, d):
     return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")

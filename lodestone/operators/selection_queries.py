@@ -1,75 +1,147 @@
-"""Coverage-aware selection: the exact sequential greedy, one task a group and setting."""
+"""Coverage-aware selection: the exact sequential greedy, one task a pool and setting, and threshold rounds for scale."""
+
+from __future__ import annotations
 
 import heapq
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.metrics_queries import qa_evidence
+from lodestone.operators.candidates import inverse_agreement
+from lodestone.operators.metrics_queries import QA, qa_evidence
 from lodestone.plans.catalog import query
+from lodestone.plans.joins import stable
+from lodestone.plans.tables import table
 
 COMMON = 200  # postings from which a token no longer counts towards redundancy
-
-
-def greedy(docs: list, units: list, reasons: list, tokens: list, unknown: list, n: int, weights=(1.0, 1.0, 0.5, 0.2), least_unknown: float = 0.0) -> list[tuple[int, float]]:
-    """(item, gain) in the order picked: lazy evaluation, ties to the lower index.
-
-    An item gains by new documents, new units and a new reason, and loses by its largest Jaccard
-    similarity to a picked item with which it shares a token of at most COMMON postings."""
-    seen: tuple[set, set, set] = (set(), set(), set())
-    postings: dict[str, list[int]] = {}
-    picked: list[tuple[int, float]] = []
-    w_doc, w_unit, w_reason, w_dup = weights
-
-    def gain(i: int) -> float:
-        g = w_doc * len(docs[i] - seen[0]) + w_unit * len(units[i] - seen[1]) + (w_reason if reasons[i] and reasons[i] not in seen[2] else 0.0)
-        if w_dup and tokens[i]:
-            near = {j for t in tokens[i] if len(postings.get(t, ())) <= COMMON for j in postings.get(t, ())}
-            g -= w_dup * max((len(tokens[i] & tokens[j]) / len(tokens[i] | tokens[j]) for j in near), default=0.0)
-        return g
-
-    def phase(items, most: int) -> None:
-        heap = [(-gain(i), i) for i in items]
-        heapq.heapify(heap)
-        while heap and len(picked) < most:
-            _, i = heapq.heappop(heap)
-            g = gain(i)
-            if heap and g + 1e-12 < -heap[0][0]:
-                heapq.heappush(heap, (-g, i))
-                continue
-            picked.append((i, g))
-            for s, new in zip(seen, (docs[i], units[i], {reasons[i]} - {"", None}), strict=True):
-                s |= new
-            for t in tokens[i]:
-                postings.setdefault(t, []).append(i)
-
-    first = min(n, math.ceil(n * least_unknown))
-    if first:
-        phase([i for i in range(len(docs)) if unknown[i]], first)
-    done = {i for i, _ in picked}
-    phase([i for i in range(len(docs)) if i not in done], n)
+#: Weights of new documents, new units, a new reason, and of likeness to what is picked.
+SETTINGS = {
+    "main": (1.0, 1.0, 0.5, 0.2),
+    "doc_only": (1.0, 0.0, 0.0, 0.2),
+    "unit_only": (0.0, 1.0, 0.0, 0.2),
+    "no_reason": (1.0, 1.0, 0.0, 0.2),
+    "no_redundancy": (1.0, 1.0, 0.5, 0.0),
+}
+
+
+class Codes:
+    """Lists of values, one an item, as flat arrays of small integers: item i has code[at[i] : at[i + 1]], each once."""
+
+    def __init__(self, lists: list):
+        sets = [sorted(set(() if x is None else x) - {None}) for x in lists]
+        self.at = np.cumsum([0, *map(len, sets)])
+        names, self.code = np.unique(np.array([v for s in sets for v in s], dtype=object).astype(str) if self.at[-1] else np.zeros(0, str), return_inverse=True)
+        self.n = len(names)
+
+    def of(self, i: int) -> np.ndarray:
+        return self.code[self.at[i] : self.at[i + 1]]
+
+
+class Gains:
+    """What an item would add to the items picked so far: covered documents, units and reasons are flags, and a
+    posting list a token says which picked items are like it."""
+
+    def __init__(self, docs: list, units: list, reasons: list, tokens: list, weights: tuple):
+        self.weights = weights
+        self.parts = [Codes(x) for x in (docs, units, [[r] if r else [] for r in reasons])]
+        self.covered = [np.zeros(p.n, bool) for p in self.parts]
+        self.tokens = Codes(tokens)
+        self.postings: list[list[int]] = [[] for _ in range(self.tokens.n)]
+
+    def likeness(self, i: int) -> float:
+        """The largest Jaccard similarity to a picked item that shares a token of at most COMMON postings."""
+        own = self.tokens.of(i)
+        near = {j for t in own if len(self.postings[t]) <= COMMON for j in self.postings[t]}
+        best = 0.0
+        for j in near:
+            both = len(np.intersect1d(own, self.tokens.of(j), assume_unique=True))
+            best = max(best, both / (len(own) + len(self.tokens.of(j)) - both))
+        return best
+
+    def of(self, i: int) -> float:
+        new = (int((~c[p.of(i)]).sum()) for p, c in zip(self.parts, self.covered, strict=True))
+        gain = sum(w * n for w, n in zip(self.weights, new, strict=False))
+        return gain - self.weights[3] * self.likeness(i) if self.weights[3] and len(self.tokens.of(i)) else gain
+
+    def pick(self, i: int) -> None:
+        for p, c in zip(self.parts, self.covered, strict=True):
+            c[p.of(i)] = True
+        for t in self.tokens.of(i):
+            self.postings[t].append(i)
+
+
+def greedy(docs: list, units: list, reasons: list, tokens: list, unknown: list, n: int, weights=SETTINGS["main"], least_unknown: float = 0.0) -> list[tuple[int, float]]:
+    """(item, gain) in the order picked: n items, of which the first ceil(n * least_unknown) are unknown ones if
+    there are as many.
+
+    Gains are upper bounds until an item comes up, when it is weighed anew: it is picked if no bound that is left
+    beats it by more than 1e-12, else it goes back. Of equal bounds the lower index comes up first. A gain can grow
+    when a token turns common, so bounds are the ones last weighed, not proven ones."""
+    gains, picked = Gains(docs, units, reasons, tokens, weights), []
+    for wanted, limit in ((True, min(n, math.ceil(n * least_unknown))), (False, n)):
+        done = {i for i, _ in picked}
+        bounds = [(-gains.of(i), i) for i in range(len(docs)) if i not in done and (unknown[i] or not wanted)] if len(picked) < limit else []
+        heapq.heapify(bounds)
+        while bounds and len(picked) < limit:
+            _, i = heapq.heappop(bounds)
+            now = gains.of(i)
+            if bounds and now + 1e-12 < -bounds[0][0]:
+                heapq.heappush(bounds, (-now, i))
+            else:
+                gains.pick(i)
+                picked.append((i, now))
     return picked
 
 
-def select(pool: DataFrame, group: str, n: int, **settings) -> DataFrame:
-    """pool (group, item, pids, units, reason, words, unknown) -> (group, item, rank, gain)."""
+def select(pool: DataFrame, group: str, n: int, order: list | None = None, **settings) -> DataFrame:
+    """pool (group, item, pids, units, reason, words, unknown) -> (group, item, rank, gain).
+
+    A pool is one task: it must fit its memory, as codes. Ties go by `order`, an item's own number by default."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("item").reset_index(drop=True)
-        sets = lambda c: [set(x) - {None} for x in pdf[c]]
-        got = greedy(sets("pids"), sets("units"), pdf["reason"].tolist(), sets("words"), pdf["unknown"].tolist(), n, **settings)
+        pdf = pdf.sort_values(order or ["item"]).reset_index(drop=True)
+        got = greedy(pdf["pids"].tolist(), pdf["units"].tolist(), pdf["reason"].tolist(), pdf["words"].tolist(), pdf["unknown"].tolist(), n, **settings)
         at = [i for i, _ in got]
         return pd.DataFrame({group: pdf[group].iloc[at].values, "item": pdf["item"].iloc[at].values, "rank": range(1, len(at) + 1), "gain": [round(g, 6) for _, g in got]})
 
     return pool.groupBy(group).applyInPandas(run, f"{group} string, item long, rank int, gain double")
 
 
+def cover_in_rounds(pool: DataFrame, n: int, fall: float = 0.5, least: float = 1.0) -> DataFrame:
+    """(item, round): up to n items of (item, pids) that cover documents, by falling thresholds, for pools no task holds.
+
+    A round takes items that would cover at least the threshold of documents not covered yet, and of these the ones
+    that hold the smallest item number on enough of them, so that no two of a round count the same document. The
+    threshold starts at the largest item and falls by `fall`, down to `least`; coverage comes near the greedy's."""
+    left = stable(pool.select("item", F.explode(F.array_distinct("pids")).alias("pid")))
+    level, taken, out, round_ = float((left.groupBy("item").count().agg(F.max("count")).first()[0]) or 0), 0, None, 0
+    while level >= least and taken < n:
+        sized = left.join(left.groupBy("item").agg(F.count("*").alias("size")).where(F.col("size") >= level), "item")
+        first = sized.groupBy("pid").agg(F.min("item").alias("item"))  # a document counts for one item of a round
+        won = first.groupBy("item").agg(F.count("*").alias("won")).where(F.col("won") >= level)
+        chosen = stable(won.orderBy(F.desc("won"), "item").limit(n - taken).select("item"))
+        got = chosen.count()
+        if not got:
+            level = level * fall if level > least else 0.0
+            level = max(level, least) if level else level
+            continue
+        round_, taken = round_ + 1, taken + got
+        part = chosen.withColumn("round", F.lit(round_))
+        out = part if out is None else out.union(part)
+        gone = left.join(chosen, "item").select("pid").distinct()
+        left = stable(left.join(gone, "pid", "left_anti"))
+    return out if out is not None else pool.select("item", F.lit(0).alias("round")).limit(0)
+
+
 def _pool(spark, d) -> DataFrame:
-    e = qa_evidence(spark, d)
-    p = e.groupBy("item", "reason", "unknown").agg(F.collect_set("pid").alias("pids"), F.collect_set("unit").alias("units"))
-    return p.withColumn("words", F.transform("pids", lambda x: (x % 50).cast("string"))).withColumn("pool", F.concat(F.lit("p"), F.col("item") % 8))
+    """Orders as items, parts as documents, brands as units; an item's tokens are the words of its parts' names."""
+    names = table(spark, d, "part").select(F.col("p_partkey").alias("pid"), F.split(F.lower("p_name"), " ").alias("names"))
+    e = qa_evidence(spark, d).join(names, "pid", "left")
+    p = e.groupBy("item", "reason", "unknown").agg(F.collect_set("pid").alias("pids"), F.collect_set("unit").alias("units"), F.array_distinct(F.flatten(F.collect_list("names"))).alias("words"))
+    return p.withColumn("pool", F.concat(F.lit("p"), F.col("item") % 8))
 
 
 @query("select_greedy")
@@ -79,10 +151,45 @@ def _select(spark, d):
 
 @query("select_ablations")
 def _ablations(spark, d):
-    parts = [select(_pool(spark, d), "pool", 50, weights=w).withColumn("setting", F.lit(name)) for name, w in (("no_dup", (1.0, 1.0, 0.5, 0.0)), ("docs_only", (1.0, 0.0, 0.0, 0.2)), ("units_only", (0.0, 1.0, 0.0, 0.2)))]
-    return parts[0].union(parts[1]).union(parts[2])
+    pool, out = _pool(spark, d), None
+    for name, weights in SETTINGS.items():
+        one = select(pool, "pool", 50, weights=weights).withColumn("setting", F.lit(name))
+        out = one if out is None else out.union(one)
+    return out
 
 
 @query("select_unknown_first")
 def _unknown(spark, d):
     return select(_pool(spark, d), "pool", 50, least_unknown=0.5)
+
+
+@query("select_b1")
+def _b1(spark, d):
+    """Documents first, without regard to unknownness; ties in the order of a hash."""
+    pool = _pool(spark, d).withColumn("turn", F.md5(F.concat(F.lit("b1"), F.col("item").cast("string"))))
+    return select(pool, "pool", 50, order=["turn", "item"], weights=SETTINGS["doc_only"])
+
+
+@query("select_unit_first")
+def _unit_first(spark, d):
+    return select(_pool(spark, d), "pool", 50, weights=SETTINGS["unit_only"])
+
+
+@query("select_retarget")
+def _retarget(spark, d):
+    """Unknown by another model's flags; an item that it did not score is not unknown."""
+    flags = table(spark, d, "labels").select(F.col("doc_id").alias("item"), ((F.col("toxic") == 0) & (F.col("quality") == 1)).alias("other"))
+    pool = _pool(spark, d).join(flags, "item", "left").withColumn("unknown", F.coalesce("other", F.lit(False)))
+    return select(pool, "pool", 50, least_unknown=0.5)
+
+
+@query("select_in_rounds")
+def _rounds(spark, d):
+    return cover_in_rounds(_pool(spark, d).select("item", "pids"), 400)
+
+
+@query("select_paraphrase", f"WITH {QA}, s AS (SELECT DISTINCT item, 1 - least(1, greatest(0, CASE WHEN item % 7 = 0 THEN 1 ELSE (item % 113) / 100::DOUBLE END)) AS score FROM qa) SELECT item, round(score, 6) + 0.0 AS score FROM s ORDER BY round(score, 9) DESC, item LIMIT 500")
+def _paraphrase(spark, d):
+    agree = F.when(F.col("item") % 7 == 0, F.lit(float("nan"))).otherwise((F.col("item") % 113) / 100)
+    s = qa_evidence(spark, d).select("item").distinct().select("item", inverse_agreement(agree).alias("score"))
+    return s.orderBy(F.desc(F.round("score", 9)), "item").limit(500).select("item", (F.round("score", 6) + F.lit(0.0)).alias("score"))

@@ -7,6 +7,8 @@ MODULES = (
     "lodestone.operators.metrics_queries",
     "lodestone.operators.retrieval_queries",
     "lodestone.operators.selection_queries",
+    "lodestone.operators.candidates",
+    "lodestone.operators.report_queries",
     "lodestone.streaming.usage",
 )
 

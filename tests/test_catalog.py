@@ -1,17 +1,23 @@
 """Every registered query outside the optional package against its SQL twin, and the semantics fixtures."""
 
+import hashlib
+import json
 import math
 import os
+import random
 import re
+from collections import Counter
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
+from lodestone.operators import candidates as C
 from lodestone.operators.metrics_queries import p_index
 from lodestone.operators.retrieval_queries import metrics, verbatim
-from lodestone.operators.selection_queries import greedy
+from lodestone.operators.selection_queries import COMMON, SETTINGS, cover_in_rounds, greedy
+from lodestone.operators.text_queries import salience
 from lodestone.plans import catalog, suite
 
 SF = "/root/testdata/sf0.001"
@@ -65,13 +71,187 @@ def test_metrics(spark):
     assert got["mrr@10"] == 0.5 and got["recall@5"] == 0.5
 
 
-def test_greedy():
-    docs = [{"p1"}, {"p1", "p2"}, {"p3"}]
-    none = [set(), set(), set()]
+def naive_gains(docs, units, reasons, tokens, weights, picked):
+    """What every item would add to those picked, worked out anew."""
+    covered = [set().union(*(x[i] for i in picked)) for x in (docs, units)]
+    told = {reasons[i] for i in picked} - {"", None}
+    often = Counter(t for i in picked for t in tokens[i])
+
+    def gain(i):
+        near = [j for j in picked if any(often[t] <= COMMON for t in tokens[i] & tokens[j])]
+        like = max((len(tokens[i] & tokens[j]) / len(tokens[i] | tokens[j]) for j in near), default=0.0)
+        return weights[0] * len(docs[i] - covered[0]) + weights[1] * len(units[i] - covered[1]) + weights[2] * bool(reasons[i] and reasons[i] not in told) - weights[3] * like
+
+    return [gain(i) for i in range(len(docs))]
+
+
+def test_greedy_against_naive():
+    """Random pools with many ties: every pick has the largest gain there is, worked out anew, of the items it may pick."""
+    rng = random.Random(3)
+    for _ in range(60):
+        m = rng.randint(1, 25)
+        some = lambda k, top: {f"{k}{rng.randrange(top)}" for _ in range(rng.randint(0, 4))}
+        docs, units, tokens = [some("d", 30) for _ in range(m)], [some("u", 8) for _ in range(m)], [some("t", 12) for _ in range(m)]
+        reasons, unknown = [rng.choice(["a", "b", "", None]) for _ in range(m)], [rng.random() < 0.5 for _ in range(m)]
+        n, weights, share = rng.randint(0, m + 3), rng.choice(list(SETTINGS.values())), rng.choice([0.0, 0.5, 1.0])
+        got = greedy(docs, units, reasons, tokens, unknown, n, weights, share)
+        first = min(math.ceil(min(n, m + 3) * share), sum(unknown))
+        assert len({i for i, _ in got}) == len(got) == min(n, m) and all(unknown[i] for i, _ in got[:first])
+        for k, (i, g) in enumerate(got):
+            picked = [j for j, _ in got[:k]]
+            gains = naive_gains(docs, units, reasons, tokens, weights, picked)
+            may = [gains[j] for j in range(m) if j not in picked and (unknown[j] or k >= first)]
+            assert gains[i] == pytest.approx(g) and g >= max(may) - 1e-9
+    docs, none = [{"p1"}, {"p1", "p2"}, {"p3"}], [set(), set(), set()]
     assert greedy(docs, none, ["", "", ""], none, [False] * 3, 2, (1, 1, 0.5, 0)) == [(1, 2), (2, 1)]
     assert [i for i, _ in greedy(docs, none, ["", "", ""], none, [False, False, True], 2, (1, 1, 0.5, 0), 0.5)] == [2, 1]
 
 
+def test_greedy_forgets_common_tokens():
+    """From the posting after COMMON on, a token says nothing about likeness, so likeness is no longer charged."""
+    m = COMMON + 5
+    docs = [{f"d{i}", f"e{i}"} for i in range(m)]
+    got = greedy(docs, [set()] * m, [""] * m, [{"t"}] * m, [False] * m, m, (1, 0, 0, 1.0))
+    assert [g for _, g in got] == [2.0] + [1.0] * COMMON + [2.0] * (m - COMMON - 1)
+
+
+def test_cover_in_rounds(spark):
+    rng = random.Random(5)
+    pool = [(i, [rng.randrange(60) for _ in range(rng.randint(0, 9))]) for i in range(80)]
+    got = [r["item"] for r in cover_in_rounds(spark.createDataFrame(pool, "item long, pids array<long>"), 20).collect()]
+    covered = {p for i in got for p in pool[i][1]}
+    best = greedy([set(p) for _, p in pool], [set()] * 80, [""] * 80, [set()] * 80, [False] * 80, 20, (1, 0, 0, 0))
+    assert len(got) <= 20 and len(covered) >= 0.63 * sum(g for _, g in best)
+    assert cover_in_rounds(spark.createDataFrame([], "item long, pids array<long>"), 5).count() == 0
+
+
+def test_salience_cues(spark):
+    texts = ["Definition. We define x.", "a lemma, a Proof and a COROLLARY", "It is defined: this means that; if and only if", "if-and only if theorems", "nothing here", "definition definition", None]
+    want = [3.0, 4.5, 4.5, 3.0, 0.0, 1.5, 0.0]
+    rows = spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "doc_id long, source string, text string")
+    got = {r["doc_id"]: r for r in salience(rows).collect()}
+    for i, w in enumerate(want):
+        assert got[i]["score"] - got[i]["rarity"] == pytest.approx(w + 0.05 * len(re.findall(r"\b[A-Z][a-z]{2,}\b", texts[i] or "")))
+
+
+# ---- the candidate path ------------------------------------------------------------------------------------------
+
+
+def naive_pred(text):
+    raw = (text or "").strip()
+    if not raw:
+        return "", True, 0.0
+    obj = None
+    for part in (raw, raw[raw.find("{") : raw.rfind("}") + 1] if 0 <= raw.find("{") < raw.rfind("}") else ""):
+        try:
+            made = json.loads(part)
+        except ValueError:
+            continue
+        if isinstance(made, dict):
+            obj = made
+            break
+    obj = {"answer": raw.splitlines()[0].strip(), "confidence": 0.5} if obj is None else obj
+    answer, abstain = str(obj.get("answer") or ""), bool(obj.get("abstain", False))
+    try:
+        sure = float(obj.get("confidence"))
+    except (TypeError, ValueError):
+        sure = 0.0
+    sure = 0.0 if math.isnan(sure) or math.isinf(sure) else min(1.0, max(0.0, sure))
+    plain = " ".join(re.sub(r"[!-/:-@\[-`{-~]", " ", answer.lower()).split())
+    abstain = abstain or plain in ("unknown", "unanswerable", "not enough info")
+    return ("" if abstain else answer), abstain, sure
+
+
+def test_pred_contract(spark):
+    said = ['{"answer": "x", "confidence": 0.7}', '{"answer": "UNKNOWN!", "confidence": 3}', "", None, "  \n", "first\nsecond", 'so {"answer": "z", "abstain": true} ok', '{"answer": 5, "confidence": "0.25"}', '{"answer": true, "confidence": true}', '{"answer": 0}', '{"answer": null, "abstain": "no"}', '{"abstain": 0, "answer": "a b"}', '["x"]', '{"answer": "not_enough_info"}', '{"confidence": "high", "answer": "q"}', "{broken", 'a {"answer": "n"} b } c', '{"answer": "x", "abstain": false, "confidence": -2}', "Not enough info."]
+    df = spark.createDataFrame(list(enumerate(said)), "i long, t string").select("i", C.pred_contract(F.col("t")).alias("p")).select("i", "p.*")
+    assert {r["i"]: (r["answer"], r["abstain"], pytest.approx(r["confidence"])) for r in df.collect()} == {i: naive_pred(t) for i, t in enumerate(said)}
+
+
+def test_loose_json(spark):
+    said = ['{"a": 1}', "```json\n[1, 2]\n```", 'Sure: {"questions": [{"q": 1}]} done', 'x {"a": {"b": 2}} y', "none", "", None, "[1, 2", "{] [}", '```\n{"a": 1}\n```  ']
+    want = ['{"a": 1}', "[1, 2]", '[{"q": 1}]', '{"a": {"b": 2}}', None, None, None, None, None, '{"a": 1}']
+    df = spark.createDataFrame(list(enumerate(said)), "i long, t string").select("i", C.loose_json(F.col("t")).alias("j"))
+    assert {r["i"]: r["j"] for r in df.collect()} == dict(enumerate(want))
+
+
+def naive_pool(rows, eq, strict):
+    """The staged pool, one candidate after the other, answered by the same canned model."""
+    words = lambda t: set(" ".join(re.sub(r"[!-/:-@\[-`{-~]", " ", t.lower()).split()).split())
+    say = lambda ns, system, user, *a: C.canned(ns, C.key_of(ns, C.PROMPTS[system], user, *a), user)
+    out = {}
+    for r in rows:
+        q, gold, span = r["question"].strip(), r["answer"].strip(), r["span"]
+        ok, h, agree = eq(say("closed_book", "brief", q), gold), 0.0, 1.0
+        if not ok:
+            told = [" ".join(re.sub(r"[!-/:-@\[-`{-~]", " ", say(f"sample_{i}", "brief", q, 0.8).lower()).split()) for i in range(4)]
+            h = -sum(c / 4 * math.log(c / 4) for c in (told.count(t) for t in set(told))) / math.log(4)
+            try:
+                others = json.loads(say("paraphrase_gen", "json", C.PROMPTS["paraphrase"].replace("{k}", "2").replace("{question}", q), 0.8, 192))
+                two = [say(f"paraphrase_answer_{i}", "brief", p.strip()) for i, p in enumerate(others[:2])]
+                agree = 1.0 if eq(*two) else 0.0
+            except ValueError:
+                pass
+        score = (not ok) + h + 1 - agree
+        copy = len(words(q) & words(span)) / len(words(q) | words(span))
+        if score < 0.6 or copy > 0.65 or not eq(say("ctx_answer", "evidence", C.PROMPTS["from_evidence"].replace("{evidence}", span).replace("{question}", q)), gold):
+            continue
+        if len(r["single"]) >= 2 and any(eq(say(f"mh_single_ctx_{i}", "evidence", C.PROMPTS["from_evidence"].replace("{evidence}", e).replace("{question}", q)), gold) for i, e in enumerate(r["single"][:2])):
+            continue
+        check = C.PROMPTS["verify"].replace("{question}", q).replace("{answer}", gold).replace("{evidence}", span)
+        if say("verify_fast", "label", check) != "ENTAILED":
+            continue
+        again = say("verify_strict", "label", check, 0.0, 128, "reasoner") if strict(r["id"]) else None
+        if again not in (None, "ENTAILED"):
+            continue
+        out[r["id"]] = (ok, pytest.approx(h), agree, pytest.approx(score), pytest.approx(copy), again)
+    return out
+
+
+def test_pool_against_one_by_one(spark):
+    """The staged pool over the benchmark gives what asking candidate by candidate gives; a second run asks nothing."""
+    rows = C.benchmark_candidates(spark, "/root/testdata/sf0.1")
+    cands = rows.collect()
+
+    def eq(a, b):
+        return one(spark, X.quick_equiv(F.lit(a), F.lit(b)))
+
+    memo = {}
+    client = C.Client(C.no_replay(spark), C.canned_completer)
+    got = {r["id"]: (r["ok"], r["entropy"], r["agreement"], r["edge_score"], r["copy"], r["strict_verdict"]) for r in C.build_pool(rows, client, strict_rate=0.5).collect()}
+    asked = client.calls.count()
+    assert client.calls.where("hit OR NOT ok").count() == 0 and asked > 100
+    some = [r for r in cands if r["id"] in got][:12] + [r for r in cands if r["id"] not in got][:25]
+    drawn = lambda i: int(hashlib.md5(f"strict{i}".encode()).hexdigest()[:8], 16) < 1 << 31
+    want = naive_pool(some, lambda a, b: memo.setdefault((a, b), eq(a, b)), drawn)
+    assert len(want) and want == {i: got[i] for i in want} and {r["id"] for r in some} & set(got) == set(want)
+    again = C.Client(client.replay, None)
+    assert {r["id"] for r in C.build_pool(rows, again, strict_rate=0.5).collect()} == set(got) and again.calls.where("NOT hit").count() == 0
+
+
+def test_failed_calls_drop_candidates(spark):
+    def sometimes(batch):
+        out = C.canned_completer(batch)
+        out["error"] = [None if int(k[:2], 16) % 2 else "HTTP 429" for k in out["key"]]
+        return out
+
+    rows = C.benchmark_candidates(spark, SF)
+    client = C.Client(C.no_replay(spark), sometimes)
+    assert C.build_pool(rows, client).count() < rows.count()
+    assert client.calls.where("NOT ok").count() > 0 and client.replay.where("error IS NOT NULL").count() == 0
+
+
+def test_stress_rows(spark):
+    rows = C.benchmark_candidates(spark, SF).select("id", "question", "answer", F.col("span").alias("evidence"))
+    made = C.build_stress(rows, C.Client(C.no_replay(spark), C.canned_completer)).collect()
+    canon = {r["canonical_id"] for r in made if r["type"] == "canonical"}
+    assert canon and {r["canonical_id"] for r in made} == canon and {r["label"] for r in made if r["type"] != "near_miss"} == {"ANSWERABLE"}
+    said = spark.createDataFrame([(r["id"], json.dumps({"answer": r["answer"], "abstain": r["label"] != "ANSWERABLE", "confidence": 1})) for r in made], "id string, content string")
+    df = spark.createDataFrame(made)
+    assert C.judge_stress(df, said).where("NOT correct").count() == 0
+    assert {r["correct"] for r in C.judge_stress(df, said.limit(0)).where("type <> 'near_miss'").collect()} == {False}
+
+
 def test_entry_names():
     import __spark_entry__ as e
 
