@@ -9,6 +9,7 @@ MODULES = (
     "lodestone.operators.selection_queries",
     "lodestone.operators.candidates",
     "lodestone.operators.report_queries",
+    "lodestone.sources.files",
     "lodestone.streaming.usage",
 )
 

@@ -126,10 +126,22 @@ def _title(el: ET.Element, ns: str, default: str) -> str:
     return default if found is None else (found.text or "").strip()
 
 
-def _module_rows(path: str, text: str) -> Iterator[tuple]:
+def _tree(path: str, text: str | None) -> ET.Element | None:
+    """A file's root; None if it is null or blank. A file that is no XML fails, by name."""
+    if not (text or "").strip():
+        return None
+    try:
+        return ET.fromstring(text)
+    except ET.ParseError as e:
+        raise ValueError(f"{path} is not well-formed XML: {e}") from e
+
+
+def _module_rows(path: str, text: str | None) -> Iterator[tuple]:
     """A module's units and paragraphs in document order, each with the titles around it."""
     module = path.split("/")[-2] if "/" in path else path
-    root, numbered, seq = ET.fromstring(text), Counter(), 0
+    root, numbered, seq = _tree(path, text), Counter(), 0
+    if root is None:
+        return
     content = root.find(f"{MODULE_NS}content")
     todo = [] if content is None else [(content, None, [_title(root, MODULE_NS, module)])]
     while todo:  # depth first: children go on top, the first uppermost
@@ -158,7 +170,8 @@ def collection_paths(files: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for path, text in zip(frame["path"], frame["text"], strict=True):
-                root = ET.fromstring(text)
+                if (root := _tree(path, text)) is None:
+                    continue
                 found = root.find(f".//{META_NS}title")
                 title = (found.text or "").strip() if found is not None else ""
                 title = title or path.rsplit("/", 1)[-1].removesuffix(".xml")
@@ -173,7 +186,8 @@ def collection_paths(files: DataFrame) -> DataFrame:
 def xml_course(modules: DataFrame, collections: DataFrame, untitled: str = "OpenStax University Physics") -> tuple[DataFrame, DataFrame]:
     """(passages, units) of XML modules and collections, both (path, text); a module's name is its folder's.
 
-    A unit of 40 characters or more is a passage as well. Of units with one id the first gives the text. A module
+    Null and blank files give no rows; a file that is not well-formed fails the job, by name. A unit of 40
+    characters or more is a passage as well. Of units with one id the first gives the text. A module
     in no collection gets `untitled`, a fixed value."""
     rows = _kernel(modules, _module_rows).withColumn("clean", normalize_ws(F.col("text")))
     based = rows.join(collection_paths(collections), "doc_id", "left")
