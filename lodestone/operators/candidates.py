@@ -317,6 +317,10 @@ def canned(ns: str, key: str, user: str) -> str:
         return json.dumps({"modified_question": f"Not: {tail}", "label": ("UNANSWERABLE", "CONTRADICTED")[n % 2]})
     if ns.startswith("equiv"):
         return json.dumps({"equivalent": n % 4 == 0})
+    if ns.startswith("qa_gen"):
+        w = user.split()
+        made = [{"question": f"What follows {' '.join(w[-k - 6 : -k])}?", "answer": " ".join(w[-k:]), "evidence_span": " ".join(w[-20:]), "reason_type": " Lookup "} for k in (2, 3, 4)]
+        return (json.dumps(made), json.dumps({"questions": made}), json.dumps(made[0]), "```json\n" + json.dumps({"items": made}) + "\n```", "no json", json.dumps([{"question": "", "answer": "x"}]))[n % 6]
     words = user.partition("\n\nQuestion:")[0].split()
     return " ".join(words[-3:]) if n % 3 else f"none {n % 7}"
 
@@ -332,6 +336,7 @@ PROMPTS = {
     "json": "Answer with JSON and nothing else.",
     "label": "Answer with the label and nothing else.",
     "from_evidence": "Evidence:\n{evidence}\n\nQuestion:\n{question}",
+    "generate": "Write {n} questions that only this text answers, as a JSON list of objects with question, answer, evidence_span and reason_type.\n\n{evidence}",
     "paraphrase": "Say the question in {k} other ways that mean the same, as a JSON list of strings.\n\nQuestion:\n{question}",
     "verify": "Does the evidence support the answer? One of ENTAILED, CONTRADICTED, NOT_ENOUGH_INFO.\n\nQuestion: {question}\nAnswer: {answer}\nEvidence: {evidence}",
     "near_miss": "Change one condition of the question so that the evidence no longer answers it or contradicts it, as JSON with modified_question and label (UNANSWERABLE or CONTRADICTED).\n\nQuestion:\n{question}",
@@ -448,6 +453,90 @@ def judge_stress(rows: DataFrame, said: DataFrame) -> DataFrame:
     return p.select("id", "type", "canonical_id", F.col("p.answer").alias("pred"), F.col("p.abstain").alias("abstain"), F.col("p.confidence").alias("confidence"), right.alias("correct"))
 
 
+def generate(sources: DataFrame, client: Client, per_source: int = 2, prompts: dict | None = None) -> DataFrame:
+    """Candidates (id, question, answer, span, reason, single) that a model writes for sources (id, evidence: texts).
+
+    An answer may be a list of objects, one object, or an object with a list under questions or items; what does not
+    parse gives none, and no source gives more than `per_source`. Two pieces of evidence make a multi-hop question."""
+    prompts = PROMPTS | (prompts or {})
+    joined = F.array_join("evidence", "\n\n")
+    ns = F.when(multi_hop(F.col("evidence")), "qa_gen_mh").otherwise("qa_gen")
+    said = client.answer(ask(sources, "id", ns, prompts["json"], filled(prompts["generate"], n=F.lit(per_source), evidence=joined), 0.7, 256))
+    one = "struct<question:string,answer:string,evidence_span:string,reason_type:string>"
+    text = loose_json(F.col("content"))
+    inner = F.coalesce(F.get_json_object(text, "$.questions"), F.get_json_object(text, "$.items"))
+    listed = F.when(F.startswith(text, F.lit("[")), text).when(F.startswith(inner, F.lit("[")), inner).otherwise(F.concat(F.lit("["), text, F.lit("]")))
+    rows = said.select("id", F.posexplode(F.slice(F.from_json(listed, f"array<{one}>"), 1, per_source)).alias("i", "c")).where("c IS NOT NULL")
+    made = rows.join(sources.select("id", "evidence"), "id").where("trim(c.question) <> '' AND trim(c.answer) <> ''")
+    span = F.coalesce(F.nullif(F.trim("c.evidence_span"), F.lit("")), F.array_join("evidence", "\n\n"))
+    hops = F.size("evidence")
+    reason = F.when(hops >= 2, "multi-hop").otherwise(normalized_reason(F.col("c.reason_type")))
+    return made.select(F.concat(F.col("id").cast("string"), F.lit("#"), F.col("i").cast("string")).alias("id"), F.trim("c.question").alias("question"), F.trim("c.answer").alias("answer"), span.alias("span"), reason.alias("reason"), F.col("evidence").alias("single"))
+
+
+def cross_examine(items: DataFrame, client: Client, model: str, use_model: bool = False, prompts: dict | None = None) -> DataFrame:
+    """(id, cb_ok, ctx_ok, unknown) of items (id, question, answer, span) by another model, without and with evidence.
+
+    An item that the model did not answer is not right. Equivalence asks a judge only about what the rule refuses."""
+    prompts = PROMPTS | (prompts or {})
+    items = stable(items)
+    flags = items.select("id")
+    asked = (("cb_ok", F.lit("cross_cb"), prompts["brief"], F.col("question")), ("ctx_ok", F.lit("cross_ctx"), prompts["evidence"], filled(prompts["from_evidence"], evidence=F.col("span"), question=F.col("question"))))
+    for name, ns, system, user in asked:
+        said = client.answer(ask(items, "id", ns, system, user, 0.0, 64, model))
+        ok = equivalent(client, said.join(items.select("id", "answer"), "id").select("id", F.col("content").alias("a"), F.col("answer").alias("b")), prompts, use_model)
+        flags = flags.join(ok.withColumnRenamed("same", name), "id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    return flags.withColumn("unknown", ~F.col("cb_ok") & F.col("ctx_ok"))
+
+
+def backfill(pool: DataFrame, client: Client, prompts: dict | None = None) -> DataFrame:
+    """pool (id, question, answer, span, single, ok, entropy, agreement, edge_score) with the parts that were never
+    worked out, worked out: only rows that need it are asked about, and rows that are still not answered stay."""
+    todo = stable(pool.where(needs_backfill(F.col("edge_score"), F.col("entropy"), F.col("agreement"))))
+    own = todo.select("id", "question", "answer", "span", "single")
+    made = build_pool(own, client, tau=0.0, max_copy=1.0, prompts=prompts).select("id", *[F.col(c).alias(f"new_{c}") for c in ("entropy", "agreement", "edge_score")])
+    out = pool.join(made, "id", "left")
+    return out.select(*[F.coalesce(f"new_{c}", c).alias(c) if c in ("entropy", "agreement", "edge_score") else F.col(c) for c in pool.columns])
+
+
+# fixed values: what a thinking budget leaves for the answer
+ANSWER_TOKENS = 32
+
+
+def thinking_budget(budget: int, max_tokens: int) -> int:
+    """A thinking budget that leaves room for the answer: at most half of all tokens, and all but a few."""
+    return max(0, min(budget, max_tokens - ANSWER_TOKENS, max_tokens // 2))
+
+
+class Router:
+    """Completers by the longest prefix of a request's model; a request that no prefix fits is an error row."""
+
+    def __init__(self, routes: dict[str, Completer]):
+        self.routes = sorted(routes.items(), key=lambda r: -len(r[0]))
+
+    def __call__(self, batch: pd.DataFrame) -> pd.DataFrame:
+        of = batch["model"].map(lambda m: next((p for p, _ in self.routes if m.startswith(p)), None))
+        parts = [fn(batch[of == p]) for p, fn in self.routes if (of == p).any()]
+        lost = batch[of.isna()]
+        if len(lost):
+            parts.append(pd.DataFrame({"key": lost["key"], "content": None, "error": "no route"}))
+        return pd.concat(parts, ignore_index=True)
+
+
+def run_job(state: dict, submit: Callable[[], str], poll: Callable[[str], str], save: Callable[[dict], None], wait: Callable[[], None], most: int = 1000) -> str:
+    """A batch job's end state. Its id is saved before it is waited for, so a driver that comes back waits on."""
+    if "job" not in state:
+        state["job"] = submit()
+        save(state)
+    for _ in range(most):
+        state["status"] = poll(state["job"])
+        save(state)
+        if state["status"] in ("completed", "failed", "cancelled", "expired"):
+            return state["status"]
+        wait()
+    return "pending"
+
+
 def benchmark_candidates(spark, d) -> DataFrame:
     """Candidates from the benchmark's items: their first words ask, their last three answer, the item is the evidence."""
     w = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
@@ -492,3 +581,17 @@ def key_of(ns: str, system: str, user: str, temperature: float = 0.0, max_tokens
     """request_key of one request, outside Spark."""
     req = {"max_tokens": max_tokens, "messages": [{"content": system, "role": "system"}, {"content": user, "role": "user"}], "model": model, "temperature": temperature}
     return hashlib.sha256(json.dumps({"ns": ns, "req": req}, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
+
+
+@query("qa_generate")
+def _generate(spark, d):
+    """Questions written for every item of the benchmark, two texts together for a third of them."""
+    b = table(spark, d, "benchmark")
+    other = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("more"))
+    sources = b.join(other, "item_id", "left").select(F.col("item_id").alias("id"), F.when((F.col("item_id") % 3 == 0) & F.col("more").isNotNull(), F.array("text", "more")).otherwise(F.array("text")).alias("evidence"))
+    return generate(sources, Client(no_replay(spark), canned_completer)).select("id", "question", "answer", "reason", F.size("single").alias("hops"))
+
+
+@query("cross_eval")
+def _cross(spark, d):
+    return cross_examine(benchmark_candidates(spark, d), Client(no_replay(spark), canned_completer), "other")

@@ -238,12 +238,3 @@ def _audit(spark, d):
 @query("select_random", "SELECT doc_id FROM documents ORDER BY md5('7' || doc_id::VARCHAR), doc_id LIMIT 200")
 def _random(spark, d):
     return table(spark, d, "documents").select("doc_id").orderBy(F.md5(F.concat(F.lit("7"), F.col("doc_id").cast("string"))), "doc_id").limit(200)
-
-
-@query("select_long_tail", f"""WITH {QA}, f AS (SELECT pid, count(*) AS n FROM qa GROUP BY pid), s AS (SELECT item, avg(1 / sqrt(n)) AS score FROM qa JOIN f USING (pid) GROUP BY item)
-SELECT item, round(score, 6) AS score FROM s ORDER BY round(score, 9) DESC, item LIMIT 500""")
-def _long_tail(spark, d):
-    qa = qa_evidence(spark, d)
-    f = qa.groupBy("pid").agg(F.count("*").alias("n"))
-    s = qa.join(f, "pid").groupBy("item").agg(F.avg(1 / F.sqrt("n")).alias("score"))
-    return s.orderBy(F.desc(R("score", 9)), "item").limit(500).select("item", R("score").alias("score"))

@@ -1,5 +1,10 @@
 """Retrieval: BM25, dense, hybrid, export of test collections, and ranking metrics."""
 
+import re
+import zlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,7 +33,7 @@ def bm25_idf(tf: DataFrame, n_docs: DataFrame) -> DataFrame:
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
-    """(qid, doc_id, rank, score) of the k best documents with a positive match.
+    """(qid, doc_id, rank, score) of the k best documents; those without a match score 0, in the order of their ids.
 
     docs (doc_id, text), queries (qid, text). An inverted index joined on query tokens: cost follows matching
     postings, never queries times documents. Texts are tokenised once; the postings are written once, of which the
@@ -43,7 +48,13 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     q = queries.select("qid", F.explode(X.tokens_alnum(F.col("text"))).alias("token")).groupBy("qid", "token").agg(F.count("*").alias("qtf"))
     hits = some.join(q.join(idf, "token"), "token").crossJoin(F.broadcast(stats.select("avgdl")))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return _rank(hits.groupBy("qid", "doc_id").agg(F.sum(part).alias("score")), k).select("qid", "doc_id", "rank", "score")
+    scored = stable(_rank(hits.groupBy("qid", "doc_id").agg(F.sum(part).alias("score")), k).select("qid", "doc_id", "rank", "score"))
+    # a query with fewer than k matches has its other places among the first 2 k documents: at most k of those match
+    short = queries.select("qid").distinct().join(scored.groupBy("qid").agg(F.count("*").alias("had")), "qid", "left").withColumn("had", F.coalesce("had", F.lit(0))).where(F.col("had") < k)
+    early = F.broadcast(docs.select("doc_id").orderBy("doc_id").limit(2 * k))
+    zero = short.crossJoin(early).join(scored.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti")
+    rest = zero.withColumn("rank", F.col("had").cast("int") + F.row_number().over(Window.partitionBy("qid").orderBy("doc_id"))).where(F.col("rank") <= k)
+    return scored.union(rest.select("qid", "doc_id", "rank", F.lit(0.0).alias("score")))
 
 
 BM25 = r"""
@@ -54,7 +65,8 @@ raw AS (SELECT token, ln(n_docs - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT t
 idf AS (SELECT token, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
 qt AS (SELECT item_id AS qid, token, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM benchmark) GROUP BY ALL),
 sc AS (SELECT qid, doc_id, sum(qtf * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score FROM qt JOIN tf USING (token) JOIN idf USING (token) JOIN dl USING (doc_id), st GROUP BY qid, doc_id),
-bm AS (SELECT * FROM (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id)::INT AS rank FROM sc) WHERE rank <= {k})"""
+al AS (SELECT item_id AS qid, dl.doc_id AS doc_id, coalesce(score, 0) AS score FROM benchmark CROSS JOIN dl LEFT JOIN sc ON sc.qid = item_id AND sc.doc_id = dl.doc_id),
+bm AS (SELECT * FROM (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id)::INT AS rank FROM al) WHERE rank <= {k})"""
 
 
 def _items(spark, d):
@@ -208,3 +220,31 @@ def _peers(spark, d):
     j = p.select("conv_id", "a", "b", (F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).alias("jaccard"))
     r = F.row_number().over(Window.partitionBy("conv_id", "a").orderBy(F.desc(F.round("jaccard", 9)), "b"))
     return j.withColumn("r", r).where("r <= 10").select("conv_id", "a", "b", F.round("jaccard", 6).alias("jaccard"))
+
+
+DIMS = 64
+
+
+def hashed_vectors(texts: DataFrame) -> DataFrame:
+    """(id, embedding) of texts (id, text) without a model: signed counts of hashed words, at unit length, batch by
+    batch in Arrow. A stand-in with an encoder's interface; a text without a word is all zeros."""
+
+    @F.pandas_udf("array<float>")
+    def encode(text: pd.Series) -> pd.Series:
+        out = []
+        for t in text:
+            v = np.zeros(DIMS)
+            for w in re.findall("[a-z0-9]+", (t or "").lower()):
+                h = zlib.crc32(w.encode())
+                v[h % DIMS] += 1 if h >> 31 else -1
+            n = np.sqrt(v @ v)
+            out.append((v / n if n else v).astype(np.float32))
+        return pd.Series(out)
+
+    return texts.select("id", encode("text").alias("embedding"))
+
+
+@query("encoded_vectors")
+def _encoded(spark, d):
+    got = hashed_vectors(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return got.select("id", F.size("embedding").alias("dims"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")), 4).alias("length"))

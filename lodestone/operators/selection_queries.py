@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from lodestone.operators.candidates import inverse_agreement
 from lodestone.operators.metrics_queries import QA, qa_evidence
+from lodestone.operators.retrieval_queries import _items, verbatim
+from lodestone.operators.text_queries import SALIENCE, salience
 from lodestone.plans.catalog import query
 from lodestone.plans.joins import stable
 from lodestone.plans.tables import table
@@ -193,3 +195,18 @@ def _paraphrase(spark, d):
     agree = F.when(F.col("item") % 7 == 0, F.lit(float("nan"))).otherwise((F.col("item") % 113) / 100)
     s = qa_evidence(spark, d).select("item").distinct().select("item", inverse_agreement(agree).alias("score"))
     return s.orderBy(F.desc(F.round("score", 9)), "item").limit(500).select("item", (F.round("score", 6) + F.lit(0.0)).alias("score"))
+
+
+@query("select_long_tail", SALIENCE + ", e AS (SELECT item_id AS item, d.doc_id FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text)), i AS (SELECT item, avg(coalesce(rarity, 0)) AS score FROM e LEFT JOIN s USING (doc_id) GROUP BY item) SELECT item, round(score, 6) + 0.0 AS score FROM i ORDER BY round(score, 9) DESC, item LIMIT 500")
+def _long_tail(spark, d):
+    """Items by the mean rarity of their evidence; what has none scores 0."""
+    docs, items = table(spark, d, "documents"), _items(spark, d)
+    e = items.select("qid").join(verbatim(docs.select("doc_id", "text"), items), "qid", "left")
+    s = e.join(salience(docs).select("doc_id", "rarity"), "doc_id", "left").groupBy(F.col("qid").alias("item")).agg(F.avg(F.coalesce("rarity", F.lit(0.0))).alias("score"))
+    return s.orderBy(F.desc(F.round("score", 9)), "item").limit(500).select("item", (F.round("score", 6) + F.lit(0.0)).alias("score"))
+
+
+@query("unit_filter", "SELECT doc_id, length(text) AS n FROM documents WHERE length(text) >= 40 AND coalesce(source, '') <> ''")
+def _unit_filter(spark, d):
+    """Units long enough to ask about, with an id."""
+    return table(spark, d, "documents").where("length(text) >= 40 AND coalesce(source, '') <> ''").select("doc_id", F.length("text").cast("long").alias("n"))

@@ -9,13 +9,14 @@ import re
 from collections import Counter
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 from lodestone.operators import candidates as C
 from lodestone.operators.metrics_queries import p_index
-from lodestone.operators.retrieval_queries import metrics, verbatim
+from lodestone.operators.retrieval_queries import bm25, metrics, verbatim
 from lodestone.operators.selection_queries import COMMON, SETTINGS, cover_in_rounds, greedy
 from lodestone.operators.text_queries import salience
 from lodestone.plans import catalog, suite
@@ -241,6 +242,53 @@ def test_failed_calls_drop_candidates(spark):
     assert client.calls.where("NOT ok").count() > 0 and client.replay.where("error IS NOT NULL").count() == 0
 
 
+def test_generate_shapes_every_kind_of_answer(spark):
+    q = lambda k: {"question": f" q{k} ", "answer": f"a{k}", "evidence_span": "", "reason_type": "  "}
+    said = {1: json.dumps([q(1), q(2), q(3)]), 2: json.dumps({"questions": [q(1)]}), 3: json.dumps(q(1)), 4: "Here: " + json.dumps({"items": [q(1), q(2)]}) + " done", 5: "none", 6: json.dumps([q(1) | {"answer": " "}])}
+    texts = {i: f"text {i}" for i in said}
+
+    def told(batch):
+        return pd.DataFrame({"key": batch["key"], "content": [said[next(i for i, t in texts.items() if t in u)] for u in batch["user"]], "error": None})
+
+    sources = spark.createDataFrame([(i, [texts[i], "two"] if i == 1 else [texts[i]]) for i in said], "id long, evidence array<string>")
+    got = sorted((r["id"], r["question"], r["answer"], r["reason"], r["span"]) for r in C.generate(sources, C.Client(C.no_replay(spark), told)).collect())
+    assert got == [("1#0", "q1", "a1", "multi-hop", "text 1\n\ntwo"), ("1#1", "q2", "a2", "multi-hop", "text 1\n\ntwo"), ("2#0", "q1", "a1", "unknown", "text 2"), ("3#0", "q1", "a1", "unknown", "text 3"), ("4#0", "q1", "a1", "unknown", "text 4"), ("4#1", "q2", "a2", "unknown", "text 4")]
+
+
+def test_cross_examination_and_backfill(spark):
+    items = spark.createDataFrame([(1, "q one", "right words", "span of right words", ["x"]), (2, "q two", "other words", "span", ["x"])], "id long, question string, answer string, span string, single array<string>")
+
+    def told(batch):
+        return pd.DataFrame({"key": batch["key"], "content": ["right words" if ns == "cross_ctx" else "no" for ns in batch["ns"]], "error": [None if "two" not in u else "HTTP 500" for u in batch["user"]]})
+
+    got = {r["id"]: (r["cb_ok"], r["ctx_ok"], r["unknown"]) for r in C.cross_examine(items, C.Client(C.no_replay(spark), told), "m").collect()}
+    assert got == {1: (False, True, True), 2: (False, False, False)}
+    pool = C.benchmark_candidates(spark, SF).select("*", F.lit(False).alias("ok"), F.when(F.col("id") % 2 == 0, 0.25).alias("entropy"), F.lit(0.0).alias("agreement"), F.lit(2.25).alias("edge_score"))
+    filled = C.backfill(pool, C.Client(C.no_replay(spark), C.canned_completer))
+    assert filled.columns == pool.columns and filled.count() == pool.count()
+    assert filled.where("id % 2 = 0 AND entropy <> 0.25").count() == 0
+    assert filled.where("entropy IS NOT NULL").count() > pool.where("entropy IS NOT NULL").count()
+
+
+def test_routes_budgets_and_jobs():
+    batch = pd.DataFrame({"key": ["a", "b", "c"], "model": ["gpt-x", "gpt-x-mini", "other"]})
+    name = lambda n: lambda part: pd.DataFrame({"key": part["key"], "content": n, "error": None})
+    got = C.Router({"gpt-x": name("one"), "gpt-x-mini": name("two")})(batch).set_index("key")
+    assert got["content"].to_dict() == {"a": "one", "b": "two", "c": None} and got["error"]["c"] == "no route"
+    assert [C.thinking_budget(*x) for x in ((1000, 512), (100, 512), (100, 40), (5, 10))] == [256, 100, 8, 0]
+    saved, asked = [], iter(["running", "running", "completed"])
+    state = {}
+    assert C.run_job(state, lambda: "job1", lambda job: next(asked), lambda s: saved.append(dict(s)), lambda: None) == "completed"
+    assert saved[0] == {"job": "job1"} and C.run_job({"job": "old"}, lambda: 1 / 0, lambda job: "failed", saved.append, lambda: None) == "failed"
+
+
+def test_bm25_lists_unmatched_documents(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["red fox", "blue", "", "green tree", "red red"])], "doc_id long, text string")
+    got = bm25(docs, spark.createDataFrame([(1, "red"), (2, "none of them")], "qid long, text string"), 4)
+    rows = {q: [r["doc_id"] for r in sorted(got.collect(), key=lambda r: r["rank"]) if r["qid"] == q] for q in (1, 2)}
+    assert rows[2] == [0, 1, 2, 3] and sorted(rows[1][:2]) == [0, 4] and rows[1][2:] == [1, 2]
+
+
 def test_stress_rows(spark):
     rows = C.benchmark_candidates(spark, SF).select("id", "question", "answer", F.col("span").alias("evidence"))
     made = C.build_stress(rows, C.Client(C.no_replay(spark), C.canned_completer)).collect()
