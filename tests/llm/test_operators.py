@@ -586,7 +586,8 @@ def test_mixing_repeated_rows(spark):
     for r in got:
         s = {50: "a", 10: "b", 20: "c"}.get(r["size"])
         sizes[s], taken[s], want[s] = sizes.get(s, 0) + r["size"], taken.get(s, 0) + r["taken"], r["target"]
-    assert want == pytest.approx(naive_targets(sizes)) and all(abs(taken[s] - want[s]) <= 10 for s in want)
+    # the fill stays within its budget, the target in whole words, so each source ends less than one of its documents below
+    assert want == pytest.approx(naive_targets(sizes)) and all(-0.5 <= want[s] - taken[s] < n for s, n in (("a", 50), ("b", 10), ("c", 20), (None, 2)))
     mixed = mixing.mix(df)
     assert mixed.columns == df.columns
     copies = {r["doc_id"]: r["n"] for r in mixed.where("source = 'b'").groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
