@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -61,8 +62,16 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def table_name(spark: SparkSession, name: str = "") -> str:
+    """A new name in the catalogue for a table whose files are in the shared folder (bucketed tables need one)."""
+    base = "lodestone_" + re.sub(r"\W", "_", spark.sparkContext.applicationId.lower())
+    return f"{base}_{name}_{uuid.uuid4().hex[:12]}" if name else base
+
+
 def sweep(spark: SparkSession) -> None:
     """Delete everything this application has cut so far; call it once no DataFrame made here is needed."""
+    for t in spark.catalog.listTables(pattern=f"{table_name(spark)}_*"):
+        spark.sql(f"DROP TABLE IF EXISTS {t.name}")
     remove(spark, f"{shared_dir(spark)}/lodestone/{spark.sparkContext.applicationId}")
 
 
