@@ -6,6 +6,10 @@ its ancestors', its depth and place, and its siblings. Boosted trees give the pr
 text. Decoding picks the most likely labelling in which a kept node's ancestors are all kept: by dynamic
 programming, a node keeps its best children or drops its whole subtree, so no choice contradicts one above it.
 
+Names on a page's frame say little: a theme puts sidebar-right or comments-open on body, a server one form around
+everything. So html and body have no tokens, and an element that holds most of the page and the article in it is a
+plain wrapper, whatever its name or kind.
+
 No page here is labelled, so the trees are fitted on generated pages whose main nodes are known: page
 skeletons of many shapes with menus, headers, footers, sidebars, notices, adverts, forms and comments.
 Their number is the bound of the training set. Elements that never hold text for a reader (scripts,
@@ -43,6 +47,7 @@ FOR = frozenset("article articles body content entry hentry main page post story
 AGAINST = frozenset(
     "ad ads advert advertisement banner breadcrumb breadcrumbs byline comment comments consent cookie cookies disqus footer foot form gdpr header head hidden links login masthead menu meta modal nav navbar navigation newsletter notice overlay pager pagination popup promo related replies reply respond search share sharing sidebar side signup skip social sponsor sponsored subscribe tags toc toolbar widget".split()
 )
+AGAINST_NAMES = sorted(AGAINST)  # in an order that does not change from run to run
 KINDS = {t: k for k, group in enumerate(("article main", "nav menu", "header", "footer", "aside", "form fieldset", "h1 h2 h3 h4 h5 h6", "p blockquote pre", "li ul ol dl dt dd", "table tr td th tbody thead", "section", "div", "body html"), 1) for t in group.split()}
 
 # an attribute as HTML reads it: quotes count only where a value starts; one left open there ends with the tag
@@ -164,7 +169,30 @@ def parse(source: str) -> Node:
         stack.append((tag, node))
 
 
-FEATURES = 36
+FEATURES = 38
+FRAME = frozenset(("html", "body"))
+
+
+def wrappers(nodes: list[Node], parents: list[int], x: np.ndarray, chars: np.ndarray) -> list[int]:
+    """The nodes, named or of a kind that speaks against main text, that hold most of the page and its article, and the
+    headers in an article that hold its h1.
+
+    The article is an h1's parent, or an article, main or well named element with no token against it, with half of the
+    node's text: a list of comments has none of these, each comment being a small part of it."""
+    n = len(nodes)
+    good = ((x[:, 0] == KINDS["article"]) | (x[:, 1] > 0)) & (x[:, 2] == 0)
+    most = np.zeros(n)  # the text of the largest article below each node
+    title = np.zeros(n, bool)
+    for i in range(n - 1, 0, -1):
+        p = parents[i]
+        most[p] = max(most[p], most[i], chars[i] if good[i] else 0)
+        title[p] |= title[i] or nodes[i].tag == "h1"
+    inside = np.zeros(n, bool)
+    for i in range(1, n):
+        inside[i] = inside[parents[i]] or x[parents[i], 0] == KINDS["article"]
+    against = (x[:, 2] > 0) | ((x[:, 0] >= 2) & (x[:, 0] <= 6))
+    frame = (chars >= 0.5 * chars[0]) & (title | (most >= 0.5 * chars))
+    return np.flatnonzero(against & (frame | (inside & title & (x[:, 0] != KINDS["aside"])))).tolist()
 
 
 def features(root: Node) -> tuple[list[Node], np.ndarray, list[int]]:
@@ -181,6 +209,7 @@ def features(root: Node) -> tuple[list[Node], np.ndarray, list[int]]:
     n = len(nodes)
     own = np.zeros((n, 9))  # characters, words, links, inline tags, sentence marks, paragraphs, items, blocks with text, long blocks
     x = np.zeros((n, FEATURES))
+    names: list[list[str]] = []
     for i, node in enumerate(nodes):
         t = " ".join([p for p in node.pieces if isinstance(p, str)]).strip()
         if t:
@@ -188,21 +217,24 @@ def features(root: Node) -> tuple[list[Node], np.ndarray, list[int]]:
             own[i] = (len(t), words, node.links, node.tags, t.count(".") + t.count(",") + t.count("!") + t.count("?"), node.tag == "p", node.tag == "li", 1, words > 20)
         else:
             own[i, 3], own[i, 6] = node.tags, node.tag == "li"
-        tokens = [w.lower() for name, *a in _PAIR.findall(node.attrs) if name.lower() in _NAMES for w in _TOKEN.findall(_CLIPS.sub("", "".join(a)))] if node.attrs else ()
-        p = parents[i]
-        x[i, 0] = KINDS.get(node.tag, 0)
-        x[i, 1] = sum(w in FOR for w in tokens)
-        x[i, 2] = sum(w in AGAINST for w in tokens)
-        x[i, 3] = x[i, 1] + (x[p, 3] if p >= 0 else 0)
-        x[i, 4] = x[i, 2] + (x[p, 4] if p >= 0 else 0)
-        kind = x[i, 0]
-        x[i, 5] = (kind == 1) or (p >= 0 and x[p, 5])  # inside article or main
-        x[i, 6] = (2 <= kind <= 6) or (p >= 0 and x[p, 6])  # inside nav, header, footer, aside or form
+        read = node.attrs and node.tag not in FRAME
+        names.append([w.lower() for name, *a in _PAIR.findall(node.attrs) if name.lower() in _NAMES for w in _TOKEN.findall(_CLIPS.sub("", "".join(a)))] if read else [])
     sub = own.copy()
     size = np.ones(n)
     for i in range(n - 1, 0, -1):
         sub[parents[i]] += sub[i]
         size[parents[i]] += size[i]
+    x[:, 0] = [KINDS.get(node.tag, 0) for node in nodes]
+    x[:, 1] = [sum(w in FOR for w in tokens) for tokens in names]
+    x[:, 2] = [sum(w in AGAINST for w in tokens) for tokens in names]
+    for i in wrappers(nodes, parents, x, sub[:, 0]):
+        x[i, 0], x[i, 1], x[i, 2] = KINDS["div"], 0, 0
+    for i in range(n):
+        p, kind = parents[i], x[i, 0]
+        x[i, 3] = x[i, 1] + (x[p, 3] if p >= 0 else 0)
+        x[i, 4] = x[i, 2] + (x[p, 4] if p >= 0 else 0)
+        x[i, 5] = (kind == 1) or (p >= 0 and x[p, 5])  # inside article or main
+        x[i, 6] = (2 <= kind <= 6) or (p >= 0 and x[p, 6])  # inside nav, header, footer, aside or form
     parent = np.array(parents)
     up = np.where(parent >= 0, parent, 0)
     total = np.maximum(sub[0], 1)
@@ -239,6 +271,10 @@ def features(root: Node) -> tuple[list[Node], np.ndarray, list[int]]:
     x[:, 33] = x[up, 14]
     x[:, 34] = own[:, 1]
     x[:, 35] = own[:, 4] / np.maximum(own[:, 1], 1)
+    x[:, 36] = [node.tag == "h1" for node in nodes]
+    x[:, 37] = [node.tag in ("h2", "h3", "h4", "h5", "h6") for node in nodes]
+    for i in range(n - 1, 0, -1):  # headings of a subtree
+        x[parents[i], 36:38] += x[i, 36:38]
     return nodes, x, parents
 
 
@@ -360,7 +396,7 @@ def generated(rng: random.Random) -> tuple[str, str]:
     wrap = lambda tags, tokens, body: f"<{(t := rng.choice(tags))}{attrs(*tokens)}>{body}</{t}>"
     menu = lambda: wrap(["nav", "div", "ul", "nav"], ["nav", "menu", "navbar", "links"], "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(rng.randint(2, 12))) + "</ul>")
     header = lambda: wrap(["header", "div", "header"], ["header", "masthead", "banner", "top"], rng.choice([f"<h1>{words(1, 4)}</h1>", f"<p>{words(2, 8)}</p>", f"<div>{words(1, 3)}</div>"]) + some(0.5, menu))
-    footer = lambda: wrap(["footer", "div", "footer"], ["footer", "foot", "copyright"], rng.choice([f"&copy; {words(1, 3)} &middot; {rng.choice([words(2, 9), prose(1, 3)])}", f"<p>{prose(1, 2)}</p>", "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(4)) + "</ul>"]))
+    footer = lambda: wrap(["footer", "div", "footer"], ["footer", "foot", "copyright"], rng.choice([f"&copy; {words(1, 3)} &middot; {rng.choice([words(2, 9), prose(1, 3)])}", f"&copy; {words(1, 3)}", f"<p>{prose(1, 2)}</p>", "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(4)) + "</ul>"]))
     advert = lambda: wrap(["div", "aside", "section", "div"], ["ad", "ads", "advert", "sponsored", "promo", "banner"], rng.choice([prose(1, 4), f"<p>{prose(1, 3)}</p>", link(), f"<a href=/b>{prose(1, 1)}</a>"]))
     side = lambda: wrap(["aside", "div", "aside"], ["sidebar", "side", "widget", "related"], f"<h3>{words(1, 3)}</h3>" + rng.choice(["<ul>" + "".join(f"<li>{link()}</li>" for _ in range(rng.randint(2, 9))) + "</ul>", f"<p>{prose(1, 3)}</p>"]))
     notice = lambda: wrap(["div", "section", "p"], ["cookie", "notice", "consent", "gdpr", "newsletter", "popup"], rng.choice([prose(1, 3), f"<p>{prose(1, 2)}</p>{link()}", f"<p>{prose(1, 2)}</p>"]))
@@ -368,7 +404,8 @@ def generated(rng: random.Random) -> tuple[str, str]:
     comment = lambda: wrap(["li", "div", "article"], ["comment", "reply"], f"<p>{words(1, 2)}</p><p>{prose(1, 4)}</p>")
     # a section of comments says what it is, or nothing would tell it from a section of the article
     comments = lambda: f"<{(t := rng.choice(['section', 'div', 'ol']))}{attrs('comments', 'respond', 'replies', 'disqus', bare=0)}><h3>{words(1, 3)}</h3>{''.join(comment() for _ in range(rng.randint(1, 5)))}</{t}>"
-    share = lambda: wrap(["div", "ul"], ["share", "social", "tags"], "".join(f"<li>{link()}</li>" for _ in range(rng.randint(2, 5))))
+    # and links to share a page by say so, or nothing would tell them from a list in the article
+    named_share = lambda: f"<{(t := rng.choice(['div', 'ul']))}{attrs('share', 'social', 'tags', 'related', bare=0)}>{''.join(f'<li>{link()}</li>' for _ in range(rng.randint(2, 5)))}</{t}>"
 
     main = "\x02"
 
@@ -391,11 +428,17 @@ def generated(rng: random.Random) -> tuple[str, str]:
             inner = some(0.5, lambda: f"<h3>{main}{words(1, 5)}</h3>") + inner
             own = lambda: f"<{(t := rng.choice(['section', 'article', 'div', 'figure']))}>{inner}</{t}>"
             return own() if rng.random() < 0.6 else wrap(["section", "div"], ["section", "part", "chapter", "block", word(), word()], rng.choice([inner, own()]))
+        if k < 0.95 and rng.random() < 0.6:  # what an article links to is part of it
+            entry = lambda: f'<li>{main}{some(0.3, lambda: words(1, 4) + " ")}{link()}{some(0.4, lambda: ", " + words(1, 9))}</li>'
+            kind = rng.choice(["ul", "ol", "ul"])
+            return some(0.6, lambda: f"<p>{main}{prose(1, 1)}</p>") + f"<{kind}>" + "".join(entry() for _ in range(rng.randint(2, 9))) + f"</{kind}>"
         if k < 0.95:
             return " | ".join(words(1, 1) for _ in range(rng.randint(6, 30))).join([f"<p>{main}", "</p>"])
-        return rng.choice([advert, share, notice])()
+        return rng.choice([advert, named_share, notice])()
 
     title = f"<h1>{main}{words(2, 9)}</h1>" if rng.random() < 0.85 else ""
+    if title and rng.random() < 0.4:
+        title = f"<{(t := rng.choice(['header', 'header', 'div', 'hgroup']))}{attrs('entry-header', 'post-header', 'title', bare=0.4)}>{title}</{t}>"
     body = "".join(part() for _ in range(rng.randint(1, 16)))
     if rng.random() < 0.1:
         body = f"{main}{prose(2, 8)}"
@@ -405,7 +448,13 @@ def generated(rng: random.Random) -> tuple[str, str]:
     if rng.random() < 0.4:
         article = wrap(["div", "main", "section"], ["main", "page", "container", "wrapper", "content"], article + some(0.3, side))
     parts = [some(0.5, header), some(0.75, menu), some(0.35, advert), some(0.2, notice), some(0.2, form), article, some(0.25, comments), some(0.3, side), some(0.2, advert), some(0.8, footer), some(0.12, notice)]
-    return f"<!DOCTYPE html><html><head><title>{words(2, 6)}</title></head><body>{''.join(parts)}</body></html>", main
+    page = "".join(parts)
+    frame = [*AGAINST_NAMES, "single", "logged", "page", "theme"]
+    for _ in range(rng.choice([0, 0, 0, 1, 1, 2])):  # frames with names of any kind, and forms around everything
+        tokens = " ".join("-".join(rng.sample(frame, rng.randint(1, 2))) for _ in range(rng.randint(1, 4)))
+        page = f"<{(t := rng.choice(['div', 'div', 'form', 'section']))}{rng.choice(['', f' class=%s' % repr(tokens)])}>{page}</{t}>"
+    tokens = " ".join("-".join(rng.sample(frame, 2)) for _ in range(rng.randint(0, 5)))
+    return f"<!DOCTYPE html><html><head><title>{words(2, 6)}</title></head><body class='{tokens}'>{page}</body></html>", main
 
 
 @lru_cache(maxsize=2)

@@ -394,6 +394,35 @@ def test_html_pages_by_hand(page, want):
     assert html_extract.extract([page], html_extract.trained()) == [want]
 
 
+def framed():
+    """Pages as themes and servers make them: names and forms around everything, links within the article, comments."""
+    text = "The quick brown fox jumps over the lazy dog, and then it rests for a while. It was a long day, after all! Nobody saw it go, but many heard of it later. What it did there is not known, though some say it slept. The end of the story is near, and so is the night."
+    nav, art, want = "<nav><a href=/>Home</a></nav>", f"<h1>A head</h1><p>{text}</p><p>{text}</p>", f"A head\n{text}\n{text}"
+    entries = "".join(f"<li><a href=/x{i}>A thing to read about item {i}</a></li>" for i in range(4))
+    listed = "\n".join(f"A thing to read about item {i}" for i in range(4))
+    for name in ("sidebar", "sidebar-right", "has-menu", "modal-open", "comments-open", "sidebarright", "single-post logged-in"):
+        yield f"<html><head><title>T</title></head><body class='{name}'>{nav}<article class=post>{art}</article><footer>&copy; Site</footer></body></html>", want
+    yield f"<html><body><div class='header-fixed'>{nav}<article class=post>{art}</article></div></body></html>", want
+    yield f"<html><body><form action=x method=post>{nav}<article class=post>{art}</article></form></body></html>", want
+    yield f"<html><body><form id=aspnetForm><div class=nav>{nav}</div><div id=content>{art}</div><div class=footer>Words of us.</div></form></body></html>", want
+    yield f"<html><body>{nav}<article class=post><h1>A head</h1><p>{text}</p><ul>{entries}</ul><p>{text}</p></article></body></html>", f"A head\n{text}\n{listed}\n{text}"
+    yield f"<html><body><main><h1>A head</h1><p>{text}</p><h2>Sources</h2><ol>{entries}</ol></main><footer>&copy; x</footer></body></html>", f"A head\n{text}\nSources\n{listed}"
+    yield f"<html><body class='menu-open popup'><div id=page-header-wrap class='has-sidebar header-top'>{nav}<article><h2>A head</h2><p>{text}</p><p>{text}</p></article><aside class=sidebar><h3>More</h3><ul>{entries}</ul></aside></div></body></html>", want
+    said = "".join(f"<article class=comment><p>Ann</p><p>{text[:150]}</p></article>" for _ in range(6))
+    yield f"<html><body class=comments-open><article class=post><h1>A head</h1><p>{text}</p></article><section class=comments id=comments><h3>Six replies</h3>{said}</section></body></html>", f"A head\n{text}"
+    said = "".join(f"<div class=comment><p>{text}</p></div>" for _ in range(12))
+    yield f"<html><body><div class='wrap comments-open widget-area'><article><h1>A head</h1><p>{text}</p></article><div id=comments class=comments>{said}</div></div></body></html>", f"A head\n{text}"
+    yield f"<html><body><div class='modal-open login-page'><div class=nav>{nav}</div><div class=entry-content><h2>A head</h2><p>{text}</p><p>{text}</p></div><div class='share social'><li><a href=/a>Tweet</a></li><li><a href=/b>Post</a></li></div></div></body></html>", want
+    yield f"<html><body class='with-header-overlay'><article><header class=entry-header><h1>A head</h1></header><div class=entry-content><p>{text}</p><p>{text}</p></div></article></body></html>", want
+    yield f"<html><body class=toc-nav><table class=layout-menu><tr><td class=sidebar><ul>{entries}</ul></td><td class=content>{art}</td></tr></table></body></html>", want
+    yield f"<html><body><section class='widget-area sidebar-layout'><main>{art}</main><footer class=footer>All rights.</footer></section></body></html>", want
+
+
+@pytest.mark.parametrize(("page", "want"), list(framed()))
+def test_html_frames_are_plain(page, want):
+    assert html_extract.extract([page], html_extract.trained()) == [want]
+
+
 def test_html_attributes():
     """Quotes count where a value starts, and nowhere else; a quote left open ends with its tag."""
     read = lambda source: ["".join(p for p in n.pieces if isinstance(p, str)) for n in html_extract.features(html_extract.parse(source))[0][1:]]
