@@ -117,6 +117,73 @@ def test_near_copies_by_jaccard(spark):
     assert sorted(rows_of(near_dedup.keep_one(df.where("doc_id IS NOT NULL")), "doc_id")) == sorted((d,) for d, _ in data if d is not None and d not in gone)
 
 
+def template_pages(n=400, seed=9):
+    """Texts that share a template of 300 words and differ in 110 of their own: similarities of about 0.57."""
+    rng = random.Random(seed)
+    words = lambda k: " ".join(f"w{rng.randrange(10**6)}" for _ in range(k))
+    head, foot = words(150), words(150)
+    return [f"{head} {words(110)} {foot}" for _ in range(n)]
+
+
+def test_template_pages_do_not_chain(spark, monkeypatch):
+    """Pages of one template, below the bound, share keys by chance; sketches keep them from becoming one group."""
+    texts = template_pages()
+    sets = [set(jaccard_dedup.shingles(t.encode()).tolist()) for t in texts]
+    assert 0.5 < np.mean([len(a & b) / len(a | b) for a, b in zip(sets, sets[1:], strict=False)]) < 0.6
+    rows = [(i, *jaccard_dedup.band_keys(jaccard_dedup.shingles(t.encode()))) for i, t in enumerate(texts)]
+    held = spark.createDataFrame([(i, k.tolist(), s) for i, k, s in rows], "node long, keys array<long>, sketch binary")
+    keys = held.select("node", F.explode("keys").alias("key"))
+    chained = components(keys.alias("a").join(keys.alias("b"), "key").where("a.node < b.node").select(F.col("a.node").alias("a"), F.col("b.node").alias("b")))
+    assert chained.groupBy("root").count().agg(F.max("count")).first()[0] > 100  # what keys alone make of them
+    links = jaccard_dedup.like_links(keys, held.select("node", "sketch"))
+    groups = components(links).groupBy("root").count().agg(F.max("count")).first()[0]
+    assert (groups or 0) < 20
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, texts[7].replace("w", "v", 1)])], "doc_id long, text string")
+    got = dict(rows_of(jaccard_dedup.similar_groups(df), "doc_id", "component_id"))
+    assert got == {i: i for i in range(400)} | {400: 7}
+
+
+def test_recall_of_similar_pairs(spark):
+    """Measured against exact pairs over the documents of sf0.01 and edited copies of theirs, of similarities just above
+    0.8: at least 0.99 of the pairs of 0.8 or more are in one group."""
+    rng = random.Random(2)
+    data = rows_of(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id IS NOT NULL"), "doc_id", "text")
+    for i, t in data[:]:
+        w = (t or "").split()
+        if 60 <= len(w) <= 1500:
+            for at in rng.sample(range(len(w)), max(1, round(len(w) * 0.019))):
+                w[at] = f"edit{at}"
+            data.append((100_000 + i, " ".join(w)))
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    classes = {}
+    for d, t in data:
+        s = jaccard_dedup.shingles((t or "").encode())
+        if len(s):
+            classes.setdefault(s.tobytes(), (s, []))[1].append(d)
+    sets, ids = [s for s, _ in classes.values()], [d for _, d in classes.values()]
+    owners = {}
+    for i, s in enumerate(sets):
+        for v in s.tolist():
+            owners.setdefault(v, []).append(i)
+    pairs = []
+    for i, s in enumerate(sets):
+        both = np.bincount(np.concatenate([owners[v] for v in s.tolist()]), minlength=len(sets))
+        pairs += [(ids[i][0], ids[j][0]) for j in np.flatnonzero(5 * both >= 4 * (len(s) + np.array([len(x) for x in sets]) - both)) if j > i]
+    group = dict(rows_of(jaccard_dedup.similar_groups(docs), "doc_id", "component_id"))
+    found = sum(group[a] == group[b] for a, b in pairs)
+    print(f"recall {found} of {len(pairs)} pairs")
+    assert len(pairs) > 400 and found >= 0.99 * len(pairs)
+
+
+def test_similar_groups_hot_row(spark):
+    """One row 20,000 times, and one doc_id under other texts: a group's set is made once a task, not once a row."""
+    text = " ".join(f"w{i}" for i in range(200))
+    hot = spark.range(20_000).select(F.lit(5).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    more = spark.createDataFrame([(5, "other text altogether of seven words here"), (6, text.replace("w7 ", "v7 ")), (7, "other text altogether of seven words here")], "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"]): r["count"] for r in jaccard_dedup.similar_groups(hot.union(more)).groupBy("doc_id", "component_id").count().collect()}
+    assert got == {(5, 5): 20_001, (6, 5): 1, (7, 5): 1}
+
+
 def test_similar_links_across_cells(spark):
     """A crowd of near copies, dealt into many cells, stays one component; a text apart stays out."""
     base = list(range(1, 201))
