@@ -6,9 +6,11 @@ and a rerun calls nothing twice. Every stage asks only about what the stage befo
 
 from __future__ import annotations
 
+import asyncio
 import hashlib
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Awaitable, Callable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -268,19 +270,81 @@ def ask(df: DataFrame, id_: str, ns: Column, system: str, user: Column, temperat
     return df.select(F.col(id_).alias("id"), request_key(**parts).alias("key"), *[c.alias(k) for k, c in parts.items()])
 
 
+class Concurrent:
+    """A completer that keeps up to `limit` requests of a task in flight at once.
+
+    `one` is a coroutine from a request's fields to the text of its answer. A request that takes more than `timeout` seconds, or
+    raises, becomes an error row; the others go on. Requests are started as Arrow batches come in and answers passed on
+    as they are ready, so a task holds a batch of requests, `limit` of them started, and `batch` answers, whatever
+    the number of its rows."""
+
+    def __init__(self, one: Callable[[dict], Awaitable[str]], limit: int = 16, timeout: float = 60.0, batch: int = 256):
+        self.one, self.limit, self.timeout, self.batch = one, limit, timeout, batch
+
+    async def _answer(self, request: dict) -> tuple:
+        try:
+            return request["key"], await asyncio.wait_for(self.one(request), self.timeout), None
+        except TimeoutError:
+            return request["key"], None, "timeout"
+        except Exception as e:  # a failed call is a row of the log, not the end of the job
+            return request["key"], None, f"{type(e).__name__}: {e}"
+
+    def stream(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (r for b in batches for r in b.to_dict("records"))
+        loop, flying, ready = asyncio.new_event_loop(), set(), []
+        try:
+            while True:
+                flying |= {loop.create_task(self._answer(r)) for r in islice(rows, self.limit - len(flying))}
+                if not flying:
+                    break
+                done, flying = loop.run_until_complete(asyncio.wait(flying, return_when=asyncio.FIRST_COMPLETED))
+                ready += [t.result() for t in done]
+                if len(ready) >= self.batch:
+                    yield pd.DataFrame(ready, columns=["key", "content", "error"])
+                    ready = []
+        finally:
+            for t in flying:
+                t.cancel()
+            if flying:
+                loop.run_until_complete(asyncio.wait(flying))
+            loop.close()
+        if ready:
+            yield pd.DataFrame(ready, columns=["key", "content", "error"])
+
+    def __call__(self, batch: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([pd.DataFrame([], columns=["key", "content", "error"]), *self.stream(iter([batch]))], ignore_index=True)
+
+
+def recorded(spark: SparkSession, path: str) -> DataFrame:
+    """A replay table (key, content, error, at) of JSON lines that were appended call by call; `at` is their order."""
+    rows = spark.read.schema(f"{ANSWER}, _corrupt_record string").json(path).where("_corrupt_record IS NULL AND key IS NOT NULL")
+    at = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return rows.select("key", "content", "error", at.alias("at"))
+
+
+def last_answers(replay: DataFrame) -> DataFrame:
+    """(key, content): one answer a key of a replay table in which keys repeat, the last without an error.
+
+    The order is that of the column `at`, where there is one; else the largest content counts, so that reruns agree."""
+    order = F.struct(*(["at"] if "at" in replay.columns else []), "content")
+    good = replay.where("error IS NULL AND content IS NOT NULL")
+    return good.groupBy("key").agg(F.max(order).getField("content").alias("content"))
+
+
 class Client:
     """Answers requests from a replay table (key, content, error) first, and from a completer where it has none.
 
-    New answers are kept, errors are not, so that a rerun asks again only what failed. `calls` is the log of what was
+    The replay table may hold a key many times (see last_answers). New answers are kept, errors are not, so that a rerun asks again only what failed. `calls` is the log of what was
     asked: (ns, key, hit, ok)."""
 
     def __init__(self, replay: DataFrame, completer: Completer | None = None):
         self.replay, self.completer, self.calls = replay, completer, None
+        self.known = last_answers(replay)
 
     def answer(self, requests: DataFrame) -> DataFrame:
         """(id, ns, content): a row for each request that was answered."""
         requests = stable(requests)
-        known = requests.join(self.replay.where("error IS NULL").select("key", "content"), "key", "left")
+        known = requests.join(self.known, "key", "left")
         hits = known.where("content IS NOT NULL").select("id", "ns", "key", "content")
         made = requests.sparkSession.createDataFrame([], ANSWER)
         if self.completer is not None:
@@ -288,11 +352,13 @@ class Client:
             todo = known.where("content IS NULL").select(*REQUEST.replace(" string", "").replace(" double", "").replace(" int", "").split(", ")).dropDuplicates(["key"])
 
             def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                yield from map(fn, batches)
+                yield from fn.stream(batches) if isinstance(fn, Concurrent) else map(fn, batches)
 
             made = stable(todo.mapInPandas(run, ANSWER))
-            self.replay = self.replay.select("key", "content", "error").union(made.where("error IS NULL"))
-        fresh = requests.join(made.where("error IS NULL"), "key").select("id", "ns", "key", "content")
+            new = made.where("error IS NULL AND content IS NOT NULL")
+            self.replay = self.replay.select("key", "content", "error").union(new)
+            self.known = self.known.union(new.select("key", "content"))  # none of these keys was known
+        fresh = requests.join(made.where("error IS NULL AND content IS NOT NULL"), "key").select("id", "ns", "key", "content")
         out = stable(hits.union(fresh))
         log = requests.select("id", "ns", "key").join(out.select("id", "ns", F.lit(True).alias("ok")), ["id", "ns"], "left").join(hits.select("id", "ns", F.lit(True).alias("hit")), ["id", "ns"], "left")
         log = log.select("ns", "key", F.coalesce("hit", F.lit(False)).alias("hit"), F.coalesce("ok", F.lit(False)).alias("ok"))

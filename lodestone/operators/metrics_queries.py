@@ -140,7 +140,7 @@ def _flags(spark, d):
 
 
 PRED = """pred AS (SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'near_miss' WHEN turn = min(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id) AND role = 'user' THEN 'canonical' WHEN role = 'user' THEN 'paraphrase' ELSE 'answer' END AS kind,
-  length(text) % 2 = 0 AS correct, length(text) % 3 = 0 AS abstain, (length(text) % 101) / 100::DOUBLE AS confidence, md5(substr(text, 1, 8)) AS answer FROM conversations)"""
+  length(text) % 2 = 0 AS correct, length(text) % 3 = 0 AS abstain, (length(text) % 101) / 100::DOUBLE AS confidence, md5(text) AS answer FROM conversations)"""
 
 
 def predictions(spark, d) -> DataFrame:

@@ -293,21 +293,34 @@ def _mined_texts(spark, d):
     return docs.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").select("doc_id", F.length("text").cast("long").alias("n"))
 
 
-@query("formatted", r"SELECT event_id, CASE WHEN value IS NULL OR isnan(value) THEN '--' ELSE format('{:.1f}', round(value, 1)) END AS rate, CASE WHEN event_id >= 1000 THEN (event_id // 1000)::VARCHAR || 'k' ELSE event_id::VARCHAR END AS k, replace(replace(replace(event_type || '_50%&', '%', '\%'), '&', '\&'), '_', '\_') AS escaped FROM events")
+FORMATTED = r"""
+WITH v AS (SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'inf'::DOUBLE WHEN 1 THEN '-inf'::DOUBLE WHEN 2 THEN 'nan'::DOUBLE WHEN 3 THEN NULL ELSE round(value, 2) END AS value, event_id * CASE WHEN event_id % 2 = 0 THEN 500 ELSE 1 END AS n, event_type || '_50%&$#\' || event_type AS t FROM events)
+SELECT event_id, CASE WHEN value IS NULL OR NOT isfinite(value) THEN '--' ELSE format('{:.2f}', value) END AS rate, CASE WHEN n >= 1000 AND n % 1000 = 0 THEN (n // 1000)::VARCHAR || 'k' ELSE n::VARCHAR END AS k,
+  replace(replace(replace(replace(replace(t, '\', '\textbackslash{}'), '&', '\&'), '%', '\%'), '_', '\_'), '#', '\#') AS escaped FROM v"""
+
+
+@query("formatted", FORMATTED)
 def _formatted(spark, d):
-    return table(spark, d, "events").select("event_id", fmt_rate(F.round("value", 1)).alias("rate"), fmt_k(F.col("event_id")).alias("k"), latex_escape(F.concat("event_type", F.lit("_50%&"))).alias("escaped"))
+    """Rates that are missing or not finite, counts in thousands where they are whole, and every character that is escaped."""
+    e, odd = table(spark, d, "events"), F.col("event_id") % 7
+    value = F.when(odd == 0, F.lit(float("inf"))).when(odd == 1, F.lit(float("-inf"))).when(odd == 2, F.lit(float("nan"))).when(odd == 3, F.lit(None).cast("double")).otherwise(F.round("value", 2))
+    n = F.col("event_id") * F.when(F.col("event_id") % 2 == 0, 500).otherwise(1)
+    t = F.concat("event_type", F.lit("_50%&$#\\"), "event_type")
+    return e.select("event_id", fmt_rate(value).alias("rate"), fmt_k(n).alias("k"), latex_escape(t).alias("escaped"))
 
 
-def fmt_rate(c: Column, digits: int = 1) -> Column:
-    return F.when(c.isNull() | F.isnan(c), "--").otherwise(F.format_string(f"%.{digits}f", c))
+def fmt_rate(c: Column, digits: int = 2) -> Column:
+    """A rate with a fixed number of digits; -- for one that is missing or not finite."""
+    return F.when(c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")), "--").otherwise(F.format_string(f"%.{digits}f", c))
 
 
 def fmt_k(c: Column) -> Column:
-    return F.when(c >= 1000, F.concat(F.floor(c / 1000).cast("string"), F.lit("k"))).otherwise(c.cast("string"))
+    """Whole thousands as 5k, any other number as it is."""
+    return F.when((c >= 1000) & (c % 1000 == 0), F.concat((c / 1000).cast("long").cast("string"), F.lit("k"))).otherwise(c.cast("string"))
 
 
 def latex_escape(c: Column) -> Column:
-    return F.regexp_replace(c, r"([%&_#$])", r"\\$1")
+    return F.regexp_replace(F.replace(c, F.lit("\\"), F.lit("\\textbackslash{}")), "([&%_#])", r"\\$1")
 
 
 def latex_table(rows: DataFrame, caption: str = "") -> str:

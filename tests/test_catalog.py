@@ -1,11 +1,13 @@
 """Every registered query outside the optional package against its SQL twin, and the semantics fixtures."""
 
+import asyncio
 import hashlib
 import json
 import math
 import os
 import random
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -332,6 +334,66 @@ def test_answers_are_whole_texts(spark, tmp_path):
     got = catalog.QUERIES["paraphrase_consistency"](spark, str(tmp_path)).first()
     assert (got["n"], got["same"]) == (2, 1)
     assert catalog.QUERIES["answer_entropy"](spark, str(tmp_path)).where("entropy > 0").count() == 1
+    con = duckdb.connect()  # the twins see whole texts as well
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert con.execute(catalog.ORACLES["paraphrase_consistency"]).fetchall()[0][:2] == (2, 1)
+    assert con.execute(catalog.ORACLES["answer_entropy"]).fetchall()[0][1] > 0
+
+
+def test_replay_with_repeated_keys(spark, tmp_path):
+    """One answer a request, the last that was recorded; torn and failed lines do not count."""
+    asked = spark.createDataFrame([(1, "q one"), (2, "q two"), (3, "q one")], "id long, q string")
+    requests = C.ask(asked, "id", F.lit("ns"), "s", F.col("q"))
+    keys = {r["id"]: r["key"] for r in requests.collect()}
+    lines = [{"key": keys[1], "content": c} for c in ("A", "A", "B")] + [{"key": keys[1], "content": None, "error": "HTTP 500"}, {"key": keys[2], "content": "Z"}]
+    path = tmp_path / "answers.jsonl"
+    path.write_text("\n".join(map(json.dumps, lines)) + '\n{"key": "torn')
+    client = C.Client(C.recorded(spark, str(path)))
+    assert sorted(tuple(r) for r in client.answer(requests).select("id", "content").collect()) == [(1, "B"), (2, "Z"), (3, "B")]
+    assert client.calls.count() == 3
+    plain = spark.createDataFrame([(keys[1], "A", None), (keys[1], "B", None), (keys[1], "A", None)], "key string, content string, error string")
+    assert C.Client(plain).answer(requests.where("id = 1")).count() == 1
+
+
+def test_concurrent_completer():
+    """The limit is kept, the time falls, late and failing requests are error rows, and nothing waits for the end."""
+    flying, most, started = 0, 0, 0
+
+    async def slow(request):
+        nonlocal flying, most, started
+        flying, started = flying + 1, started + 1
+        most = max(most, flying)
+        try:
+            await asyncio.sleep(5.0 if request["user"] == "late" else 0.02)
+            if request["user"] == "bad":
+                raise ValueError("no")
+            return request["user"].upper()
+        finally:
+            flying -= 1
+
+    frame = lambda a, b: pd.DataFrame([{"key": f"k{i}", "user": "late" if i == 7 else "bad" if i == 9 else f"u{i}"} for i in range(a, b)])
+    begin = time.time()
+    made = C.Concurrent(slow, limit=10, timeout=0.4, batch=30).stream(iter([frame(0, 60), frame(60, 200)]))
+    first = next(made)
+    assert len(first) >= 30 and started <= 45  # answers come while requests are left
+    got = pd.concat([first, *made]).set_index("key")
+    assert time.time() - begin < 2 and most == 10 and flying == 0
+    assert len(got) == 200 and got.loc["k7", "error"] == "timeout" and got.loc["k9", "error"] == "ValueError: no" and got.loc["k150", "content"] == "U150"
+    assert got["error"].notna().sum() == 2 and C.Concurrent(slow)(frame(0, 0)).empty
+
+
+def test_concurrent_completer_in_tasks(spark):
+    async def echo(request):
+        if request["user"] == "q3":
+            await asyncio.sleep(9)
+        return request["user"] + "!"
+
+    asked = spark.range(50).select("id", F.concat(F.lit("q"), F.col("id").cast("string")).alias("q"))
+    client = C.Client(C.no_replay(spark), C.Concurrent(echo, limit=4, timeout=0.3))
+    requests = C.ask(asked, "id", F.lit("ns"), "s", F.col("q"))
+    assert {r["id"]: r["content"] for r in client.answer(requests).collect()} == {i: f"q{i}!" for i in range(50) if i != 3}
+    assert client.calls.where("NOT ok").count() == 1 and client.replay.count() == 49
+    assert client.answer(requests.where("id <> 3")).count() == 49 and client.calls.where("hit").count() == 49
 
 
 def test_verbatim_finds_short_items(spark):
