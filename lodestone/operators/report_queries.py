@@ -10,9 +10,10 @@ from lodestone.functions import text as X
 from lodestone.operators.candidates import drawn, normalized_reason
 from lodestone.operators.metrics_queries import BUDGETS, CALLS, PRED, QA, R, calls, p_index, predictions, qa_evidence, ranked_values
 from lodestone.operators.retrieval_queries import BM25, DENSE, _dense, _items, bm25, verbatim
+from lodestone.operators.similarity import places, similar_topk
 from lodestone.operators.text_queries import MATCH
 from lodestone.plans.catalog import query
-from lodestone.plans.joins import HOT, spread_join, stable
+from lodestone.plans.joins import stable
 from lodestone.plans.tables import table
 
 # ---- pool quality and coverage --------------------------------------------------------------------------------------
@@ -336,24 +337,11 @@ def latex_table(rows: DataFrame, caption: str = "") -> str:
 PAIRS = rf"w AS (SELECT item_id AS id, list_distinct(list_filter(string_split({MATCH.format('text')}, ' '), lambda x: x <> '')) AS s FROM benchmark)"
 
 
-def jaccard_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b, jaccard), a < b, of every two rows (id, s: a set of words) that share a word.
-
-    Shared words are counted by an equi-join on words, never by comparing sets pair by pair. The rows of a common
-    word are dealt into blocks, and each block meets all of them in a task of its own. The cost is the number of
-    pairs that share a word, which is what is returned."""
-    t = stable(rows.select("id", F.size("s").alias("n"), F.explode("s").alias("word")))
-    count = t.groupBy("word").agg(F.count("*").alias("c")).where("c > 1").withColumn("rows", F.col("c"))
-    sized = stable(spread_join(t, count, ["word"], t.count(), "rows", by="id").withColumn("blocks", F.ceil(F.col("c") / HOT)).drop("c"))
-    one = sized.select(F.col("id").alias("a"), F.col("n").alias("na"), "word", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"))
-    other = sized.select(F.col("id").alias("b"), F.col("n").alias("nb"), "word", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    shared = one.join(other, ["word", "block"]).where("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("i"))
-    return shared.select("a", "b", (F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).alias("jaccard"))
-
-
-@query("jaccard_pairs", f"WITH {PAIRS}, p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.s, b.s)) AS i, len(a.s) AS na, len(b.s) AS nb FROM w a JOIN w b ON a.id < b.id) SELECT a, b, round(i / (na + nb - i)::DOUBLE, 6) AS jaccard FROM p WHERE i > 0")
+@query("jaccard_pairs", f"WITH {PAIRS}, p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.s, b.s)) AS i, len(a.s) AS na, len(b.s) AS nb FROM w a JOIN w b ON a.id <> b.id), j AS (SELECT a, b, i / (na + nb - i)::DOUBLE AS jaccard FROM p WHERE i > 0) SELECT a, b, round(jaccard, 6) AS jaccard FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(jaccard, 9) DESC, b) AS r FROM j) WHERE r <= 10")
 def _pairs(spark, d):
-    return jaccard_pairs(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), X.word_set(F.col("text")).alias("s"))).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    """The ten items most similar to each item, of all items."""
+    rows = table(spark, d, "benchmark").select(F.lit("all").alias("g"), F.col("item_id").alias("id"), F.lit(True).alias("asked"), X.word_set(F.col("text")).alias("s"))
+    return similar_topk(rows).select(F.col("id").alias("a"), F.col("peer").alias("b"), F.round("jaccard", 6).alias("jaccard"))
 
 
 MULTI_HOP = 0.25
@@ -366,33 +354,32 @@ def plan_sources(passages: DataFrame, rate: float = MULTI_HOP, salt: str = "run"
     most similar by words one is drawn by hash; where no peer in unit or document shares a word, of all its peers.
     Without any candidate there is no second source. A null unit or document has no peers; a null text no words."""
     p = stable(passages.select("id", "unit", "doc", F.coalesce("s", F.array().cast("array<string>")).alias("s")))
-    want = p.where(drawn(F.col("id"), rate, salt))
+    want = p.where(drawn(F.col("id"), rate, salt)).select("id")
     pick = F.conv(F.substring(F.md5(F.concat(F.lit("pick" + salt), F.col("id").cast("string"))), 1, 8), 16, 10).cast("long")
 
-    def peers(ask: DataFrame, on: str) -> DataFrame:
-        """(id, peer, sim) of the passages in `ask` with all others of their unit or document."""
-        other = p.where(F.col(on).isNotNull()).select(F.col(on).alias("k"), F.col("id").alias("peer"), F.col("s").alias("t"))
-        j = ask.join(other, F.col(on) == F.col("k")).where("id <> peer")
-        both = F.size(F.array_intersect("s", "t"))
-        return j.select("id", "peer", F.when(both > 0, both / (F.size("s") + F.size("t") - both)).otherwise(0.0).alias("sim"))
-
-    def choose(scored: DataFrame, tier: str) -> DataFrame:
-        """One of the ten most similar, or of all where none is similar."""
-        w = Window.partitionBy("id")
-        r = scored.withColumns({"best": F.max("sim").over(w), "r": F.row_number().over(w.orderBy(F.desc(F.round("sim", 9)), "peer")), "some": F.count_if(F.col("sim") > 0).over(w), "n": F.count("*").over(w)})
-        of = F.when(F.col("best") > 0, F.least(F.lit(10), F.col("some"))).otherwise(F.col("n"))
-        return r.where(F.col("r") == F.pmod(pick, of) + 1).select("id", F.col("peer").alias("partner"), F.lit(tier).alias("tier"))
-
-    unit = stable(choose(peers(want, "unit"), "unit"))
-    rest = stable(want.join(unit, "id", "left_anti"))
-    doc = stable(choose(peers(rest, "doc"), "doc"))
-    rest = stable(rest.join(doc, "id", "left_anti"))
-    t = p.select("id", F.size("s").alias("n"), F.explode("s").alias("word"))
-    a = rest.select("id", F.size("s").alias("na"), F.explode("s").alias("word"))
-    both = a.join(t.select(F.col("id").alias("peer"), "n", "word"), "word").where("id <> peer").groupBy("id", "peer", "na", "n").agg(F.count("*").alias("i"))
-    everywhere = choose(both.select("id", "peer", (F.col("i") / (F.col("na") + F.col("n") - F.col("i"))).alias("sim")), "all")
-    alone = p.select("id", F.lit(None).cast(p.schema["id"].dataType).alias("partner"), F.lit("single").alias("tier"))
-    return alone.union(unit).union(doc).union(everywhere)
+    def alike(ask: DataFrame, on: Column, tier: str) -> DataFrame:
+        """One of the ten most similar peers, for those that have one."""
+        rows = p.join(ask.withColumn("asked", F.lit(True)), "id", "left").select(on.alias("g"), "id", "asked", "s").where("g IS NOT NULL")
+        top = similar_topk(rows)
+        of = F.count("*").over(Window.partitionBy("id"))
+        return top.withColumn("of", of).where(F.col("rank") == F.pmod(pick, F.col("of")) + 1).select("id", F.col("peer").alias("partner"), F.lit(tier).alias("tier"))
+
+    def anyone(ask: DataFrame, on: str, tier: str) -> DataFrame:
+        """One of all peers, drawn by its place among them: no pairs are formed."""
+        at = stable(places(p.where(F.col(on).isNotNull()).select(F.col(on).alias("g"), "id")))
+        own = at.join(ask, "id").where("size > 1")
+        r = F.pmod(pick, F.col("size") - 1) + 1
+        chosen = own.select("g", "id", (r + (r >= F.col("place")).cast("long")).alias("place"))
+        return chosen.join(at.select("g", F.col("id").alias("partner"), "place"), ["g", "place"]).select("id", "partner", F.lit(tier).alias("tier"))
+
+    out, rest = p.select("id", F.lit(None).cast(p.schema["id"].dataType).alias("partner"), F.lit("single").alias("tier")), want
+    for tier in ("unit", "doc"):
+        near = stable(alike(rest, F.col(tier), tier))
+        rest = stable(rest.join(near, "id", "left_anti"))
+        other = stable(anyone(rest, tier, tier))
+        rest = stable(rest.join(other, "id", "left_anti"))
+        out = out.union(near).union(other)
+    return out.union(alike(rest, F.lit("all"), "all"))
 
 
 @query("multihop_sources", rf"""

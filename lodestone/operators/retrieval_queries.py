@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestone.functions import text as X
+from lodestone.operators.similarity import similar_topk
 from lodestone.plans.catalog import query
 from lodestone.plans.joins import stable
 from lodestone.plans.tables import table
@@ -212,14 +213,9 @@ p AS (SELECT a.conv_id, a.turn AS a, b.turn AS b, len(list_intersect(a.s, b.s))
 j AS (SELECT conv_id, a, b, i / (na + nb - i)::DOUBLE AS jaccard FROM p WHERE i > 0)
 SELECT conv_id, a, b, round(jaccard, 6) AS jaccard FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, a ORDER BY round(jaccard, 9) DESC, b) AS r FROM j) WHERE r <= 10""")
 def _peers(spark, d):
-    """The ten most similar turns of a turn's conversation: an equi-join on words counts the overlaps."""
-    w = table(spark, d, "conversations").select("conv_id", "turn", X.word_set(F.col("text")).alias("s"))
-    t = w.select("conv_id", "turn", F.size("s").alias("n"), F.explode("s").alias("word"))
-    a, b = t.select("conv_id", "word", F.col("turn").alias("a"), F.col("n").alias("na")), t.select("conv_id", "word", F.col("turn").alias("b"), F.col("n").alias("nb"))
-    p = a.join(b, ["conv_id", "word"]).where("a <> b").groupBy("conv_id", "a", "b", "na", "nb").agg(F.count("*").alias("i"))
-    j = p.select("conv_id", "a", "b", (F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).alias("jaccard"))
-    r = F.row_number().over(Window.partitionBy("conv_id", "a").orderBy(F.desc(F.round("jaccard", 9)), "b"))
-    return j.withColumn("r", r).where("r <= 10").select("conv_id", "a", "b", F.round("jaccard", 6).alias("jaccard"))
+    """The ten most similar turns of a turn's conversation."""
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("g"), F.col("turn").alias("id"), F.lit(True).alias("asked"), X.word_set(F.col("text")).alias("s"))
+    return similar_topk(rows).select(F.col("g").alias("conv_id"), F.col("id").alias("a"), F.col("peer").alias("b"), F.round("jaccard", 6).alias("jaccard"))
 
 
 DIMS = 64
