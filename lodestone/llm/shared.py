@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.plans.joins import spread_join
+from lodestone.plans.joins import HOT, spread_join
 
 #: Words are what stands between these six ASCII characters (the same ones bytes.split() knows).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -146,9 +146,9 @@ def ranked(df: DataFrame, order: list[Column], name: str, weight: str | None = N
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(node, root) of every node of the undirected edges (a, b): root is the smallest node reachable.
 
-    Alternating large-star and small-star steps: each is one grouped minimum (combined before the
-    shuffle) and one join that deals the neighbours of a hub over many tasks. Every round is cut, the one before
-    it deleted. Ends when a round changes nothing."""
+    Alternating large-star and small-star steps: each is one grouped minimum (combined before the shuffle), written with
+    the number of neighbours, and one join with it. Only where a node has more than HOT neighbours are they dealt over
+    many tasks. Every round is cut, the one before it deleted. Ends when a round changes nothing."""
     spark = edges.sparkSession
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now, path = cut_to(now, "edges")
@@ -156,21 +156,30 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     def print_of(df: DataFrame):
         return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
-    def step(df: DataFrame, large: bool) -> DataFrame:
+    def step(df: DataFrame, large: bool) -> tuple[DataFrame, str]:
         near = df.union(df.select("v", "u")) if large else df
-        least = near.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        both = spread_join(near, least, ["u"], 2 * most_edges, by="v")
+        least, least_path = cut_to(near.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
+        if (least.agg(F.max("n")).first()[0] or 0) > HOT:
+            both = spread_join(near, least, ["u"], 2 * most_edges, by="v")
+        else:
+            both = near.join(least.drop("n"), "u")
         if large:
-            return both.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        return both.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(both.select("u", F.col("m").alias("v"))).distinct()
+            out = both.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        else:
+            out = both.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(both.select("u", F.col("m").alias("v"))).distinct()
+        made = cut_to(out, "edges")
+        remove(spark, least_path)
+        return made
 
     seen = print_of(now)
     most_edges = seen[0]  # of the first round; later ones have no more than twice as many
     if seen[0]:
         for _ in range(most):
-            after, next_path = cut_to(step(step(now, True), False), "edges")
+            half, half_path = step(now, True)
+            after, next_path = step(half, False)
             was, seen = seen, print_of(after)
             remove(spark, path)
+            remove(spark, half_path)
             now, path = after, next_path
             if was == seen:
                 break
