@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections import defaultdict
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestone.operators.candidates import inverse_agreement
 from lodestone.operators.metrics_queries import QA, qa_evidence
@@ -29,49 +30,37 @@ SETTINGS = {
 }
 
 
-class Codes:
-    """Lists of values, one an item, as flat arrays of small integers: item i has code[at[i] : at[i + 1]], each once."""
-
-    def __init__(self, lists: list):
-        sets = [sorted(set(() if x is None else x) - {None}) for x in lists]
-        self.at = np.cumsum([0, *map(len, sets)])
-        names, self.code = np.unique(np.array([v for s in sets for v in s], dtype=object).astype(str) if self.at[-1] else np.zeros(0, str), return_inverse=True)
-        self.n = len(names)
-
-    def of(self, i: int) -> np.ndarray:
-        return self.code[self.at[i] : self.at[i + 1]]
+def coded(lists: list) -> list[list[int]]:
+    """Lists of values, one an item, as lists of small integers, each once, nulls left out."""
+    codes: dict = {}
+    return [sorted({codes.setdefault(v, len(codes)) for v in (() if x is None else x) if v is not None}) for x in lists]
 
 
 class Gains:
-    """What an item would add to the items picked so far: covered documents, units and reasons are flags, and a
+    """What an item would add to the items picked so far: covered documents, units and reasons are sets of codes, and a
     posting list a token says which picked items are like it."""
 
     def __init__(self, docs: list, units: list, reasons: list, tokens: list, weights: tuple):
         self.weights = weights
-        self.parts = [Codes(x) for x in (docs, units, [[r] if r else [] for r in reasons])]
-        self.covered = [np.zeros(p.n, bool) for p in self.parts]
-        self.tokens = Codes(tokens)
-        self.postings: list[list[int]] = [[] for _ in range(self.tokens.n)]
+        self.parts = [coded(x) for x in (docs, units, [[r] if r else [] for r in reasons])]
+        self.covered: list[set] = [set(), set(), set()]
+        self.tokens = list(map(frozenset, coded(tokens)))
+        self.postings: dict[int, list[int]] = defaultdict(list)
 
     def likeness(self, i: int) -> float:
         """The largest Jaccard similarity to a picked item that shares a token of at most COMMON postings."""
-        own = self.tokens.of(i)
-        near = {j for t in own if len(self.postings[t]) <= COMMON for j in self.postings[t]}
-        best = 0.0
-        for j in near:
-            both = len(np.intersect1d(own, self.tokens.of(j), assume_unique=True))
-            best = max(best, both / (len(own) + len(self.tokens.of(j)) - both))
-        return best
+        own, lists = self.tokens[i], self.postings
+        near = {j for t in own if t in lists and len(lists[t]) <= COMMON for j in lists[t]}
+        return max((both / (len(own) + len(self.tokens[j]) - both) for j in near if (both := len(own & self.tokens[j]))), default=0.0)
 
     def of(self, i: int) -> float:
-        new = (int((~c[p.of(i)]).sum()) for p, c in zip(self.parts, self.covered, strict=True))
-        gain = sum(w * n for w, n in zip(self.weights, new, strict=False))
-        return gain - self.weights[3] * self.likeness(i) if self.weights[3] and len(self.tokens.of(i)) else gain
+        gain = sum(w * sum(v not in c for v in p[i]) for w, p, c in zip(self.weights, self.parts, self.covered, strict=False) if w)
+        return gain - self.weights[3] * self.likeness(i) if self.weights[3] and self.tokens[i] else gain
 
     def pick(self, i: int) -> None:
         for p, c in zip(self.parts, self.covered, strict=True):
-            c[p.of(i)] = True
-        for t in self.tokens.of(i):
+            c.update(p[i])
+        for t in self.tokens[i]:
             self.postings[t].append(i)
 
 
@@ -112,30 +101,69 @@ def select(pool: DataFrame, group: str, n: int, order: list | None = None, **set
     return pool.groupBy(group).applyInPandas(run, f"{group} string, item long, rank int, gain double")
 
 
-def cover_in_rounds(pool: DataFrame, n: int, fall: float = 0.5, least: float = 1.0) -> DataFrame:
-    """(item, round): up to n items of (item, pids) that cover documents, by falling thresholds, for pools no task holds.
-
-    A round takes items that would cover at least the threshold of documents not covered yet, and of these the ones
-    that hold the smallest item number on enough of them, so that no two of a round count the same document. The
-    threshold starts at the largest item and falls by `fall`, down to `least`; coverage comes near the greedy's."""
-    left = stable(pool.select("item", F.explode(F.array_distinct("pids")).alias("pid")))
-    level, taken, out, round_ = float((left.groupBy("item").count().agg(F.max("count")).first()[0]) or 0), 0, None, 0
-    while level >= least and taken < n:
-        sized = left.join(left.groupBy("item").agg(F.count("*").alias("size")).where(F.col("size") >= level), "item")
-        first = sized.groupBy("pid").agg(F.min("item").alias("item"))  # a document counts for one item of a round
-        won = first.groupBy("item").agg(F.count("*").alias("won")).where(F.col("won") >= level)
-        chosen = stable(won.orderBy(F.desc("won"), "item").limit(n - taken).select("item"))
-        got = chosen.count()
-        if not got:
-            level = level * fall if level > least else 0.0
-            level = max(level, least) if level else level
-            continue
-        round_, taken = round_ + 1, taken + got
-        part = chosen.withColumn("round", F.lit(round_))
-        out = part if out is None else out.union(part)
-        gone = left.join(chosen, "item").select("pid").distinct()
-        left = stable(left.join(gone, "pid", "left_anti"))
-    return out if out is not None else pool.select("item", F.lit(0).alias("round")).limit(0)
+def _likeness(items: DataFrame, picked: DataFrame, postings: DataFrame) -> DataFrame:
+    """(pool, item, like): the largest Jaccard similarity of items (pool, item, words) to newly picked ones that share a
+    token of at most COMMON postings; postings (pool, token, postings) counts all picked items."""
+    rare = postings.where(F.col("postings") <= COMMON).drop("postings")
+    new = picked.select("pool", F.explode(F.array_distinct("words")).alias("token"), F.col("words").alias("theirs")).join(rare, ["pool", "token"])
+    own = items.select("pool", "item", F.explode(F.array_distinct("words")).alias("token"), "words")
+    both = F.size(F.array_intersect("words", "theirs"))
+    like = both / (F.size(F.array_distinct("words")) + F.size(F.array_distinct("theirs")) - both)
+    return own.join(new, ["pool", "token"]).groupBy("pool", "item").agg(F.max(like).alias("like"))
+
+
+def select_in_rounds(pool: DataFrame, n: int, weights: tuple = SETTINGS["main"], least_unknown: float = 0.0, near: float = 0.8, least: float = 0.05) -> DataFrame:
+    """(pool, item, round): n items a pool (all, if fewer) of (pool, item, pids, units, reason, words, unknown), for pools
+    that no task holds.
+
+    The gain is the greedy's: weighted new documents, units and reasons, less the likeness to what is picked. A round
+    takes items whose gain is at least `near` of their pool's best, counting each document, unit and reason for one item of
+    the round only (the one with the largest gain). The best item counts all of its own, so each round picks; once
+    the best gain is below `least`, the best items that are left fill the pool. Likeness is to the picks of earlier rounds, by
+    token postings of at most COMMON items. The first ceil(n * least_unknown) picks are unknown, if there are as many.
+
+    An item is unique in its pool; a null pool takes no part, nor do nulls in the lists. Every step is a join or a grouped
+    sum over all pools; of a round's picks each task passes on n a pool at most."""
+    items = stable(pool.select("pool", "item", "pids", "units", "reason", F.coalesce("words", F.array().cast("array<string>")).alias("words"), F.coalesce("unknown", F.lit(False)).alias("unknown")))
+    part = lambda kind, values, w: F.transform(F.array_distinct(F.filter(values, lambda v: v.isNotNull())), lambda v: F.struct(F.lit(kind).alias("kind"), v.cast("string").alias("value"), F.lit(float(w)).alias("w")))
+    reason = F.when(F.coalesce("reason", F.lit("")) != "", F.array("reason")).otherwise(F.array().cast("array<string>"))
+    parts = F.concat(*(part(k, v, w) for k, v, w in zip(("doc", "unit", "reason"), (F.coalesce("pids", F.array().cast(items.schema["pids"].dataType)), F.coalesce("units", F.array().cast(items.schema["units"].dataType)), reason), weights, strict=False)))
+    left = stable(items.select("pool", "item", F.explode(parts).alias("p")).select("pool", "item", "p.*").where("w > 0"))
+    open_ = stable(items.select("pool", "item", "unknown", F.lit(0.0).alias("like")))  # items that are not picked
+    words = items.select("pool", "item", "words")
+    postings = None
+    out = stable(items.select("pool", "item", F.lit(0).alias("round")).limit(0))
+    round_ = 0
+    for only_unknown, limit in ((True, min(n, math.ceil(n * least_unknown))), (False, n)):
+        while True:
+            own = left.groupBy("pool", "item").agg(F.sum("w").alias("sum"))
+            had = out.groupBy("pool").agg(F.count("*").alias("had"))
+            gains = open_.where(F.lit(not only_unknown) | F.col("unknown")).join(own, ["pool", "item"], "left").join(had, "pool", "left")
+            gain = F.coalesce("sum", F.lit(0.0)) - weights[3] * F.col("like")
+            gains = stable(gains.where(F.coalesce("had", F.lit(0)) < limit).select("pool", "item", "like", gain.alias("gain"), F.coalesce("had", F.lit(0)).alias("had")))
+            if gains.isEmpty():
+                break
+            able = gains.join(gains.groupBy("pool").agg(F.max("gain").alias("top")), "pool").where((F.col("top") < least) | (F.col("gain") >= near * F.col("top")))
+            first = left.join(able.select("pool", "item", "gain"), ["pool", "item"]).groupBy("pool", "kind", "value").agg(F.min(F.struct(-F.col("gain"), "item")).getField("item").alias("item"), F.max("w").alias("w"))
+            won = first.groupBy("pool", "item").agg(F.sum("w").alias("won"))
+            worth = F.when(F.col("top") < least, F.col("gain")).otherwise(F.coalesce("won", F.lit(0.0)) - weights[3] * F.col("like"))
+            scored = able.join(won, ["pool", "item"], "left").withColumn("worth", worth).where((F.col("top") < least) | (F.col("worth") >= near * F.col("top") - 1e-9))
+            r = F.row_number().over(Window.partitionBy("pool").orderBy(F.desc("worth"), "item"))
+            ranked = scored.withColumn("r", r).where(F.col("r") <= n)
+            round_ += 1
+            chosen = stable(ranked.where(F.col("r") <= limit - F.col("had")).select("pool", "item", F.lit(round_).alias("round")))
+            out = stable(out.union(chosen))
+            gone = left.join(chosen.drop("round"), ["pool", "item"]).select("pool", "kind", "value").distinct()
+            left = stable(left.join(gone, ["pool", "kind", "value"], "left_anti"))
+            open_ = open_.join(chosen.drop("round"), ["pool", "item"], "left_anti")
+            if weights[3]:
+                picked = stable(words.join(chosen.drop("round"), ["pool", "item"]))
+                counts = picked.select("pool", F.explode(F.array_distinct("words")).alias("token")).groupBy("pool", "token").agg(F.count("*").alias("postings"))
+                postings = stable(counts if postings is None else postings.union(counts).groupBy("pool", "token").agg(F.sum("postings").alias("postings")))
+                like = _likeness(words.join(open_.select("pool", "item"), ["pool", "item"]), picked, postings).withColumnRenamed("like", "now")
+                open_ = open_.join(like, ["pool", "item"], "left").select("pool", "item", "unknown", F.greatest("like", F.coalesce("now", F.lit(0.0))).alias("like"))
+            open_ = stable(open_)
+    return out
 
 
 def _pool(spark, d) -> DataFrame:
@@ -187,7 +215,8 @@ def _retarget(spark, d):
 
 @query("select_in_rounds")
 def _rounds(spark, d):
-    return cover_in_rounds(_pool(spark, d).select("item", "pids"), 400)
+    """The same pools and numbers as select_greedy, without a task that holds a pool."""
+    return select_in_rounds(_pool(spark, d), 50)
 
 
 @query("select_paraphrase", f"WITH {QA}, s AS (SELECT DISTINCT item, 1 - least(1, greatest(0, CASE WHEN item % 7 = 0 THEN 1 ELSE (item % 113) / 100::DOUBLE END)) AS score FROM qa) SELECT item, round(score, 6) + 0.0 AS score FROM s ORDER BY round(score, 9) DESC, item LIMIT 500")

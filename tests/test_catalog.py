@@ -19,7 +19,8 @@ from lodestone.functions import text as X
 from lodestone.operators import candidates as C
 from lodestone.operators.metrics_queries import p_index
 from lodestone.operators.retrieval_queries import bm25, metrics, verbatim
-from lodestone.operators.selection_queries import COMMON, SETTINGS, cover_in_rounds, greedy
+from lodestone.operators import selection_queries as S
+from lodestone.operators.selection_queries import COMMON, SETTINGS, greedy
 from lodestone.operators.text_queries import salience
 from lodestone.plans import catalog, suite
 
@@ -118,14 +119,42 @@ def test_greedy_forgets_common_tokens():
     assert [g for _, g in got] == [2.0] + [1.0] * COMMON + [2.0] * (m - COMMON - 1)
 
 
-def test_cover_in_rounds(spark):
-    rng = random.Random(5)
-    pool = [(i, [rng.randrange(60) for _ in range(rng.randint(0, 9))]) for i in range(80)]
-    got = [r["item"] for r in cover_in_rounds(spark.createDataFrame(pool, "item long, pids array<long>"), 20).collect()]
-    covered = {p for i in got for p in pool[i][1]}
-    best = greedy([set(p) for _, p in pool], [set()] * 80, [""] * 80, [set()] * 80, [False] * 80, 20, (1, 0, 0, 0))
-    assert len(got) <= 20 and len(covered) >= 0.63 * sum(g for _, g in best)
-    assert cover_in_rounds(spark.createDataFrame([], "item long, pids array<long>"), 5).count() == 0
+def worth(pool, picked, weights):
+    """What picks cover, by the weights of documents, units and reasons."""
+    rows = [pool[i] for i in picked]
+    sizes = (len({p for r in rows for p in r["pids"]}), len({u for r in rows for u in r["units"] if u is not None}), len({r["reason"] for r in rows if r["reason"]}))
+    return sum(w * n for w, n in zip(weights, sizes, strict=False))
+
+
+@pytest.mark.parametrize("setting", ["main", "doc_only"])
+def test_rounds_against_the_greedy(spark, setting):
+    """On the pools of sf0.01: as many items, unknown ones first, and at least 0.95 of what the exact greedy covers."""
+    weights = SETTINGS[setting]
+    pools = {}
+    data = S._pool(spark, "/root/testdata/sf0.01").where("pool IN ('p1', 'p5')").cache()
+    for r in data.collect():
+        pools.setdefault(r["pool"], {})[r["item"]] = r
+    for share in (0.0, 0.5) if setting == "main" else (0.0,):
+        rounds = {}
+        for r in S.select_in_rounds(data, 50, weights, share).collect():
+            rounds.setdefault(r["pool"], []).append((r["round"], r["item"]))
+        for name, pool in pools.items():
+            ids = sorted(pool)
+            exact = greedy(*([pool[i][c] for i in ids] for c in ("pids", "units", "reason", "words", "unknown")), 50, weights, share)
+            got = [i for _, i in sorted(rounds[name])]
+            assert len(set(got)) == len(got) == 50
+            assert sum(pool[i]["unknown"] for i in got) >= min(math.ceil(50 * share), sum(r["unknown"] for r in pool.values()))
+            ratio = worth(pool, got, weights) / worth(pool, [ids[i] for i, _ in exact], weights)
+            print(setting, share, name, "ratio", round(ratio, 4), "in", max(r for r, _ in rounds[name]), "rounds")
+            assert ratio >= 0.95
+
+
+def test_rounds_on_edge_rows(spark):
+    schema = "pool string, item long, pids array<string>, units array<string>, reason string, words array<string>, unknown boolean"
+    rows = [("a", 1, ["x", None], ["u"], "r", ["t"], True), ("a", 2, ["x"], None, None, None, None), ("a", 3, None, None, "", ["t"], False), ("b", 1, ["x"], ["u"], "r", [], True)]
+    got = {(r["pool"], r["item"]) for r in S.select_in_rounds(spark.createDataFrame(rows, schema), 2).collect()}
+    assert got == {("a", 1), ("a", 2), ("b", 1)}  # 3 adds nothing either, and is like 1
+    assert S.select_in_rounds(spark.createDataFrame([], schema), 5).count() == 0
 
 
 def test_salience_cues(spark):
