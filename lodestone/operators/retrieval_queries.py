@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from lodestone.functions import text as X
 from lodestone.operators.similarity import similar_topk
 from lodestone.plans.catalog import query
-from lodestone.plans.joins import stable
+from lodestone.plans.joins import spread_join, stable
 from lodestone.plans.tables import table
 
 K1, B, EPSILON = 1.5, 0.75, 0.25  # fixed values: the usual Okapi constants
@@ -26,11 +26,11 @@ def _rank(df: DataFrame, k: int) -> DataFrame:
 
 
 def bm25_idf(tf: DataFrame, n_docs: DataFrame) -> DataFrame:
-    """(token, idf) from (doc_id, token, tf): negative weights are floored at a share of the mean weight."""
+    """(token, df, idf) from (doc_id, token, tf): negative weights are floored at a share of the mean weight."""
     df = tf.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n_docs))  # n_docs is one row
     raw = df.withColumn("raw", F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))  # one row
-    return raw.crossJoin(F.broadcast(mean)).select("token", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    return raw.crossJoin(F.broadcast(mean)).select("token", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
@@ -38,7 +38,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
 
     docs (doc_id, text), queries (qid, text). An inverted index joined on query tokens: cost follows matching
     postings, never queries times documents. Texts are tokenised once; the postings are written once, of which the
-    join keeps those of query tokens."""
+    join keeps those of query tokens, the postings of common ones dealt over many tasks."""
     words = docs.select("doc_id", X.tokens_alnum(F.col("text")).alias("w"))
     # an empty text keeps one posting of no token, so that it counts as a document
     tf = stable(words.select("doc_id", F.size("w").alias("dl"), F.explode_outer("w").alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("tf"), F.max("dl").alias("dl")))
@@ -47,7 +47,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     some = tf.where("token IS NOT NULL")
     idf = bm25_idf(some, stats.select("n_docs"))
     q = queries.select("qid", F.explode(X.tokens_alnum(F.col("text"))).alias("token")).groupBy("qid", "token").agg(F.count("*").alias("qtf"))
-    hits = some.join(q.join(idf, "token"), "token").crossJoin(F.broadcast(stats.select("avgdl")))
+    hits = spread_join(some, q.join(idf, "token"), ["token"], some.count(), "df", by="doc_id", many=True).crossJoin(F.broadcast(stats.select("avgdl")))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = stable(_rank(hits.groupBy("qid", "doc_id").agg(F.sum(part).alias("score")), k).select("qid", "doc_id", "rank", "score"))
     # a query with fewer than k matches has its other places among the first 2 k documents: at most k of those match
@@ -167,7 +167,8 @@ def verbatim(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(qid, doc_id) of documents that hold an item word for word.
 
     Items of five words or more are joined on their second to fourth words, which are whole words of any such document.
-    Shorter ones have no such key: each is looked for in every document."""
+    Shorter ones have no such key. Up to PATTERNS of them, whose texts are then a bounded list, are looked for in one
+    pass over the documents; more are joined on their first characters."""
     parts = F.split("text", r"\s+")
     split = docs.select("doc_id", parts.alias("w"))  # a column of its own, so that no lambda splits again
     grams = split.select("doc_id", F.explode(F.array_distinct(F.transform("w", lambda w, i: F.xxhash64(w, F.get("w", i + 1), F.get("w", i + 2))))).alias("g"))
@@ -175,8 +176,34 @@ def verbatim(docs: DataFrame, items: DataFrame) -> DataFrame:
     keyed = items.where(~few).select("qid", F.col("text").alias("item"), F.xxhash64(F.get(parts, F.lit(1)), F.get(parts, F.lit(2)), F.get(parts, F.lit(3))).alias("g"))
     found = grams.select("doc_id", "g").join(keyed, "g").select("qid", "item", "doc_id").distinct()
     long = found.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "item")).select("qid", "doc_id")
-    short = items.where(few).select("qid", F.col("text").alias("item"))
-    return long.union(docs.select("doc_id", "text").join(short, F.contains("text", "item")).select("qid", "doc_id"))
+    short = stable(items.where(few & F.col("text").isNotNull()).select("qid", F.col("text").alias("item")))
+    listed = short.where(F.length("item") <= PATTERN).limit(PATTERNS + 1).collect()  # bounded in number and length
+    if not listed and short.isEmpty():
+        return long
+    if len(listed) <= PATTERNS and short.count() == len(listed):
+        texts = sorted({r["item"] for r in listed})
+        held = docs.select("doc_id", F.explode(F.filter(F.array(*map(F.lit, texts)), lambda t: F.contains("text", t))).alias("item"))
+        return long.union(held.join(F.broadcast(short), "item").select("qid", "doc_id"))  # as many rows as were listed
+    return long.union(_by_first_characters(docs, short))
+
+
+PATTERNS, PATTERN = 500, 200  # short items in one pass, and the length of each
+FIRST = 4  # characters of a short item's key
+
+
+def _by_first_characters(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(qid, doc_id) of documents that hold an item (qid, item), joined on its first FIRST characters, all if it has fewer.
+
+    Documents are taken apart into characters once and give each run of that many once, and the empty one, which is an
+    empty item's key; common runs are dealt over tasks."""
+    some = items.withColumn("key", F.substring("item", 1, FIRST))
+    chars = docs.where("text IS NOT NULL").select("doc_id", F.split("text", "").alias("c"))
+    upto = F.filter(F.array(*[F.lit(k) for k in range(1, FIRST + 1)]), lambda k: k <= F.size("c"))
+    runs = F.flatten(F.transform(upto, lambda k: F.transform(F.sequence(F.lit(1), F.size("c") - k + 1), lambda i: F.array_join(F.slice("c", i, k), ""))))
+    held = stable(chars.select("doc_id", F.explode(F.array_distinct(F.array_append(runs, F.lit("")))).alias("key")).join(some.select("key").distinct(), "key", "left_semi"))
+    sizes = held.groupBy("key").agg(F.count("*").alias("n"))
+    met = spread_join(held, some.join(sizes, "key"), ["key"], held.count(), by="doc_id", many=True)
+    return met.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "item")).select("qid", "doc_id").distinct()
 
 
 @query("bm25_metrics", "WITH " + BM25.format(k=20) + ", run AS (SELECT * FROM bm), qrels AS (SELECT item_id AS qid, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))," + METRICS)

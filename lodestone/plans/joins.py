@@ -13,17 +13,18 @@ HOT = 256  # rows of one key that a task may meet, at the least
 HOT_KEYS = 100_000  # keys that may be hot: a larger table needs more rows of a key to make it one
 
 
-def spread_join(big: DataFrame, small: DataFrame, on: list[str], rows: int, n: str = "n", by: str | None = None, hot: int = HOT, hashed: bool = False) -> DataFrame:
+def spread_join(big: DataFrame, small: DataFrame, on: list[str], rows: int, n: str = "n", by: str | None = None, hot: int = HOT, hashed: bool = False, many: bool = False) -> DataFrame:
     """big joined with small (one row a key, with `n`, the rows that big has of it), hot keys dealt over many tasks.
 
     `rows` is the number of rows of big. A key is hot if it has more than max(hot, rows / HOT_KEYS) of them, so
     that at most HOT_KEYS keys are hot whatever the size of big: these alone are broadcast, to tell big's rows which
     of them take a salt (from column `by`, or at random places of the table). small's hot rows are repeated, one for
-    each salt. `hashed` keeps wide rows of big from being sorted: a partition of small must then fit a task. `n` is
-    dropped. Null keys match nothing."""
+    each salt. `hashed` keeps wide rows of big from being sorted: a partition of small must then fit a task. `many` allows
+    small several rows a key, all with the same `n`. `n` is dropped. Null keys match nothing."""
     most = max(hot, -(-rows // HOT_KEYS))
     salts = F.ceil(F.col(n) / F.lit(most)).cast("long")
-    few = small.where(F.col(n) > most).select(*on, salts.alias("__salts")).limit(HOT_KEYS)  # the bound, for the planner too
+    few = small.where(F.col(n) > most).select(*on, salts.alias("__salts"))
+    few = (few.distinct() if many else few).limit(HOT_KEYS)  # the bound, for the planner too
     turn = F.xxhash64(by) if by else F.monotonically_increasing_id()
     salted = big.join(F.broadcast(few), on, "left").withColumn("__salt", F.when(F.col("__salts").isNotNull(), F.pmod(turn, F.col("__salts"))).otherwise(F.lit(0).cast("long"))).drop("__salts")
     dealt = small.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(salts, F.lit(1)) - 1))).drop(n)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 from lodestone.operators import candidates as C
+from lodestone.operators import retrieval_queries
 from lodestone.operators.metrics_queries import p_index
 from lodestone.operators.retrieval_queries import bm25, metrics, verbatim
 from lodestone.operators import selection_queries as S
@@ -425,8 +426,12 @@ def test_concurrent_completer_in_tasks(spark):
     assert client.answer(requests.where("id <> 3")).count() == 49 and client.calls.where("hit").count() == 49
 
 
-def test_verbatim_finds_short_items(spark):
+@pytest.mark.parametrize("patterns", [500, 2])
+def test_verbatim_finds_short_items(spark, monkeypatch, patterns):
+    monkeypatch.setattr(retrieval_queries, "PATTERNS", patterns)
     docs = [(1, "foo bar baz qux. More words follow here"), (2, "xfoo barred"), (3, "one two three four five six"), (4, None)]
-    items = [(1, "foo bar baz qux"), (2, "foo bar"), (3, "qux"), (4, "two three four five si"), (5, " two three four "), (6, "nothing here"), (7, "three  four"), (8, None)]
+    items = [(1, "foo bar baz qux"), (2, "foo bar"), (3, "qux"), (4, "two three four five si"), (5, " two three four "), (6, "nothing here"), (7, "three  four"), (8, None), (9, "qux"), (10, "é"), (11, "fo"), (12, "")]
     got = verbatim(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "qid long, text string")).collect()
     assert sorted(map(tuple, got)) == sorted((q, d) for q, i in items for d, t in docs if i is not None and t is not None and i in t)
+    plan = verbatim(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "qid long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
