@@ -26,6 +26,7 @@ from lodestone.llm.shared import _to_arrow, cut, fan_out
 BLOCK = 2048  # candidates of a block
 QUERIES = 256  # queries of a block
 GROUP = 16  # candidate blocks of a group at most: what a task holds; fewer where that leaves cores idle
+HELD = 1 << 25  # bytes of a group's vectors and lists (16 a component) that a task holds
 STEP = 32  # rows read from every list between two looks at the threshold
 
 
@@ -129,24 +130,35 @@ def _search(k: int):
     return run
 
 
+def layout(dims: int) -> tuple[int, int, int]:
+    """(candidates of a block, blocks of a group, queries of a block) for vectors of that length, within HELD bytes.
+
+    A group holds at least one block of one vector: longer vectors make smaller blocks and more groups, not larger tasks."""
+    rows = max(1, HELD // (16 * max(1, dims)))
+    block = min(BLOCK, rows)
+    return block, min(GROUP, max(1, rows // block)), max(1, min(QUERIES, HELD // (32 * max(1, dims))))
+
+
 def search(candidates: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k best candidates other than its own id.
 
-    Both sides are (vec_id, x) of integers. Ties go to the smaller vec_id. Vectors of different lengths
+    Both sides are (vec_id, x) of integers; a task holds a number of bytes, whatever the length of vectors. Ties go to the smaller vec_id. Vectors of different lengths
     meet as if padded with zeros, however long; an empty one scores 0. A null vec_id or x takes no part. Candidates
     that repeat a row are separate results; a repeated query is one query. A query without candidates has no
     rows; empty tables give none. Other columns, whatever their names, are not read."""
     spark = candidates.sparkSession
     taken = lambda df: df.select("vec_id", "x").where("vec_id IS NOT NULL AND x IS NOT NULL")
     held = cut(taken(candidates), "vectors")
-    n, tasks = held.count(), 4 * fan_out(spark)
-    groups = max(1, min(-(-n // BLOCK), max(-(-n // (BLOCK * GROUP)), tasks)))
+    n, dims = held.agg(F.count("*"), F.max(F.size("x"))).first()
+    block, group, asking = layout(dims or 0)
+    tasks = 4 * fan_out(spark)
+    groups = max(1, min(-(-n // block), max(-(-n // (block * group)), tasks)))
     # places, not ids, are dealt: a repeated id cannot fill a group
     dealt = held.withColumn("g", F.pmod(F.monotonically_increasing_id(), F.lit(groups)))
     pack = "g long, kind int, ids binary, data binary, dims int"
-    blocks = dealt.repartition(min(groups, tasks), "g").sortWithinPartitions("g").mapInArrow(_blocks(BLOCK, 0), pack)
+    blocks = dealt.repartition(min(groups, tasks), "g").sortWithinPartitions("g").mapInArrow(_blocks(block, 0), pack)
     asked = taken(queries).dropDuplicates(["vec_id"]).withColumn("g", F.pmod(F.xxhash64("vec_id"), F.lit(fan_out(spark))))
-    asked = asked.repartition(fan_out(spark), "g").sortWithinPartitions("g").mapInArrow(_blocks(QUERIES, 1), pack)
+    asked = asked.repartition(fan_out(spark), "g").sortWithinPartitions("g").mapInArrow(_blocks(asking, 1), pack)
     asked = asked.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
     met = cut(blocks, "blocks").union(asked).repartition(min(groups, tasks), "g").sortWithinPartitions("g", "kind")
     found = met.mapInArrow(_search(k), "query_id long, vec_id long, score long")
