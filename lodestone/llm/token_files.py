@@ -42,17 +42,25 @@ def arrow_uri(path: str) -> str:
     return f"{SCHEMES.get(scheme, scheme)}://{rest}" if colon else path
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its scheme: one without is on Hadoop's default file system, as for Spark, not on a task's own disk."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    made = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+    return "file:///" + made[5:].lstrip("/") if made.startswith("file:") else made
+
+
 def _store(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(arrow_uri(path)) if ":" in path else (fs.LocalFileSystem(), path)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END, drops_space: bool = False, dtype: str = "<u2") -> str:
-    """Write docs (doc_id, text) under path, a URI, and return it.
+    """Write docs (doc_id, text) under path and return it as a URI; without a scheme it is on Hadoop's default file system.
 
     A null or empty text is a document of the end id alone; a text of any length is one document. Null doc_ids
     come first; rows that repeat a doc_id follow each other in the order of a hash of their text. An empty
     table makes an empty manifest. Other columns of docs, whatever their names, are not read."""
     spark, end = docs.sparkSession, np.array([end_id], dtype).tobytes()
+    path = qualified(spark, path)
     if end_id > np.iinfo(dtype).max:
         raise ValueError(f"end id {end_id} does not fit {dtype}")
     width = np.dtype(dtype).itemsize
@@ -111,6 +119,7 @@ class Flat:
 
 def read_tokens(spark: SparkSession, path: str, dtype: str = "<u2") -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files alone."""
+    path = qualified(spark, path)
     parts = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").orderBy("part").collect()  # a row a partition
     based, base = [], 0
     for p in parts:

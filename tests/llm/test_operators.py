@@ -769,6 +769,28 @@ def test_token_files_by_ranges(spark, docs, monkeypatch):
     assert token_files.arrow_uri("s3a://b/k") == "s3://b/k" and token_files.arrow_uri("/x") == "/x"
 
 
+def test_token_files_without_a_scheme(spark, docs, tmp_path):
+    """A bare path is qualified as Spark qualifies it, for the files as for the manifest."""
+    path = token_files.write_tokens(docs, str(tmp_path / "bare"), tokens.public_path("byte_bpe_50k.json"))
+    assert path == f"file://{tmp_path}/bare" == token_files.qualified(spark, path)
+    assert token_files.read_tokens(spark, str(tmp_path / "bare")).count() == docs.count()
+
+
+def test_topk_groups_are_bounded_by_bytes(spark, monkeypatch):
+    assert exact_topk.layout(64) == (2048, 16, 256)
+    for dims in (0, 1, 64, 1024, 4096, 1 << 30):
+        block, group, asked = exact_topk.layout(dims)
+        assert block * group * asked > 0 and (block * group * dims * 16 <= exact_topk.HELD or block * group == 1)
+    monkeypatch.setattr(exact_topk, "HELD", 16 * 4096 * 12)  # twelve vectors of 4,096 a group
+    rng = np.random.default_rng(4)
+    data = [(i, rng.integers(-3, 4, 4096).tolist()) for i in range(60)]
+    df = spark.createDataFrame(data, "vec_id long, x array<long>")
+    got = rows_of(exact_topk.search(df, df.where("vec_id % 20 = 0"), 3), "query_id", "rank", "vec_id", "score")
+    for q in (0, 20, 40):
+        best = sorted((-int(np.dot(data[q][1], x)), i) for i, x in data if i != q)[:3]
+        assert [(i, -s) for s, i in best] == [(v, s) for a, _, v, s in sorted(got) if a == q]
+
+
 def test_genetic_search_beats_best_fit():
     """Items in threes that fill a bin exactly: best fit by falling length wastes bins, crossover wins some back."""
     rng, lengths = random.Random(1), []
