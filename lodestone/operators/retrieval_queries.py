@@ -50,7 +50,13 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     hits = spread_join(some, q.join(idf, "token"), ["token"], some.count(), "df", by="doc_id", many=True).crossJoin(F.broadcast(stats.select("avgdl")))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = stable(_rank(hits.groupBy("qid", "doc_id").agg(F.sum(part).alias("score")), k).select("qid", "doc_id", "rank", "score"))
-    # a query with fewer than k matches has its other places among the first 2 k documents: at most k of those match
+    return with_zeros(scored, docs, queries, k)
+
+
+def with_zeros(scored: DataFrame, docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """scored (qid, doc_id, rank, score) and, for queries with fewer than k matches, documents of score 0, ids ascending.
+
+    A query's other places are among the first 2 k documents: at most k of those match."""
     short = queries.select("qid").distinct().join(scored.groupBy("qid").agg(F.count("*").alias("had")), "qid", "left").withColumn("had", F.coalesce("had", F.lit(0))).where(F.col("had") < k)
     early = F.broadcast(docs.select("doc_id").orderBy("doc_id").limit(2 * k))
     zero = short.crossJoin(early).join(scored.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti")

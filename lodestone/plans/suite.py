@@ -6,11 +6,13 @@ MODULES = (
     "lodestone.operators.text_queries",
     "lodestone.operators.metrics_queries",
     "lodestone.operators.retrieval_queries",
+    "lodestone.operators.impact_index",
     "lodestone.operators.selection_queries",
     "lodestone.operators.candidates",
     "lodestone.operators.report_queries",
     "lodestone.sources.files",
     "lodestone.streaming.usage",
+    "lodestone.streaming.writers",
 )
 
 
