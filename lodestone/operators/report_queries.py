@@ -13,7 +13,7 @@ from lodestone.operators.retrieval_queries import BM25, DENSE, _dense, _items, b
 from lodestone.operators.similarity import places, similar_topk
 from lodestone.operators.text_queries import MATCH
 from lodestone.plans.catalog import query
-from lodestone.plans.joins import stable
+from lodestone.plans.joins import spread_join, stable
 from lodestone.plans.tables import table
 
 # ---- pool quality and coverage --------------------------------------------------------------------------------------
@@ -262,6 +262,38 @@ def _sheet(spark, d):
     return out.select("conv_id", "turn", "kind", F.coalesce("canonical_question", F.lit("")).alias("canonical_question"), X.truncated(F.col("text"), 200).alias("question"), F.lit("").alias("fill_notes"))
 
 
+EVIDENCE = 4000  # characters of an evidence text that a person is shown
+
+
+def evidence_texts(items: DataFrame, passages: DataFrame, most: int = EVIDENCE) -> DataFrame:
+    """items (item, evidence: passage ids) with evidence as an array of (passage_id, text), in the item's own order.
+
+    passages (passage_id, text); blank ids are none, of a repeated id the largest text counts. An id without a passage, and a null
+    one, has an empty text; a longer text than `most` is cut there and ends in an ellipsis. Items are told apart by
+    `item`; no evidence is an empty list. A passage that many items cite is dealt over tasks."""
+    cited = stable(items.select("item", F.posexplode("evidence").alias("i", "passage_id")))
+    texts = passages.where("trim(passage_id) <> ''").groupBy("passage_id").agg(F.max(X.truncated(F.col("text"), most)).alias("text"))
+    named = cited.where("passage_id IS NOT NULL")
+    used = named.groupBy("passage_id").agg(F.count("*").alias("n")).join(texts, "passage_id", "left")
+    found = spread_join(named, used, ["passage_id"], cited.count(), by="item").unionByName(cited.where("passage_id IS NULL"), allowMissingColumns=True)
+    listed = found.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("i", "passage_id", F.coalesce("text", F.lit("")).alias("text")))).alias("e"))
+    plain = F.transform("e", lambda x: F.struct(x["passage_id"].alias("passage_id"), x["text"].alias("text")))
+    none = F.array().cast("array<struct<passage_id:string,text:string>>")
+    return items.drop("evidence").join(listed.select("item", plain.alias("evidence")), "item", "left").withColumn("evidence", F.coalesce("evidence", none))
+
+
+@query("audit_evidence", f"""WITH e AS (SELECT l_orderkey AS item, string_agg(l_partkey || '=' || CASE WHEN length(text) > {EVIDENCE} THEN substr(text, 1, {EVIDENCE}) || '…' ELSE coalesce(text, '') END, '|' ORDER BY l_linenumber, l_partkey) AS said, count(*) AS n, count(doc_id) AS n_found
+FROM lineitem LEFT JOIN (SELECT doc_id, max(text) AS text FROM documents GROUP BY doc_id) ON doc_id = l_partkey GROUP BY 1) SELECT o_orderkey AS item, coalesce(n, 0) AS n, md5(coalesce(said, '')) AS said FROM orders LEFT JOIN e ON item = o_orderkey""")
+def _audit_evidence(spark, d):
+    """Audit rows with the texts of their evidence: orders citing the documents of their parts' numbers, some of them unknown."""
+    order = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey")))
+    cites = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("item")).agg(F.transform(order, lambda x: x["l_partkey"].cast("string")).alias("evidence"))
+    items = table(spark, d, "orders").select(F.col("o_orderkey").alias("item")).join(cites, "item", "left")
+    got = evidence_texts(items, table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("passage_id"), "text"))
+    said = F.array_join(F.transform("evidence", lambda e: F.concat(e["passage_id"], F.lit("="), e["text"])), "|")
+    return got.select("item", F.size("evidence").cast("long").alias("n"), F.md5(said).alias("said"))
+
+
 @query("evidence_list", f"WITH {QA} SELECT o_orderkey AS item, string_agg(p_brand, '|' ORDER BY l_linenumber, l_partkey) AS units FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY o_orderkey")
 def _evidence_list(spark, d):
     """An item's evidence with its metadata, in the item's own order."""

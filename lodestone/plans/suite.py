@@ -10,6 +10,7 @@ MODULES = (
     "lodestone.operators.selection_queries",
     "lodestone.operators.candidates",
     "lodestone.operators.report_queries",
+    "lodestone.operators.batches",
     "lodestone.sources.files",
     "lodestone.streaming.usage",
     "lodestone.streaming.writers",
