@@ -7,6 +7,7 @@ MODULES = (
     "lodestone.operators.metrics_queries",
     "lodestone.operators.retrieval_queries",
     "lodestone.operators.impact_index",
+    "lodestone.operators.encoder",
     "lodestone.operators.selection_queries",
     "lodestone.operators.candidates",
     "lodestone.operators.report_queries",
