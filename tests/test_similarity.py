@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
+from lodestone.operators.report_queries import jaccard_pairs
 from lodestone.operators.similarity import places, similar_topk
 
 ROWS = "g string, id long, asked boolean, s array<string>, words string, n int"
@@ -76,3 +77,12 @@ def test_places(spark):
     rows = [("a", i) for i in range(500, 0, -1)] + [("b", 7), (None, 1)]
     at = {(r["g"], r["id"]): (r["place"], r["size"]) for r in places(spark.createDataFrame([r for r in rows if r[0]], "g string, id long")).collect()}
     assert at == {("a", i): (i, 500) for i in range(1, 501)} | {("b", 7): (1, 1)}
+
+
+def test_jaccard_pairs_gives_every_pair_that_shares_a_word(spark):
+    """More sets share a word than a block or a list of ten holds: each pair is there once, a < b."""
+    rng = random.Random(3)
+    rows = [(i, sorted({"all", *(f"w{rng.randrange(40)}" for _ in range(rng.randrange(6)))})) for i in range(300)] + [(300, ["alone"]), (301, []), (302, None)]
+    got = {(r["a"], r["b"]): round(r["jaccard"], 9) for r in jaccard_pairs(spark.createDataFrame(rows, "id long, s array<string>")).collect()}
+    sets = {i: set(s or []) for i, s in rows}
+    assert got == {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 9) for a in sets for b in sets if a < b and sets[a] & sets[b]}
