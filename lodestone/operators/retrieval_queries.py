@@ -5,8 +5,12 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from lodestone.functions import text as X
@@ -17,7 +21,7 @@ from lodestone.plans.tables import table
 
 K1, B, EPSILON = 1.5, 0.75, 0.25  # fixed values: the usual Okapi constants
 TOP = 20
-QUERY_BLOCK = 64
+QUERY_BLOCK, CELL = 64, 4096  # queries whose scores a task holds together; queries, and vectors, of one cell
 
 
 def _rank(df: DataFrame, k: int) -> DataFrame:
@@ -99,20 +103,54 @@ def unit(c):
     return F.when(length > 0, F.transform(wide, lambda x: x / length)).otherwise(wide)
 
 
+def _matrix(c: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors at unit length as rows, those shorter than the longest filled up with zeros, and the length each had; -1 if it is null or holds a null."""
+    c = c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
+    sizes = np.where(pc.is_null(c).to_numpy(zero_copy_only=False), -1, pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False))
+    flat, at = c.flatten(), np.repeat(np.arange(len(c)), np.maximum(sizes, 0))
+    m = np.zeros((len(c), max(1, int(sizes.max(initial=0)))))
+    m[at, np.arange(len(flat)) - np.repeat(np.cumsum(np.maximum(sizes, 0)) - np.maximum(sizes, 0), np.maximum(sizes, 0))] = flat.cast(pa.float64()).fill_null(0.0).to_numpy(zero_copy_only=False)
+    sizes[at[pc.is_null(flat).to_numpy(zero_copy_only=False)]] = -1
+    length = np.sqrt((m * m).sum(1))
+    return np.divide(m, length[:, None], out=m, where=(length > 0)[:, None]), sizes
+
+
+def _best(queries: pa.Table, vectors: pa.Table, k: int, kinds: pa.Schema) -> pa.Table:
+    """The k best of a cell's vectors for each of its queries, by score in nine digits, then id; a null score comes last."""
+    if not queries.num_rows or not vectors.num_rows:
+        return kinds.empty_table()
+    (q, q_size), (v, v_size) = _matrix(queries["asked"]), _matrix(vectors["vector"])
+    qid, doc = (t[c].to_numpy() for t, c in ((queries, "qid"), (vectors, "doc_id")))
+    wide, found = max(q.shape[1], v.shape[1]), []
+    q, v = (np.pad(m, ((0, 0), (0, wide - m.shape[1]))) for m in (q, v))
+    for i in range(0, len(q), QUERY_BLOCK):
+        scores = q[i : i + QUERY_BLOCK] @ v.T
+        for j, row in enumerate(scores, i):
+            none = (v_size != q_size[j]) | (v_size < 0)
+            order = np.where(none, -np.inf, np.where(np.isnan(row), np.inf, np.round(row, 9)))
+            own = np.flatnonzero(doc != qid[j])
+            if len(own) > k:
+                own = own[order[own] >= np.partition(order[own], len(own) - k)[len(own) - k]]
+            own = own[np.lexsort((doc[own], -order[own]))[:k]]
+            found.append((np.full(len(own), qid[j]), doc[own], row[own], none[own]))
+    a, b, c, none = (np.concatenate(x) for x in zip(*found, strict=True))
+    return pa.table([pa.array(a, kinds.field(0).type), pa.array(b, kinds.field(1).type), pa.array(c, pa.float64(), mask=none)], schema=kinds)
+
+
 def dense(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(qid, doc_id, rank, score): a stated query set against all vectors, in blocks of QUERY_BLOCK queries.
-
-    A block of queries travels as one row to every partition bucket of vectors; scores stay in the JVM. Vectors
-    are taken at unit length, as cosine similarity wants; one of zeros scores 0."""
-    vectors, queries = vectors.withColumn("embedding", unit(F.col("embedding"))), queries.withColumn("embedding", unit(F.col("embedding")))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    block = queries.select(F.pmod(F.xxhash64("qid"), F.lit(n)).alias("b"), F.struct("qid", F.col("embedding").alias("q")).alias("one"), (F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("qid"), F.lit(n))).orderBy("qid")) / QUERY_BLOCK).cast("int").alias("part"))
-    block = block.groupBy("b", "part").agg(F.collect_list("one").alias("block")).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>")))
-    dealt = vectors.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(n)))
-    pairs = dealt.join(block, "g").select("doc_id", "embedding", F.explode("block").alias("one"))
-    scored = pairs.where(F.col("one.qid") != F.col("doc_id")).select(F.col("one.qid").alias("qid"), "doc_id", dot(F.col("embedding"), F.col("one.q")).alias("score"))
-    return _rank(scored, k)
+    """(qid, doc_id, rank, score): a stated query set against all vectors, exactly, in cells of about CELL queries and CELL vectors.
+
+    vectors (doc_id, embedding), queries (qid, embedding), ids of the same kind of integer. A cell is one matrix product, and
+    gives k rows a query; so no task and no broadcast holds either side. Vectors are taken at unit length, as cosine similarity
+    wants; one of zeros scores 0, one that is null, holds a null or is of another length has a null score and comes last."""
+    n_v, n_q = (max(1, -(-df.count() // CELL)) for df in (vectors, queries))
+    turn = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    v = vectors.where("doc_id IS NOT NULL").select("doc_id", F.col("embedding").alias("vector"), turn("doc_id", n_v).alias("v"), every(n_q).alias("q"))
+    q = queries.where("qid IS NOT NULL").select("qid", F.col("embedding").alias("asked"), turn("qid", n_q).alias("q"), every(n_v).alias("v"))
+    kinds = to_arrow_schema(StructType([queries.schema["qid"], vectors.schema["doc_id"], StructField("score", DoubleType())]))
+    cells = q.groupBy("q", "v").cogroup(v.groupBy("q", "v")).applyInArrow(lambda a, b: _best(a, b, k, kinds), from_arrow_schema(kinds))
+    return _rank(cells, k).select("qid", "doc_id", "score", "rank")
 
 
 DENSE = """
