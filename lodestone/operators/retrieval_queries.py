@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from lodestone.functions import text as X
 from lodestone.operators.similarity import similar_topk
 from lodestone.plans.catalog import query
-from lodestone.plans.joins import spread_join, stable
+from lodestone.plans.joins import spread_join, stable, written
 from lodestone.plans.tables import table
 
 K1, B, EPSILON = 1.5, 0.75, 0.25  # fixed values: the usual Okapi constants
@@ -31,29 +31,55 @@ def _rank(df: DataFrame, k: int) -> DataFrame:
 
 def bm25_idf(tf: DataFrame, n_docs: DataFrame) -> DataFrame:
     """(token, df, idf) from (doc_id, token, tf): negative weights are floored at a share of the mean weight."""
-    df = tf.groupBy("token").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n_docs))  # n_docs is one row
-    raw = df.withColumn("raw", F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
+    return idf_of(tf.groupBy("token").agg(F.count("*").alias("df")), n_docs)
+
+
+def idf_of(df: DataFrame, n_docs: DataFrame) -> DataFrame:
+    """(token, df, idf) from (token, df)."""
+    raw = df.crossJoin(F.broadcast(n_docs)).withColumn("raw", F.ln(F.col("n_docs") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))  # one row
     return raw.crossJoin(F.broadcast(mean)).select("token", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
+def postings(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(doc_id, token, tf, dl) of docs (doc_id, text), dealt by document: what is grouped by document is not dealt again.
+
+    Texts are dealt, not postings, which are several times as large. `only`, a bounded table of tokens, leaves out others."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = docs.select("doc_id", "text").repartition(n, "doc_id").select("doc_id", X.tokens_alnum(F.col("text")).alias("w"))
+    each = words.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("token"))
+    each = each if only is None else each.join(F.broadcast(only.select("token").distinct()), "token", "left_semi")
+    return each.groupBy("doc_id", "token").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
+
+
+def bm25_stats(docs: DataFrame, tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(stats, idf) of docs: stats is one row (n_docs, avgdl), idf (token, df, idf) of `tokens`, its mean weight that of all tokens."""
+    per = docs.groupBy("doc_id").agg(F.max(F.size(X.tokens_alnum(F.col("text")))).alias("dl"))
+    stats = written(per.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")), "stats")  # one row
+    df = written(postings(docs).groupBy("token").agg(F.count("*").alias("df")), "df")
+    return stats, written(idf_of(df, stats.select("n_docs")).join(tokens.select("token").distinct(), "token"), "idf")
+
+
+ASKED = 200_000  # tokens of queries that one pass over the documents answers: they are broadcast
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     """(qid, doc_id, rank, score) of the k best documents; those without a match score 0, in the order of their ids.
 
-    docs (doc_id, text), queries (qid, text). An inverted index joined on query tokens: cost follows matching
-    postings, never queries times documents. Texts are tokenised once; the postings are written once, of which the
-    join keeps those of query tokens, the postings of common ones dealt over many tasks."""
-    words = docs.select("doc_id", X.tokens_alnum(F.col("text")).alias("w"))
-    # an empty text keeps one posting of no token, so that it counts as a document
-    tf = stable(words.select("doc_id", F.size("w").alias("dl"), F.explode_outer("w").alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("tf"), F.max("dl").alias("dl")))
-    lengths = tf.groupBy("doc_id").agg(F.max("dl").alias("dl"))
-    stats = lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))  # one row
-    some = tf.where("token IS NOT NULL")
-    idf = bm25_idf(some, stats.select("n_docs"))
-    q = queries.select("qid", F.explode(X.tokens_alnum(F.col("text"))).alias("token")).groupBy("qid", "token").agg(F.count("*").alias("qtf"))
-    hits = spread_join(some, q.join(idf, "token"), ["token"], some.count(), "df", by="doc_id", many=True).crossJoin(F.broadcast(stats.select("avgdl")))
+    docs (doc_id, text), queries (qid, text). Documents are dealt by their id, and the tokens of up to ASKED query words meet
+    each part: a document's matches are made and summed where it is, and only a part's k best of a query travel. More
+    queries take more passes. Cost follows matching postings, never queries times documents, and no postings are kept."""
+    q = written(queries.select("qid", F.explode(X.tokens_alnum(F.col("text"))).alias("token")).groupBy("qid", "token").agg(F.count("*").alias("qtf")), "asked")
+    stats, idf = bm25_stats(docs, q)
+    asked = written(q.join(idf.drop("df"), "token"), "weighed")
+    passes = max(1, -(-asked.count() // ASKED))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = stable(_rank(hits.groupBy("qid", "doc_id").agg(F.sum(part).alias("score")), k).select("qid", "doc_id", "rank", "score"))
+    scored = None
+    for i in range(passes):
+        some = F.broadcast(asked.where(F.pmod(F.xxhash64("qid"), F.lit(passes)) == i))  # about ASKED rows
+        hits = postings(docs, some).join(some, "token").crossJoin(F.broadcast(stats.select("avgdl")))
+        best = written(_rank(hits.groupBy("qid", "doc_id").agg(F.sum(part).alias("score")), k).select("qid", "doc_id", "rank", "score"), "best")
+        scored = best if scored is None else scored.union(best)
     return with_zeros(scored, docs, queries, k)
 
 

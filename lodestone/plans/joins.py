@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +60,28 @@ def stable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """What is written inside the block leaves no shuffle files behind, instead of keeping them until a garbage collection."""
+    was = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, was)
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """df as compressed columns in the shared folder, its shuffle files freed: for tables too large for `stable`."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    with shuffles_freed(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def running_sum(df: DataFrame, order: list[str], value: str | Column, name: str) -> DataFrame:
     """df with `name`: the sum of `value` over all rows up to and with each, in the ascending order of columns `order`.
 
