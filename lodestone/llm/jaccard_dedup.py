@@ -180,9 +180,11 @@ def similar_links(sets: DataFrame, similar: tuple[int, int] = SIMILAR, cell: int
     return _links_in(sets.select(F.col("root").alias("group"), "node", "found"), sizes, sets.count(), partial(_forest_bytes, similar=similar))
 
 
-def similar_groups(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def similar_groups(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR, doc_id: str = "doc_id", text: str = "text", found: DataFrame | None = None) -> DataFrame:
     """(doc_id, component_id), one row a row of docs: documents joined by chains of pairs of at least the similarity.
 
+    `found` (doc_id, component_id) are groups that another method found: their documents are compared by their sets too.
+
     Null or wordless texts are one class; a very long text is read whole. Rows that repeat a doc_id each get their
     row. A null doc_id gets its class's component and never names one; a class in which every doc_id is null forms no links and has a null
     component_id. An empty table gives no rows. Other columns of docs are not read."""
@@ -202,7 +204,13 @@ def similar_groups(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int]
     n_marks, n_classes = marks.count(), classes.count()
     own = spread_join(named, classes.withColumnRenamed("h", "own"), ["node"], n_marks, by="doc_id").where("doc_id = rep AND h = own")
     held = cut(own.dropDuplicates(["node"]).select("node", "keys", "sketch"), "keys")
-    coarse = components(like_links(held.select("node", F.explode(F.array_distinct("keys")).alias("key")), held.select("node", "sketch")))
+    links = like_links(held.select("node", F.explode(F.array_distinct("keys")).alias("key")), held.select("node", "sketch"))
+    if found is not None:
+        members = named.select("doc_id", "node").distinct().join(found.select("doc_id", F.col("component_id").alias("group")).distinct(), "doc_id").select("group", "node").distinct()
+        members = cut(members.join(held.select("node"), "node"), "members")
+        first = members.groupBy("group").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1")
+        links = links.union(spread_join(members, first, ["group"], n_marks, by="node").select(F.col("node").alias("a"), "b"))
+    coarse = components(links)
     coarse = coarse.union(coarse.select("root", "root").distinct())  # components leave out the roots themselves
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -171,11 +171,12 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame, width: int = WIDTH, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """docs without all but one document of each near-duplicate group: the one with the smallest doc_id.
 
-    Near-duplicates are documents whose sets of `width`-word shingles have a Jaccard similarity of `similar` (a
-    fraction) at least, or a chain of such; op1's fingerprints have no part in it.
+    Candidates are the groups of op1's fingerprints within 3 bits, and those that MinHash bands add to them: fingerprints
+    alone miss most pairs near the bound. An exact check follows: near-duplicates are documents whose sets of `width`-word
+    shingles have a Jaccard similarity of `similar` (a fraction) at least, or a chain of such.
 
     Rows that repeat the kept doc_id all stay; rows with a null doc_id stay. Null and empty texts are one group;
     long texts count whole. An empty table gives an empty one. All columns of docs stay, whatever their names, but
     for `__doc`."""
-    groups = similar_groups(docs, width, similar).select(F.col("doc_id").alias("__doc"), "component_id").where("component_id < __doc").select("__doc").distinct()
+    groups = similar_groups(docs, width, similar, found=near_groups(docs)).select(F.col("doc_id").alias("__doc"), "component_id").where("component_id < __doc").select("__doc").distinct()
     return docs.join(groups, docs.doc_id == groups["__doc"], "left_anti")

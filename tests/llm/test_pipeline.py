@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lodestone.llm import packing, quality_rules, tokens
+from lodestone.llm import jaccard_dedup, near_dedup, packing, quality_rules, tokens
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, found int, words string"
@@ -163,3 +163,14 @@ def test_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "")
         assert docs.count() == 0
+
+
+def test_near_duplicates_takes_the_groups_of_fingerprints(spark, monkeypatch):
+    """Pairs within 3 bits are candidates of their own, whatever the bands find; the sets still decide."""
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(5000)}" for _ in range(500)]
+    near = next(t for i in range(100, 400) if (t := base[:i] + ["other"] + base[i + 1 :]) and (near_dedup.fingerprint(" ".join(t).encode()) ^ near_dedup.fingerprint(" ".join(base).encode())).bit_count() <= 3)
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(base[::-1]))], "doc_id long, text string")
+    monkeypatch.setattr(jaccard_dedup, "like_links", lambda keys, sketches: spark.createDataFrame([], "a long, b long"))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [1, 3]
+    assert sorted(r["doc_id"] for r in near_dedup.keep_one(docs, similar=(1, 1)).collect()) == [1, 2, 3]
