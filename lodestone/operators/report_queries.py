@@ -13,7 +13,7 @@ from lodestone.operators.retrieval_queries import BM25, DENSE, _dense, _items, b
 from lodestone.operators.similarity import places, similar_topk
 from lodestone.operators.text_queries import MATCH
 from lodestone.plans.catalog import query
-from lodestone.plans.joins import HOT, spread_join, stable
+from lodestone.plans.joins import HOT, spread_join, stable, written
 from lodestone.plans.tables import table
 
 # ---- pool quality and coverage --------------------------------------------------------------------------------------
@@ -271,7 +271,7 @@ def evidence_texts(items: DataFrame, passages: DataFrame, most: int = EVIDENCE)
     passages (passage_id, text); blank ids are none, of a repeated id the largest text counts. An id without a passage, and a null
     one, has an empty text; a longer text than `most` is cut there and ends in an ellipsis. Items are told apart by
     `item`; no evidence is an empty list. A passage that many items cite is dealt over tasks."""
-    cited = stable(items.select("item", F.posexplode("evidence").alias("i", "passage_id")))
+    cited = written(items.select("item", F.posexplode("evidence").alias("i", "passage_id")), "cited")
     texts = passages.where("trim(passage_id) <> ''").groupBy("passage_id").agg(F.max(X.truncated(F.col("text"), most)).alias("text"))
     named = cited.where("passage_id IS NOT NULL")
     used = named.groupBy("passage_id").agg(F.count("*").alias("n")).join(texts, "passage_id", "left")
@@ -282,16 +282,33 @@ def evidence_texts(items: DataFrame, passages: DataFrame, most: int = EVIDENCE)
     return items.drop("evidence").join(listed.select("item", plain.alias("evidence")), "item", "left").withColumn("evidence", F.coalesce("evidence", none))
 
 
+SLICE = 2 << 30  # bytes of evidence texts, about, that are on their way to items at a time
+
+
+def evidence_slices(items: DataFrame, passages: DataFrame, most: int = EVIDENCE) -> list[DataFrame]:
+    """evidence_texts of all items, in parts of about SLICE bytes of texts, for results that are made and written part by part.
+
+    A text travels once for each item that cites it, so that all together are many times the passages. Every item is in one part."""
+    named = items.select(F.explode("evidence").alias("passage_id")).groupBy("passage_id").agg(F.count("*").alias("n"))
+    sizes = passages.groupBy("passage_id").agg(F.max(F.octet_length(X.truncated(F.col("text"), most))).alias("bytes"))
+    total = named.join(sizes, "passage_id").agg(F.sum(F.col("n") * F.col("bytes")).alias("bytes")).first()["bytes"] or 0
+    n = max(1, -(-int(total) // SLICE))
+    return [evidence_texts(items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == i), passages, most) for i in range(n)]
+
+
 @query("audit_evidence", f"""WITH e AS (SELECT l_orderkey AS item, string_agg(l_partkey || '=' || CASE WHEN length(text) > {EVIDENCE} THEN substr(text, 1, {EVIDENCE}) || '…' ELSE coalesce(text, '') END, '|' ORDER BY l_linenumber, l_partkey) AS said, count(*) AS n, count(doc_id) AS n_found
 FROM lineitem LEFT JOIN (SELECT doc_id, max(text) AS text FROM documents GROUP BY doc_id) ON doc_id = l_partkey GROUP BY 1) SELECT o_orderkey AS item, coalesce(n, 0) AS n, md5(coalesce(said, '')) AS said FROM orders LEFT JOIN e ON item = o_orderkey""")
 def _audit_evidence(spark, d):
     """Audit rows with the texts of their evidence: orders citing the documents of their parts' numbers, some of them unknown."""
     order = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey")))
     cites = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("item")).agg(F.transform(order, lambda x: x["l_partkey"].cast("string")).alias("evidence"))
-    items = table(spark, d, "orders").select(F.col("o_orderkey").alias("item")).join(cites, "item", "left")
-    got = evidence_texts(items, table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("passage_id"), "text"))
+    items = written(table(spark, d, "orders").select(F.col("o_orderkey").alias("item")).join(cites, "item", "left"), "items")
     said = F.array_join(F.transform("evidence", lambda e: F.concat(e["passage_id"], F.lit("="), e["text"])), "|")
-    return got.select("item", F.size("evidence").cast("long").alias("n"), F.md5(said).alias("said"))
+    out = None
+    for part in evidence_slices(items, table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("passage_id"), "text")):
+        done = written(part.select("item", F.size("evidence").cast("long").alias("n"), F.md5(said).alias("said")), "said")
+        out = done if out is None else out.union(done)
+    return out
 
 
 @query("evidence_list", f"WITH {QA} SELECT o_orderkey AS item, string_agg(p_brand, '|' ORDER BY l_linenumber, l_partkey) AS units FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY o_orderkey")

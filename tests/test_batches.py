@@ -68,3 +68,14 @@ def test_evidence_texts(spark):
     got = {r["item"]: [(e["passage_id"], e["text"]) for e in r["evidence"]] for r in R.evidence_texts(items, passages, 10).collect()}
     assert got[1] == [("b", "B"), ("a", "A"), ("b", "B"), ("zz", ""), (None, "")] and got[2] == got[3] == []
     assert got[4][0][0] == "long" and got[4][0][1].startswith("x" * 9) and len(got[4][0][1]) <= 11
+
+
+def test_evidence_in_slices(spark, monkeypatch):
+    """Each item is in one part, with what it has when all are made together; a part's texts are bounded."""
+    items = spark.createDataFrame([(i, [str(i % 7), str((i + 1) % 7), "none"]) for i in range(60)] + [(100, None)], "item long, evidence array<string>")
+    passages = spark.createDataFrame([(str(i), "x" * 100) for i in range(7)], "passage_id string, text string")
+    whole = sorted((r["item"], r["evidence"]) for r in R.evidence_texts(items, passages).collect())
+    monkeypatch.setattr(R, "SLICE", 4000)
+    parts = [p.collect() for p in R.evidence_slices(items, passages)]
+    assert len(parts) == 3 and all(parts)
+    assert sorted((r["item"], r["evidence"]) for p in parts for r in p) == whole
