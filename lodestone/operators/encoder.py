@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 from lodestone.plans.catalog import query
-from lodestone.plans.joins import spread_join, stable
+from lodestone.plans.joins import spread_join, written
 from lodestone.plans.tables import table
 
 DIMS, ROUNDS = 64, 3
@@ -71,28 +71,28 @@ def _turned(v: Column, m: np.ndarray) -> Column:
 def fit(texts: DataFrame, dims: int = DIMS, rounds: int = ROUNDS) -> DataFrame:
     """A model (token, n, idf, v) of texts (id, text): n texts hold the token, v are `dims` numbers, fewer if the corpus has no
     more directions. Tokens of one text only are left out: no other text can be found by them. Reruns agree."""
-    counts = stable(_counts(texts))
+    counts = written(_counts(texts))
     total = texts.select("id").distinct().agg(F.count("*").alias("n_texts"))  # one row
-    idf = stable(counts.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").crossJoin(F.broadcast(total)).select("token", "n", F.ln((F.col("n_texts") + 1) / F.col("n")).alias("idf")))
+    idf = written(counts.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").crossJoin(F.broadcast(total)).select("token", "n", F.ln((F.col("n_texts") + 1) / F.col("n")).alias("idf")))
     rows = counts.count()
-    w = stable(_weights(counts, idf, rows))
+    w = written(_weights(counts, idf, rows))
     start = F.transform(F.sequence(F.lit(1), F.lit(dims)), lambda i: F.pmod(F.xxhash64("token", i), F.lit(1 << 20)) / float(1 << 19) - 1.0)
     basis = idf.select("token", "n", start.alias("v"))
     for _ in range(rounds):
         texts_v = _summed(spread_join(w.drop("n"), basis, ["token"], rows, by="id"), "id", dims)
-        back = stable(_summed(w.drop("n").join(texts_v, "id"), "token", dims))
+        back = written(_summed(w.drop("n").join(texts_v, "id"), "token", dims))
         values, vectors = np.linalg.eigh(_gram(back, dims))
         kept = values > RANK * max(values.max(initial=0.0), 1e-300)
         if not kept.any():
             return idf.select("token", "n", "idf", F.array().cast("array<double>").alias("v")).limit(0)
         turn, dims = vectors[:, kept] / np.sqrt(values[kept]), int(kept.sum())
-        basis = stable(back.select("token", _turned(F.col("v"), turn).alias("v")).join(idf.select("token", "n"), "token"))
+        basis = written(back.select("token", _turned(F.col("v"), turn).alias("v")).join(idf.select("token", "n"), "token"))
     return basis.join(idf.drop("n"), "token").select("token", "n", "idf", "v")
 
 
 def encode(texts: DataFrame, model: DataFrame) -> DataFrame:
     """(id, embedding) of texts (id, text) at unit length; a text without a token of the model is an empty array."""
-    counts = stable(_counts(texts))
+    counts = written(_counts(texts))
     rows = counts.count()
     dims = (model.agg(F.max(F.size("v")).alias("d")).first()["d"]) or 0
     # hot keys are those of the texts to encode, so that their own counts decide what is dealt

@@ -63,3 +63,10 @@ def test_recall_beats_hashed_counts(spark):
     model = stable(E.fit(docs, R.DIMS))
     learned = recall(*[stable(E.encode(x, model).where("size(embedding) > 0")) for x in (docs, items)])
     assert learned > recall(R.hashed_vectors(docs), R.hashed_vectors(items))
+
+
+def test_what_is_kept_is_columns(spark):
+    """Counts, weights and bases are kept as compressed columns, a few times smaller than checkpointed rows."""
+    model = E.fit(spark.createDataFrame(corpus(), "id long, text string"), 3, 1)
+    plan = model._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "ExistingRDD" not in plan
