@@ -1,16 +1,19 @@
-"""Coverage-aware selection: the exact sequential greedy, one task a pool and setting, and threshold rounds for scale."""
+"""Coverage-aware selection: the sequential greedy, the same over pools of any size, and threshold rounds."""
 
 from __future__ import annotations
 
 import heapq
 import math
+import pickle
 from collections import defaultdict
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestone.operators.blocks import COMMON, greedy_in_batches
 from lodestone.operators.candidates import inverse_agreement
 from lodestone.operators.metrics_queries import QA, qa_evidence
 from lodestone.operators.retrieval_queries import _items, verbatim
@@ -19,7 +22,7 @@ from lodestone.plans.catalog import query
 from lodestone.plans.joins import stable
 from lodestone.plans.tables import table
 
-COMMON = 200  # postings from which a token no longer counts towards redundancy
+MOST = 256  # items of a pool that a task passes on, of which the next picks are taken
 #: Weights of new documents, new units, a new reason, and of likeness to what is picked.
 SETTINGS = {
     "main": (1.0, 1.0, 0.5, 0.2),
@@ -87,18 +90,31 @@ def greedy(docs: list, units: list, reasons: list, tokens: list, unknown: list,
     return picked
 
 
-def select(pool: DataFrame, group: str, n: int, order: list | None = None, **settings) -> DataFrame:
-    """pool (group, item, pids, units, reason, words, unknown) -> (group, item, rank, gain).
+def _picks(states: DataFrame, group: str) -> DataFrame:
+    """(group, item, rank, gain) from the pools' states."""
 
-    A pool is one task: it must fit its memory, as codes. Ties go by `order`, an item's own number by default."""
+    def run(frames):
+        for pdf in frames:
+            for g, state in zip(pdf[group], pdf["state"], strict=True):
+                picks = pickle.loads(state)["picks"]
+                yield pd.DataFrame({group: [g] * len(picks), "item": [p["key"][-1] for p in picks], "rank": range(1, len(picks) + 1), "gain": [round(p["gain"], 6) for p in picks]})
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order or ["item"]).reset_index(drop=True)
-        got = greedy(pdf["pids"].tolist(), pdf["units"].tolist(), pdf["reason"].tolist(), pdf["words"].tolist(), pdf["unknown"].tolist(), n, **settings)
-        at = [i for i, _ in got]
-        return pd.DataFrame({group: pdf[group].iloc[at].values, "item": pdf["item"].iloc[at].values, "rank": range(1, len(at) + 1), "gain": [round(g, 6) for _, g in got]})
+    return states.select(group, "state").mapInPandas(run, f"{group} {states.schema[group].dataType.simpleString()}, item long, rank int, gain double")
 
-    return pool.groupBy(group).applyInPandas(run, f"{group} string, item long, rank int, gain double")
+
+def select_each(pool: DataFrame, group: str, n: int, weights: list[tuple], order: list | None = None, least_unknown: float = 0.0, most: int = MOST) -> list[DataFrame]:
+    """select() for each of the weights, over one packing of the pool."""
+    return [_picks(states, group) for states in greedy_in_batches(pool, group, n, order or ["item"], weights, least_unknown, most)]
+
+
+def select(pool: DataFrame, group: str, n: int, order: list | None = None, weights: tuple = SETTINGS["main"], least_unknown: float = 0.0, most: int = MOST) -> DataFrame:
+    """pool (group, item, pids, units, reason, words, unknown) -> (group, item, rank, gain): what greedy() picks of each
+    pool, pick by pick, for pools that no task holds.
+
+    Ties go by `order`, whole numbers that end with the item (the item alone by default). See blocks.greedy_in_batches.
+    Values that are not whole numbers are told apart by 64-bit hashes. greedy() takes gains that differ by less than 1e-12
+    for equal; here they differ."""
+    return select_each(pool, group, n, [weights], order, least_unknown, most)[0]
 
 
 def _likeness(items: DataFrame, picked: DataFrame, postings: DataFrame) -> DataFrame:
@@ -181,11 +197,8 @@ def _select(spark, d):
 
 @query("select_ablations")
 def _ablations(spark, d):
-    pool, out = _pool(spark, d), None
-    for name, weights in SETTINGS.items():
-        one = select(pool, "pool", 50, weights=weights).withColumn("setting", F.lit(name))
-        out = one if out is None else out.union(one)
-    return out
+    each = select_each(_pool(spark, d), "pool", 50, list(SETTINGS.values()))
+    return reduce(DataFrame.union, (one.withColumn("setting", F.lit(name)) for name, one in zip(SETTINGS, each, strict=True)))
 
 
 @query("select_unknown_first")
@@ -196,8 +209,10 @@ def _unknown(spark, d):
 @query("select_b1")
 def _b1(spark, d):
     """Documents first, without regard to unknownness; ties in the order of a hash."""
-    pool = _pool(spark, d).withColumn("turn", F.md5(F.concat(F.lit("b1"), F.col("item").cast("string"))))
-    return select(pool, "pool", 50, order=["turn", "item"], weights=SETTINGS["doc_only"])
+    turn = F.md5(F.concat(F.lit("b1"), F.col("item").cast("string")))
+    half = lambda start: F.conv(F.substring(turn, start, 16), 16, -10).cast("long").bitwiseXOR(F.lit(-(1 << 63)))  # noqa: E731  (ascending as the digits are)
+    pool = _pool(spark, d).withColumn("turn", half(1)).withColumn("rest", half(17))
+    return select(pool, "pool", 50, order=["turn", "rest", "item"], weights=SETTINGS["doc_only"])
 
 
 @query("select_unit_first")
