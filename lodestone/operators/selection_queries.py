@@ -11,15 +11,13 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from lodestone.operators.blocks import COMMON, greedy_in_batches
+from lodestone.operators.blocks import COMMON, greedy_in_batches, rounds_in_passes
 from lodestone.operators.candidates import inverse_agreement
 from lodestone.operators.metrics_queries import QA, qa_evidence
 from lodestone.operators.retrieval_queries import _items, verbatim
 from lodestone.operators.text_queries import SALIENCE, salience
 from lodestone.plans.catalog import query
-from lodestone.plans.joins import stable
 from lodestone.plans.tables import table
 
 MOST = 256  # items of a pool that a task passes on, of which the next picks are taken
@@ -117,18 +115,7 @@ def select(pool: DataFrame, group: str, n: int, order: list | None = None, weigh
     return select_each(pool, group, n, [weights], order, least_unknown, most)[0]
 
 
-def _likeness(items: DataFrame, picked: DataFrame, postings: DataFrame) -> DataFrame:
-    """(pool, item, like): the largest Jaccard similarity of items (pool, item, words) to newly picked ones that share a
-    token of at most COMMON postings; postings (pool, token, postings) counts all picked items."""
-    rare = postings.where(F.col("postings") <= COMMON).drop("postings")
-    new = picked.select("pool", F.explode(F.array_distinct("words")).alias("token"), F.col("words").alias("theirs")).join(rare, ["pool", "token"])
-    own = items.select("pool", "item", F.explode(F.array_distinct("words")).alias("token"), "words")
-    both = F.size(F.array_intersect("words", "theirs"))
-    like = both / (F.size(F.array_distinct("words")) + F.size(F.array_distinct("theirs")) - both)
-    return own.join(new, ["pool", "token"]).groupBy("pool", "item").agg(F.max(like).alias("like"))
-
-
-def select_in_rounds(pool: DataFrame, n: int, weights: tuple = SETTINGS["main"], least_unknown: float = 0.0, near: float = 0.8, least: float = 0.05) -> DataFrame:
+def select_in_rounds(pool: DataFrame, n: int, weights: tuple = SETTINGS["main"], least_unknown: float = 0.0, near: float = 0.8, least: float = 0.05, most: int = MOST) -> DataFrame:
     """(pool, item, round): n items a pool (all, if fewer) of (pool, item, pids, units, reason, words, unknown), for pools
     that no task holds.
 
@@ -138,48 +125,17 @@ def select_in_rounds(pool: DataFrame, n: int, weights: tuple = SETTINGS["main"],
     the best gain is below `least`, the best items that are left fill the pool. Likeness is to the picks of earlier rounds, by
     token postings of at most COMMON items. The first ceil(n * least_unknown) picks are unknown, if there are as many.
 
-    An item is unique in its pool; a null pool takes no part, nor do nulls in the lists. Every step is a join or a grouped
-    sum over all pools; of a round's picks each task passes on n a pool at most."""
-    items = stable(pool.select("pool", "item", "pids", "units", "reason", F.coalesce("words", F.array().cast("array<string>")).alias("words"), F.coalesce("unknown", F.lit(False)).alias("unknown")))
-    part = lambda kind, values, w: F.transform(F.array_distinct(F.filter(values, lambda v: v.isNotNull())), lambda v: F.struct(F.lit(kind).alias("kind"), v.cast("string").alias("value"), F.lit(float(w)).alias("w")))
-    reason = F.when(F.coalesce("reason", F.lit("")) != "", F.array("reason")).otherwise(F.array().cast("array<string>"))
-    parts = F.concat(*(part(k, v, w) for k, v, w in zip(("doc", "unit", "reason"), (F.coalesce("pids", F.array().cast(items.schema["pids"].dataType)), F.coalesce("units", F.array().cast(items.schema["units"].dataType)), reason), weights, strict=False)))
-    left = stable(items.select("pool", "item", F.explode(parts).alias("p")).select("pool", "item", "p.*").where("w > 0"))
-    open_ = stable(items.select("pool", "item", "unknown", F.lit(0.0).alias("like")))  # items that are not picked
-    words = items.select("pool", "item", "words")
-    postings = None
-    out = stable(items.select("pool", "item", F.lit(0).alias("round")).limit(0))
-    round_ = 0
-    for only_unknown, limit in ((True, min(n, math.ceil(n * least_unknown))), (False, n)):
-        while True:
-            own = left.groupBy("pool", "item").agg(F.sum("w").alias("sum"))
-            had = out.groupBy("pool").agg(F.count("*").alias("had"))
-            gains = open_.where(F.lit(not only_unknown) | F.col("unknown")).join(own, ["pool", "item"], "left").join(had, "pool", "left")
-            gain = F.coalesce("sum", F.lit(0.0)) - weights[3] * F.col("like")
-            gains = stable(gains.where(F.coalesce("had", F.lit(0)) < limit).select("pool", "item", "like", gain.alias("gain"), F.coalesce("had", F.lit(0)).alias("had")))
-            if gains.isEmpty():
-                break
-            able = gains.join(gains.groupBy("pool").agg(F.max("gain").alias("top")), "pool").where((F.col("top") < least) | (F.col("gain") >= near * F.col("top")))
-            first = left.join(able.select("pool", "item", "gain"), ["pool", "item"]).groupBy("pool", "kind", "value").agg(F.min(F.struct(-F.col("gain"), "item")).getField("item").alias("item"), F.max("w").alias("w"))
-            won = first.groupBy("pool", "item").agg(F.sum("w").alias("won"))
-            worth = F.when(F.col("top") < least, F.col("gain")).otherwise(F.coalesce("won", F.lit(0.0)) - weights[3] * F.col("like"))
-            scored = able.join(won, ["pool", "item"], "left").withColumn("worth", worth).where((F.col("top") < least) | (F.col("worth") >= near * F.col("top") - 1e-9))
-            r = F.row_number().over(Window.partitionBy("pool").orderBy(F.desc("worth"), "item"))
-            ranked = scored.withColumn("r", r).where(F.col("r") <= n)
-            round_ += 1
-            chosen = stable(ranked.where(F.col("r") <= limit - F.col("had")).select("pool", "item", F.lit(round_).alias("round")))
-            out = stable(out.union(chosen))
-            gone = left.join(chosen.drop("round"), ["pool", "item"]).select("pool", "kind", "value").distinct()
-            left = stable(left.join(gone, ["pool", "kind", "value"], "left_anti"))
-            open_ = open_.join(chosen.drop("round"), ["pool", "item"], "left_anti")
-            if weights[3]:
-                picked = stable(words.join(chosen.drop("round"), ["pool", "item"]))
-                counts = picked.select("pool", F.explode(F.array_distinct("words")).alias("token")).groupBy("pool", "token").agg(F.count("*").alias("postings"))
-                postings = stable(counts if postings is None else postings.union(counts).groupBy("pool", "token").agg(F.sum("postings").alias("postings")))
-                like = _likeness(words.join(open_.select("pool", "item"), ["pool", "item"]), picked, postings).withColumnRenamed("like", "now")
-                open_ = open_.join(like, ["pool", "item"], "left").select("pool", "item", "unknown", F.greatest("like", F.coalesce("now", F.lit(0.0))).alias("like"))
-            open_ = stable(open_)
-    return out
+    An item is unique in its pool; a null pool takes no part, nor do nulls in the lists. Rounds are numbered in each pool. A
+    round is one pass over the blocks of blocks.packed, or more where the best `most` items of a pool don't settle it."""
+
+    def run(frames):
+        for pdf in frames:
+            for g, state in zip(pdf["pool"], pdf["state"], strict=True):
+                picks = pickle.loads(state)["picks"]
+                yield pd.DataFrame({"pool": [g] * len(picks), "item": [p["key"][-1] for p in picks], "round": [p["round"] for p in picks]})
+
+    states = rounds_in_passes(pool.where("pool IS NOT NULL"), "pool", n, weights, least_unknown, near, least, most)
+    return states.select("pool", "state").mapInPandas(run, f"pool {states.schema['pool'].dataType.simpleString()}, item long, round int")
 
 
 def _pool(spark, d) -> DataFrame:

@@ -67,3 +67,49 @@ def test_select_over_partitions(spark):
             own = sorted((r for r in items if r[0] == g), key=lambda r: (r[7], r[1]) if order else r[1])
             want = S.greedy(*([r[k] for r in own] for k in range(2, 7)), 20, least_unknown=share)
             assert sorted(got[g]) == [(k + 1, own[i][1], round(x, 6)) for k, (i, x) in enumerate(want)]
+
+
+def plain_rounds(items, weights, n, share, near=0.8, least=0.05):
+    """[(item, round)] worked out anew from the rule of select_in_rounds."""
+    by = {r[0]: [[("d", v) for v in r[1]], [("u", v) for v in r[2]], [("r", r[3])] if r[3] else []] for r in items}
+    words, unknown = {r[0]: set(r[4]) for r in items}, {r[0]: r[5] for r in items}
+    picked, covered, like, number = [], set(), dict.fromkeys(by, 0.0), 0
+    for only, goal in ((True, min(n, math.ceil(n * share))), (False, n)):
+        while len(picked) < goal:
+            left = [i for i in by if i not in {p for p, _ in picked} and (unknown[i] or not only)]
+            if not left:
+                break
+            gain = {i: sum(w * sum(v not in covered for v in part) for w, part in zip(weights, by[i], strict=False) if w) - weights[3] * like[i] for i in left}
+            top = max(gain.values())
+            able = sorted((i for i in left if top < least or gain[i] >= near * top), key=lambda i: (-gain[i], i))
+            owned, worth = set(), {}
+            for i in able:
+                mine = [w * sum(v not in covered | owned for v in part) for w, part in zip(weights, by[i], strict=False) if w]
+                owned |= {v for part in by[i] for v in part}
+                worth[i] = gain[i] if top < least else sum(mine) - weights[3] * like[i]
+            fit = sorted((i for i in able if top < least or worth[i] >= near * top - 1e-9), key=lambda i: (-worth[i], i))[: goal - len(picked)]
+            number += 1
+            picked += [(i, number) for i in fit]
+            covered |= {v for i in fit for part in by[i] for v in part}
+            often = np.unique([t for i, _ in picked for t in words[i]], return_counts=True)
+            rare = {t for t, k in zip(*often, strict=True) if k <= B.COMMON}
+            like = {i: max([like[i], *(len(words[i] & words[j]) / len(words[i] | words[j]) for j in fit if words[i] & words[j] & rare)]) for i in by}
+    return picked
+
+
+@pytest.mark.parametrize("common", [200, 3])
+def test_passes_make_the_rounds(monkeypatch, common):
+    """Round by round, from many blocks, where a round's best few items settle it and where they don't."""
+    monkeypatch.setattr(B, "COMMON", common)
+    rng = random.Random(6)
+    for _ in range(40):
+        items = rows(rng, rng.randint(1, 40), rng.choice([3, 12]))
+        n, weights, share = rng.randint(1, len(items) + 3), rng.choice(list(S.SETTINGS.values())), rng.choice([0.0, 0.5])
+        limit, block = min(n, math.ceil(n * share)), as_block(items)
+        for most in (1, 3, 100):
+            state = {"picks": [], "round": 0, "only_unknown": limit > 0, "done": False, "most": most}
+            cuts = [block.take(np.arange(k, len(block), 3)) for k in range(min(3, len(block)))]
+            while not state["done"]:
+                seen = [B.look_at_round(c, state, weights) for c in cuts]
+                state = B.step_of_round(state, {f: [s[f] for s in seen if f in s] for f in (False, True)}, weights, n, limit, 0.8, 0.05, most)
+            assert [(p["key"][-1], p["round"]) for p in state["picks"]] == plain_rounds(items, weights, n, share)
