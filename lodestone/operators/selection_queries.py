@@ -20,7 +20,7 @@ from lodestone.operators.text_queries import SALIENCE, salience
 from lodestone.plans.catalog import query
 from lodestone.plans.tables import table
 
-MOST = 256  # items of a pool that a task passes on, of which the next picks are taken
+MOST = 2048  # items of a pool that a task passes on, of which the next picks are taken
 #: Weights of new documents, new units, a new reason, and of likeness to what is picked.
 SETTINGS = {
     "main": (1.0, 1.0, 0.5, 0.2),
