@@ -139,11 +139,17 @@ def select_in_rounds(pool: DataFrame, n: int, weights: tuple = SETTINGS["main"],
 
 
 def _pool(spark, d) -> DataFrame:
-    """Orders as items, parts as documents, brands as units; an item's tokens are the words of its parts' names."""
-    names = table(spark, d, "part").select(F.col("p_partkey").alias("pid"), F.split(F.lower("p_name"), " ").alias("names"))
-    e = qa_evidence(spark, d).join(names, "pid", "left")
-    p = e.groupBy("item", "reason", "unknown").agg(F.collect_set("pid").alias("pids"), F.collect_set("unit").alias("units"), F.array_distinct(F.flatten(F.collect_list("names"))).alias("words"))
-    return p.withColumn("pool", F.concat(F.lit("p"), F.col("item") % 8))
+    """Orders as items, parts as documents, brands as units; an item's tokens are the words of its parts' names.
+
+    What metrics_queries.qa_evidence has, grouped by item. Lines meet their parts first and are dealt by order once, for
+    the join with the orders and for the groups; neither join sorts the lines."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("item"), F.lower(F.trim("o_orderpriority")).alias("reason"), (F.col("o_orderstatus") == "F").alias("unknown"))
+    e = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("item"), F.col("l_partkey").alias("pid"))
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("pid"), F.col("p_brand").alias("unit"), F.lower("p_name").alias("name"))
+    lines = e.join(p.hint("shuffle_hash"), "pid", "left").join(o.hint("shuffle_hash"), "item")
+    g = lines.groupBy("item", "reason", "unknown").agg(F.collect_set("pid").alias("pids"), F.collect_set("unit").alias("units"), F.collect_set("name").alias("names"))
+    words = F.array_distinct(F.flatten(F.transform("names", lambda x: F.split(x, " "))))
+    return g.withColumn("words", words).drop("names").withColumn("pool", F.concat(F.lit("p"), F.col("item") % 8))
 
 
 @query("select_greedy")

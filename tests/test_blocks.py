@@ -113,3 +113,47 @@ def test_passes_make_the_rounds(monkeypatch, common):
                 seen = [B.look_at_round(c, state, weights) for c in cuts]
                 state = B.step_of_round(state, {f: [s[f] for s in seen if f in s] for f in (False, True)}, weights, n, limit, 0.8, 0.05, most)
             assert [(p["key"][-1], p["round"]) for p in state["picks"]] == plain_rounds(items, weights, n, share)
+
+
+def in_whole_passes(block, weights, n, share, most, parts):
+    """(item, gain) as greedy_in_batches picks them, and the number of passes."""
+    limit = min(n, math.ceil(n * share))
+    state, passes = B.fresh(n, limit), 0
+    cuts = [block.take(np.arange(k, len(block), parts)) for k in range(min(parts, len(block)))]
+    while not state["done"]:
+        seen = [B.best_and_lasts([(f := B.weighed(c, state, weights), B.Lasts(f, -math.inf))], state, most) for c in cuts]
+        state = B.picked_batch(state, *B.best_and_lasts(seen, state, most), weights, n, limit)
+        passes += 1
+    return [(p["key"][-1], p["gain"]) for p in state["picks"]], passes
+
+
+@pytest.mark.parametrize("common", [200, 3])
+def test_passes_with_the_last_of_each_bound(monkeypatch, common):
+    """They pick what the greedy picks too, and never need more passes than by asking."""
+    monkeypatch.setattr(B, "COMMON", common)
+    monkeypatch.setattr(S, "COMMON", common)
+    rng = random.Random(7)
+    for _ in range(12):
+        items = rows(rng, rng.randint(1, 40), rng.choice([3, 12]))
+        n, weights, share = rng.randint(1, len(items) + 3), rng.choice(list(S.SETTINGS.values())), rng.choice([0.0, 0.5, 1.0])
+        want = S.greedy(*([r[k] for r in items] for k in range(1, 6)), n, weights, share)
+        for most in (1, 4):
+            parts = rng.randint(1, 5)
+            got, passes = in_whole_passes(as_block(items), weights, n, share, most, parts)
+            assert [i for i, _ in got] == [i for i, _ in want]
+            assert [g for _, g in got] == pytest.approx([g for _, g in want])
+            assert passes <= in_passes(as_block(items), weights, n, share, most, parts)[1]
+
+
+def test_units_first_takes_few_passes(spark, monkeypatch):
+    """The last items of bounds come with a pass, so that falls of the best gain cost no pass of their own."""
+    rng = random.Random(11)
+    some = lambda k, top, m: sorted({f"{k}{rng.randrange(top)}" for _ in range(m)})
+    items = [("a", i, [], some("u", 12, rng.randint(1, 4)), None, some("t", 9, rng.randint(1, 3)), False) for i in range(600)]
+    data = spark.createDataFrame(items, "pool string, item long, pids array<string>, units array<string>, reason string, words array<string>, unknown boolean").repartition(3)
+    passes, stable = [], B.stable
+    monkeypatch.setattr(B, "stable", lambda df: passes.append(df) or stable(df))
+    weights = S.SETTINGS["unit_only"]
+    got = [(r["item"], r["gain"]) for r in S.select(data, "pool", 12, weights=weights, most=40).orderBy("rank").collect()]
+    assert got == [(i, round(g, 6)) for i, g in S.greedy(*([r[k] for r in items] for k in range(2, 7)), 12, weights)]
+    assert len(passes) - 1 <= 5
