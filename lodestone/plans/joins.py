@@ -60,6 +60,7 @@ def stable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -74,11 +75,24 @@ def shuffles_freed(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(SHUFFLE_CLEANUP, was)
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """df as compressed columns in the shared folder, its shuffle files freed: for tables too large for `stable`."""
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What runs inside the block passes at most so many rows at once to Python: for rows of about a MB."""
+    was = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_ROWS, was)
+
+
+def written(df: DataFrame, name: str = "table", large_rows: bool = False) -> DataFrame:
+    """df as compressed columns in the shared folder, its shuffle files freed: for tables too large for `stable`.
+
+    With `large_rows`, of about a MB each, a page is closed as soon as it is full, not after a hundred rows at the least."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     with shuffles_freed(spark):
-        df.write.parquet(path)
+        (df.write.option("parquet.page.size.row.check.min", "1") if large_rows else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -157,3 +157,16 @@ def test_units_first_takes_few_passes(spark, monkeypatch):
     got = [(r["item"], r["gain"]) for r in S.select(data, "pool", 12, weights=weights, most=40).orderBy("rank").collect()]
     assert got == [(i, round(g, 6)) for i, g in S.greedy(*([r[k] for r in items] for k in range(2, 7)), 12, weights)]
     assert len(passes) - 1 <= 5
+
+
+def test_few_blocks_are_passed_to_python_at_once(spark, monkeypatch):
+    """A block has about a MB, so a batch of rows as long as Spark's default would hold all blocks of a task."""
+    key, seen, stable = "spark.sql.execution.arrow.maxRecordsPerBatch", [], B.stable
+    was = spark.conf.get(key)
+    monkeypatch.setattr(B, "stable", lambda df: seen.append(spark.conf.get(key)) or stable(df))
+    items = [("a", i, [f"d{i % 5}"], [], None, [], False) for i in range(20)]
+    data = spark.createDataFrame(items, "pool string, item long, pids array<string>, units array<string>, reason string, words array<string>, unknown boolean")
+    assert [r["item"] for r in S.select(data, "pool", 5).orderBy("rank").collect()] == [0, 1, 2, 3, 4]
+    assert len(seen) > 1
+    assert all(int(rows) <= 4 for rows in seen[1:])
+    assert spark.conf.get(key) == was
