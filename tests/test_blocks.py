@@ -5,8 +5,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.operators import blocks as B
+from lodestone.operators import metrics_queries as M
 from lodestone.operators import selection_queries as S
 
 
@@ -170,3 +172,23 @@ def test_few_blocks_are_passed_to_python_at_once(spark, monkeypatch):
     assert len(seen) > 1
     assert all(int(rows) <= 4 for rows in seen[1:])
     assert spark.conf.get(key) == was
+
+
+def test_pool_deals_the_lines_once_by_order(spark):
+    """The pool is what qa_evidence gives, grouped; the joins with orders and labels and the groups share one exchange."""
+    d, key = "/root/testdata/sf0.001", "spark.sql.autoBroadcastJoinThreshold"
+    words = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.split(F.lower("p_name"), " ")))))
+    names = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("pid"), "p_name")
+    e = M.qa_evidence(spark, d).join(names, "pid", "left").groupBy("item", "reason", "unknown")
+    want = e.agg(F.array_sort(F.collect_set("pid")), F.array_sort(F.collect_set("unit")), words).collect()
+    was = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        pool = S._pool(spark, d)
+        got = pool.select("item", "reason", "unknown", *[F.array_sort(c) for c in ("pids", "units", "words")]).collect()
+        labels = spark.read.parquet(f"{d}/labels.parquet").select(F.col("doc_id").alias("item"), "toxic")
+        plan = pool.join(labels, "item", "left")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, was)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    assert plan.count("Exchange hashpartitioning(") == 5  # lines and parts by part, lines, orders and labels by order
