@@ -21,6 +21,7 @@ from lodestone.plans.catalog import query
 from lodestone.plans.tables import table
 
 MOST = 2048  # items of a pool that a task passes on, of which the next picks are taken
+LINES = 400_000  # lines that a task groups by order
 #: Weights of new documents, new units, a new reason, and of likeness to what is picked.
 SETTINGS = {
     "main": (1.0, 1.0, 0.5, 0.2),
@@ -142,12 +143,16 @@ def _pool(spark, d) -> DataFrame:
     """Orders as items, parts as documents, brands as units; an item's tokens are the words of its parts' names.
 
     What metrics_queries.qa_evidence has, grouped by item. Lines meet their parts first and are dealt by order once, for
-    the join with the orders and for the groups; neither join sorts the lines."""
+    the join with the orders and for the groups; neither join sorts the lines. Tasks get more, not larger, as lines do: a
+    task holds its orders for the join, sorts its lines for the groups and packs its items."""
+    tasks = -(-table(spark, d, "lineitem").count() // LINES)
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("item"), F.lower(F.trim("o_orderpriority")).alias("reason"), (F.col("o_orderstatus") == "F").alias("unknown"))
     e = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("item"), F.col("l_partkey").alias("pid"))
     p = table(spark, d, "part").select(F.col("p_partkey").alias("pid"), F.col("p_brand").alias("unit"), F.lower("p_name").alias("name"))
-    lines = e.join(p.hint("shuffle_hash"), "pid", "left").join(o.hint("shuffle_hash"), "item")
-    g = lines.groupBy("item", "reason", "unknown").agg(F.collect_set("pid").alias("pids"), F.collect_set("unit").alias("units"), F.collect_set("name").alias("names"))
+    lines = e.join(p.hint("shuffle_hash"), "pid", "left")
+    if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        lines = lines.repartition(tasks, "item")
+    g = lines.join(o.hint("shuffle_hash"), "item").groupBy("item", "reason", "unknown").agg(F.collect_set("pid").alias("pids"), F.collect_set("unit").alias("units"), F.collect_set("name").alias("names"))
     words = F.array_distinct(F.flatten(F.transform("names", lambda x: F.split(x, " "))))
     return g.withColumn("words", words).drop("names").withColumn("pool", F.concat(F.lit("p"), F.col("item") % 8))
 

@@ -192,3 +192,22 @@ def test_pool_deals_the_lines_once_by_order(spark):
         spark.conf.set(key, was)
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
     assert plan.count("Exchange hashpartitioning(") == 5  # lines and parts by part, lines, orders and labels by order
+
+
+def test_pool_gets_more_tasks_with_more_lines(spark, monkeypatch):
+    """Lines, not the session's partitions, say how many tasks group them; labels join in as many, and no row is lost."""
+    d, key = "/root/testdata/sf0.001", "spark.sql.autoBroadcastJoinThreshold"
+    labels = spark.read.parquet(f"{d}/labels.parquet").select(F.col("doc_id").alias("item"), "toxic")
+    made = lambda: S._pool(spark, d).select("item", "reason", "unknown", *[F.array_sort(c).alias(c) for c in ("pids", "units", "words")]).join(labels, "item", "left")
+    want, lines, was = made().collect(), spark.read.parquet(f"{d}/lineitem.parquet").count(), spark.conf.get(key)
+    monkeypatch.setattr(S, "LINES", lines // 40)
+    spark.conf.set(key, "-1")
+    try:
+        pool = made()
+        got = pool.collect()
+        tasks = [r["n"] for r in pool.groupBy(F.spark_partition_id()).agg(F.sum(F.size("pids")).alias("n")).collect()]
+    finally:
+        spark.conf.set(key, was)
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert len(tasks) >= 35
+    assert max(tasks) <= 2 * S.LINES
