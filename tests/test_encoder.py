@@ -70,3 +70,16 @@ def test_what_is_kept_is_columns(spark):
     model = E.fit(spark.createDataFrame(corpus(), "id long, text string"), 3, 1)
     plan = model._jdf.queryExecution().executedPlan().toString()
     assert "FileScan parquet" in plan and "ExistingRDD" not in plan
+
+
+def test_blocks_and_slices_of_any_size_agree(spark, monkeypatch):
+    """Texts are packed into blocks, whose tokens' vectors travel some dimensions at a time; rows of one id are one text."""
+    for name, value in (("BLOCK_WORDS", 12), ("TEXTS", 3), ("TOKENS", 4), ("SLICE", 2), ("BLOCK_CHARS", 100)):
+        monkeypatch.setattr(E, name, value)
+    rows = corpus()
+    halves = [(i, t) for i, t in rows if not t or len(t.split()) < 2] + [(i, h) for i, t in rows if t and len(t.split()) > 1 for h in (" ".join(t.split()[:2]), " ".join(t.split()[2:]))]
+    model = stable(E.fit(spark.createDataFrame(halves, "id long, text string"), 3, rounds=10))
+    texts = spark.createDataFrame(rows, "id long, text string")
+    got = {r["id"]: r["embedding"] for r in E.encode(texts, model).collect()}
+    mine, want = np.array([got[i] or [0.0] * 3 for i, _ in rows]), exact(rows, 3)
+    assert np.abs(mine @ mine.T - want @ want.T).max() < 1e-4
