@@ -31,7 +31,7 @@ from lodestone.plans.tables import table
 
 DIMS, ROUNDS = 64, 3
 RANK = 1e-9  # directions below this share of the strongest are not there
-BLOCK_CHARS, BLOCK_WORDS, LEAST_BLOCKS = 32_000_000, 4_000_000, 6  # characters of a block, about; its pairs of a text and a token at most; blocks at least
+BLOCK_CHARS, BLOCK_WORDS, LEAST_BLOCKS = 64_000_000, 8_000_000, 6  # characters of a block, about; its pairs of a text and a token at most; blocks at least
 SLICE = 16  # dimensions that travel at once
 TEXTS, TOKENS = 1000, 20_000  # texts, and tokens, of one row of a block; tokens of a part, at least
 
